@@ -1,0 +1,15 @@
+"""First interval queries."""
+
+from __future__ import annotations
+
+from spanforge.operators import intervals
+from spanforge.plans.views import SPANS, duck, spans
+
+QUERIES = {"merge_intervals": lambda spark, d: intervals.merge(spans(spark, d))}
+
+ORACLE = {
+    "merge_intervals": f"""WITH s AS ({duck(SPANS)}), r AS (
+  SELECT *, max(end0) OVER (PARTITION BY chrom ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE end0 > start0),
+b AS (SELECT *, sum(CASE WHEN start0 <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS block FROM r)
+SELECT chrom, min(start0) AS start0, max(end0) AS end0 FROM b GROUP BY chrom, block"""
+}
