@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into NumPy arrays at a time; a longer text is taken alone.
@@ -40,7 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     text = batch.column(column)
     size = np.zeros(len(text), np.int64)
     if len(text):
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     total, start = 0, 0
     for i, n in enumerate(size.tolist()):
         if i > start and total + n > limit:
@@ -55,7 +56,7 @@ def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and each row's offsets (n + 1) in them; null rows are empty."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pa.compute.fill_null(text, "").cast(pa.large_binary())
+    text = pc.fill_null(text, "").cast(pa.large_binary())
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = text.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
