@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-NAMES = ("decontaminate", "secret_scan", "html_extract", "sharding", "exact_topk", "quality_cnn")
+NAMES = ("decontaminate", "secret_scan", "html_extract", "sharding", "exact_topk", "quality_cnn", "byte_bpe")
 MODULES = [import_module(f"spanforge.llm.{name}") for name in NAMES]
 
 
