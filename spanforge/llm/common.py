@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a task turns into NumPy arrays at a time; a longer text is taken alone.
 SLICE_BYTES = 2 << 20
@@ -61,3 +61,13 @@ def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = text.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def sampled(df: DataFrame, key: str, rows: int, spare: int = 8) -> DataFrame:
+    """About ``spare * rows`` rows of ``df``, those with the smallest hashes of ``key`` (all of a small table), with the hash as _h.
+
+    The share follows from a count, so what a limit then gathers stays of one size however many partitions there are.
+    """
+    share = min(1.0, spare * rows / max(1, df.count()))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 11) / F.lit(float(1 << 53))
+    return df.withColumn("_h", unit).where(F.col("_h") <= share)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spanforge.llm.common import flat, slices, table
+from spanforge.llm.common import flat, sampled, slices, table
 
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 3000, 20_000, 8
 DIM, STRIDE, FILTERS, HALF = 8, 4, 32, 256
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         p = (ones + 0.5) / (ones + zeros + 1)
         net.prior = float(np.log(p / (1 - p)))
         return net
-    some = [known.where(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
+    some = [sampled(known.where(F.col("_label") == k), "doc_id", rows // 2, 3).orderBy("_h", "doc_id").limit(rows // 2).drop("_h") for k in (0, 1)]
     sample = some[0].unionByName(some[1])  # ``rows`` rows at most, so it may be broadcast
     found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars).join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").limit(2 * rows).collect()
     found.sort(key=lambda r: (r.doc_id, r.text))

@@ -10,7 +10,7 @@ Decoding is exact and cheap: where a token's score as outside leads by more than
 is outside in the best path, whatever its neighbours are. Such tokens part the chain into short runs, and Viterbi runs
 over those, many at a time.
 
-The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of texts under ``TRAIN_CHARS`` characters, half of them with
+The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of doc_id, with texts under ``TRAIN_CHARS`` characters, half of them with
 secret-like names), labelled by the base patterns, and from lines of public secret formats that are generated here. Every document is
 scanned whole. Null texts are empty; an empty text has no spans; repeated rows each give a row.
 """
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spanforge.llm.common import flat, slices, table
+from spanforge.llm.common import flat, sampled, slices, table
 from spanforge.llm.kernels import word_spans
 
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 800, 20_000, 60
@@ -267,9 +267,10 @@ def formats(n: int = 300, seed: int = 5) -> tuple[list[str], list[list[tuple[int
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
     """The field learned from a bounded sample of ``docs`` (``rows`` texts of under ``chars`` characters)."""
-    some = docs.select("text").where(F.col("text").isNotNull() & (F.length("text") < chars)).withColumn("_h", F.xxhash64("text"))
-    named = some.where(F.col("text").rlike("(?i)passw|secret|token|api_?key|AKIA[A-Z0-9]{14}")).orderBy("_h").limit(rows // 2)
-    sample = named.unionByName(some.orderBy("_h").limit(rows // 2)).collect()  # ``rows`` texts at most
+    usable = F.col("text").isNotNull() & (F.length("text") < chars)
+    named = F.col("text").rlike("(?i)passw|secret|token|api_?key|AKIA[A-Z0-9]{14}")
+    halves = [sampled(docs.select("doc_id", "text"), "doc_id", rows // 2, spare).where(kind).orderBy("_h", "text").limit(rows // 2) for kind, spare in ((usable & named, 100), (usable, 2))]
+    sample = halves[0].unionByName(halves[1]).collect()  # ``rows`` texts at most
     texts = sorted({r.text for r in sample})
     spans = []
     for t in texts:
