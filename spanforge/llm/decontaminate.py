@@ -65,17 +65,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
     """(doc_id, _dc_key, _dc_hits): for each document with occurrences, their structs (begin, len, items), sorted by begin."""
     table_, n = prefixes(docs, windows(benchmark, size))
     texts = docs.select("doc_id", F.xxhash64("text").alias("_dc_key"), words(F.col("text")).alias("_dc_words"))
-    begin = lambda at, w: at - w["off"]
+    # of the document only the words around a match go on: a window reaches at most ``size`` - 1 words to either side
+    near = F.slice("_dc_words", F.greatest(F.col("_dc_at") - (size - 2), F.lit(1)), 2 * size - 1).alias("_dc_near")
     if n <= SMALL:
-        near = texts.select("*", F.posexplode("_dc_words").alias("_dc_at", "_dc_token")).join(F.broadcast(table_), "_dc_token")
+        around = texts.select("*", F.posexplode("_dc_words").alias("_dc_at", "_dc_token")).join(F.broadcast(table_), "_dc_token")
     else:  # the words are shuffled alone and the matching positions go back to their texts
         spots = texts.select("doc_id", "_dc_key", F.posexplode("_dc_words").alias("_dc_at", "_dc_token")).join(table_, "_dc_token").distinct()
-        near = spots.alias("s").join(texts.alias("t"), F.expr("s.doc_id <=> t.doc_id AND s._dc_key = t._dc_key")).select("t.*", "_dc_at", "_dc_wins")
+        around = spots.alias("s").join(texts.alias("t"), F.expr("s.doc_id <=> t.doc_id AND s._dc_key = t._dc_key")).select("t.*", "_dc_at", "_dc_wins")
+    around = around.select("doc_id", "_dc_key", "_dc_at", "_dc_wins", F.size("_dc_words").alias("_dc_size"), near)
+    begin = lambda w: F.col("_dc_at") - w["off"]
+    inner = lambda w: begin(w) - F.greatest(F.col("_dc_at") - (size - 1), F.lit(0)) + 1
     fits = F.filter(
         "_dc_wins",
-        lambda w: (begin(F.col("_dc_at"), w) >= 0) & (begin(F.col("_dc_at"), w) + F.size(w["win"]) <= F.size("_dc_words")) & (F.slice("_dc_words", F.greatest(begin(F.col("_dc_at"), w) + 1, F.lit(1)), F.size(w["win"])) == w["win"]),
+        lambda w: (begin(w) >= 0) & (begin(w) + F.size(w["win"]) <= F.col("_dc_size")) & (F.slice("_dc_near", F.greatest(inner(w), F.lit(1)), F.size(w["win"])) == w["win"]),
     )
-    hits = near.select("doc_id", "_dc_key", F.transform(fits, lambda w: F.struct(begin(F.col("_dc_at"), w).alias("begin"), F.size(w["win"]).alias("len"), w["items"].alias("items"))).alias("_dc_found")).where(F.size("_dc_found") > 0)
+    hits = around.select("doc_id", "_dc_key", F.transform(fits, lambda w: F.struct(begin(w).alias("begin"), F.size(w["win"]).alias("len"), w["items"].alias("items"))).alias("_dc_found")).where(F.size("_dc_found") > 0)
     return hits.groupBy("doc_id", "_dc_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_dc_found")))).alias("_dc_hits"))
 
 
