@@ -137,7 +137,7 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
     return ordered.mapInArrow(run, "kind tinyint, hash bigint, did bigint, ver bigint, at bigint")
 
 
-def contexts(docs: DataFrame, firsts: DataFrame, symbols: Symbols, length: int, dtype) -> DataFrame:
+def contexts(docs: DataFrame, firsts: DataFrame, content: Symbols, length: int) -> DataFrame:
     """(hash, did, ver, at, content): the symbols from the first window's start to the last one's end."""
     spots = firsts.groupBy("did", "ver").agg(F.collect_list(F.struct("hash", "at")).alias("spots"))  # as many as the document has, at most
     held = docs.select("did", "ver", "text").join(spots, ["did", "ver"])
@@ -145,8 +145,7 @@ def contexts(docs: DataFrame, firsts: DataFrame, symbols: Symbols, length: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found, offsets = symbols(part.column("text"))
-                found = found.astype(dtype, copy=False)
+                found, offsets = content(part.column("text"))
                 spots = part.column("spots")
                 sizes = np.diff(np.asarray(spots.offsets))
                 inner = spots.flatten()
@@ -287,15 +286,18 @@ def expand(held: DataFrame, dtype, length: int) -> DataFrame:
     return held.select("did", "ver", "at", "content").repartition(F.xxhash64("did", "ver", "at")).mapInArrow(run, ANCHOR)
 
 
-def repeated(docs: DataFrame, symbols: Symbols, dtype, length: int, k: int, every: bool, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(did, ver, at): ranges of repeated windows of ``docs`` (with did and ver)."""
+def repeated(docs: DataFrame, symbols: Symbols, content: Symbols, dtype, length: int, k: int, every: bool, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(did, ver, at): ranges of repeated windows of ``docs`` (with did and ver).
+
+    symbols: each symbol as 64 random bits, to find anchors by; content: the symbols themselves, as dtype, to sort.
+    """
     once = docs.select("did", "ver", "text")
-    if once.schema["ver"] and not docs.groupBy("did", "ver").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not docs.groupBy("did", "ver").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         once = once.dropDuplicates(["did", "ver"])
     settled = cut(settle(anchors(once, symbols, length, k), every), "settled")
     firsts = settled.where("kind = 0").select("hash", "did", "ver", "at")
     large = cut(firsts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("hash"), "large")
-    held = contexts(once, firsts, symbols, length, dtype)
+    held = contexts(once, firsts, content, length)
     out = settled.where("kind = 1").select("did", "ver", "at")
     if large.isEmpty():
         return out.unionByName(sorted_groups(held, dtype, length, marks))

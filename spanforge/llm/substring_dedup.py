@@ -42,7 +42,7 @@ def deep_leaves(by: np.ndarray, common: np.ndarray, depth: int = WINDOW) -> np.n
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text that is left) of each row of ``docs``."""
     docs_ = keyed(docs.select("doc_id", "text"))
-    found = repeated(docs_, words, U, window, prefix, True, lambda by, common: deep_leaves(by, common, window))
+    found = repeated(docs_, words, words, U, window, prefix, True, lambda by, common: deep_leaves(by, common, window))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,10 +26,6 @@ from spanforge.llm.repeats import covered, keyed, ranges_by_document, repeated
 WINDOW, PREFIX = 100, 28
 
 
-def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return flat(text)
-
-
 def _hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(text)
     return BYTES[data], offsets
@@ -70,7 +66,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFr
     def marks(by: np.ndarray, common: np.ndarray) -> np.ndarray:
         return np.flatnonzero(longest_previous_factors(by, common) >= window)
 
-    found = _found(docs_, window, prefix, marks)
+    found = repeated(docs_, _hashed, flat, np.uint8, window, prefix, False, marks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +86,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFr
     return ranges_by_document(docs_, found).select("doc_id", "text", "ats").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
-def _found(docs: DataFrame, window: int, prefix: int, marks) -> DataFrame:
-    return repeated(docs, _hashed, np.uint8, window, prefix, False, marks)
-
-
 QUERIES = {"op10_lpf_dedup": lambda spark, sf_dir: dedup(table(spark, sf_dir, "documents")).drop("kept")}
 ORACLE: dict[str, str] = {}
