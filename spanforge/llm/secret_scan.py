@@ -336,6 +336,37 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def secret_part(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+    """The secret itself of a span: of an assignment, its value."""
+    if kind == "assign":
+        m = ASSIGN.match(text, a)
+        return m.span(2) if m else (a, b)
+    return a, b
+
+
+def masked(found: DataFrame, mask: str) -> DataFrame:
+    """The result of scan() and ``_masked``, the text with each secret (overlapping ones once) replaced by ``mask``; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text"), batch.column("_found").to_pylist(), strict=True):
+                text = text.as_py()
+                if text is not None and spans:
+                    parts, upto = [], 0
+                    for a, b in sorted(secret_part(text, s["kind"], s["start"], s["end"]) for s in spans):
+                        if b <= upto:
+                            continue
+                        if a >= upto:
+                            parts += [text[upto:a], mask]
+                        upto = b
+                    text = "".join(parts) + text[upto:]
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "_masked"])
+
+    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_masked", T.StringType())]))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     found = scan(docs.select("doc_id", "text")).drop("text")
     base = F.filter("_found", lambda s: s["kind"] != "crf")
