@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import basics
+from spanforge.plans import interval_queries
 
-MODULES = (basics,)
+MODULES = (interval_queries,)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["merge_intervals"](spark, sf_dir)
+    return queries()["coverage_by_gene"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
