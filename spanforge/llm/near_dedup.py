@@ -2,11 +2,11 @@
 
 A document's set of 2-word shingles gives ``BANDS`` bands of ``ROWS`` MinHash samples, and an odd sketch: the samples are folded into a bitmap of parities, and the population count of two
 bitmaps' exclusive or tells how many samples differ, precisely so where similarities are high. Documents that share a band are
-candidates; those whose sketches allow a similarity of 0.8 (less ``SLACK``, five standard deviations of the samples) are confirmed on
-their full sets. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
+candidates. A second odd sketch folds the whole set, so that with the sets' sizes it estimates the similarity without the samples' error. Candidates whose sketches
+allow a similarity of 0.8 (five standard deviations of either) are confirmed on their full sets. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
 
 Copies (equal sets) are one class, found by a digest and aggregated before the shuffle. The classes of a band are not paired with each
-other: each meets the band's smallest and largest class; confirmed links join classes into components; then only classes that share a
+other: each meets the band's centre, the class that shares most bands with others, and its largest class; confirmed links join classes into components; then only classes that share a
 band but are still in different components meet, until every such pair has been held against the sketches. So a band that holds a third
 of all rows costs a few rows for each of them, and no link between components is lost.
 
@@ -26,11 +26,13 @@ from spanforge.llm.common import cut, flat, slices, table
 from spanforge.llm.components import components
 from spanforge.llm.kernels import BASE, SPACE, U, gram_hash, lower_ascii, mix, span_hash, word_spans
 
-BANDS, ROWS, BITS, SLACK = 32, 5, 512, 0.16
+BANDS, ROWS, BITS, SLACK, WHOLE_BITS = 32, 5, 512, 0.16, 2048
+#: Classes whose ids, keys and digests may be broadcast (24 bytes each).
+SMALL = 50_000
 SAMPLES = BANDS * ROWS
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U) * U(0xA24BAED4963EE407))
 _XOR, _MUL = (_KEYS[:SAMPLES] >> U(32)).astype(np.uint32), (_KEYS[SAMPLES:] >> U(32)).astype(np.uint32) | np.uint32(1)
-SIGNATURE = "doc_id {id}, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "doc_id {id}, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
 
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,14 @@ def odd_sketches(found: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
 
 
+def whole_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (rows x WHOLE_BITS / 64, int64) of whole sets."""
+    n = len(offsets) - 1
+    spot = np.repeat(np.arange(n) * WHOLE_BITS, np.diff(offsets)) + (mix(shingles + U(BASE)) % U(WHOLE_BITS)).astype(np.int64)
+    flips = np.bincount(spot, minlength=n * WHOLE_BITS) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(n, WHOLE_BITS), axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -86,7 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 shingles, offsets = shingle_sets(part.column("text"))
                 sizes = np.diff(offsets)
                 some = np.flatnonzero(sizes)
-                digest, bands, sketch = np.zeros(len(sizes), np.int64), [[]] * len(sizes), [[]] * len(sizes)
+                digest, bands, sketch, whole = np.zeros(len(sizes), np.int64), *([[]] * len(sizes) for _ in range(3))
                 if len(some):
                     tight = np.concatenate([offsets[some], offsets[-1:]])
                     sums = np.add.reduceat(mix(shingles ^ U(BASE)), tight[:-1])
@@ -96,10 +106,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for j in range(ROWS):
                         keys = mix(keys * U(BASE) + found[:, j::ROWS].astype(U) + np.arange(1, BANDS + 1, dtype=U))
                     odd = odd_sketches(found)
-                    for i, k, o in zip(some.tolist(), keys.view(np.int64), odd, strict=True):
-                        bands[i], sketch[i] = k, o
+                    for i, k, o, w in zip(some.tolist(), keys.view(np.int64), odd, whole_sketches(shingles, tight), strict=True):
+                        bands[i], sketch[i], whole[i] = k, o, w
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(digest), pa.array(bands, longs), pa.array(sketch, longs)], names=["doc_id", "text_key", "n_shingles", "class", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(digest), pa.array(bands, longs), pa.array(sketch, longs), pa.array(whole, longs)], names=["doc_id", "text_key", "n_shingles", "class", "bands", "sketch", "whole"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNATURE.format(id=kind))
 
@@ -116,9 +126,20 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("class", "text").mapInArrow(run, "class bigint, shingles array<bigint>")
 
 
-def _differ(a: str, b: str):
+def _differ(a: str, b: str, bits: int):
     """Bits in which two odd sketches differ."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) if bits > 1024 else sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, bits // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def _possible(percent: int):
+    """Whether the sizes and both sketches of x and y allow the similarity."""
+    m = float(WHOLE_BITS)
+    apart = (F.col("x_n") + F.col("y_n")) * F.lit((100 - percent) / (100 + percent))  # the most shingles that are in one set only
+    two, four = F.pow(F.lit(1 - 2 / m), apart), F.pow(F.lit(1 - 4 / m), apart)
+    mean = (1 - two) * (m / 2)
+    spread = F.sqrt(F.greatest((1 - two * two) * (m / 4) + (four - two * two) * (m * (m - 1) / 4), F.lit(1.0)))
+    sizes = F.expr(f"100 * x_n >= {percent} * y_n AND 100 * y_n >= {percent} * x_n")
+    return sizes & (_differ("x_sketch", "y_sketch", BITS) <= _limit(percent)) & (_differ("x_whole", "y_whole", WHOLE_BITS) <= mean + 5 * spread + 2)
 
 
 def _limit(percent: int) -> int:
@@ -134,31 +155,31 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     reps = cut(
         signed.where("n_shingles > 0")
         .groupBy("class")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        .select("class", "rep.doc_id", "rep.text_key", "n", "bands", "sketch"),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
+        .select("class", "rep.doc_id", "rep.text_key", "n", "bands", "sketch", "whole"),
         "classes",
     )
-    sketches = reps.select("class", "n", "sketch")
+    sketches = reps.select("class", "n", "sketch", "whole")
     banded = reps.select(F.explode("bands").alias("band"), "class")
-    ends = banded.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    shared = cut(banded.join(ends, "band"), "bands")  # the rows of bands that hold several classes
-    star = shared.select(F.col("lo").alias("a"), F.col("class").alias("b")).unionByName(shared.select("class", "hi").toDF("a", "b")).where("a < b").distinct()
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size"), F.max("class").alias("last")).where("size > 1")
+    shared = cut(banded.join(sizes, "band"), "bands")  # the rows of bands that hold several classes
+    degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
+    centres = shared.join(degree, "class").groupBy("band").agg(F.max_by("class", F.struct("degree", "class")).alias("centre"))
+    stars = shared.join(centres, "band")
+    star = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).unionByName(stars.select(F.col("class").alias("a"), F.col("last").alias("b"))).where("a < b").distinct()
     near = _near(star, sketches, percent)
     near = cut(near, "near")
-    first = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    edges = cut(_confirmed(first, docs, reps, percent), "links")
+    edges = cut(_confirmed(near, docs, reps, percent), "links")
     labels = components(edges)
-    edges, labels = _join_on(near, edges, labels, docs, reps, percent)
     # classes that share a band and are in different components by now: their pairs, but for those met already
     here = cut(shared.select("band", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label")), "labelled")
     open_ = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     left = here.join(open_, "band", "left_semi").join(sketches, "class")
     left = cut(left, "open")
-    x, y = left.select("band", *(F.col(c).alias(f"x_{c}") for c in ("class", "label", "n", "sketch"))), left.select("band", *(F.col(c).alias(f"y_{c}") for c in ("class", "label", "n", "sketch")))
+    x, y = (left.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "sketch", "whole"))) for side in ("x", "y"))
     rest = (
         x.join(y, "band")
-        .where(F.expr(f"x_label < y_label AND 100 * x_n >= {percent} * y_n AND 100 * y_n >= {percent} * x_n"))
-        .where(_differ("x_sketch", "y_sketch") <= _limit(percent))
+        .where((F.col("x_label") < F.col("y_label")) & _possible(percent))
         .select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
         .distinct()
         .join(near.select("a", "b"), ["a", "b"], "left_anti")
@@ -173,23 +194,17 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the similarity, with the bits in which they differ."""
-    x, y = sketches.toDF("a", "x_n", "x_sketch"), sketches.toDF("b", "y_n", "y_sketch")
-    return (
-        pairs.join(y, "b")
-        .join(x, "a")
-        .where(F.expr(f"100 * x_n >= {percent} * y_n AND 100 * y_n >= {percent} * x_n"))
-        .withColumn("bits", _differ("x_sketch", "y_sketch"))
-        .where(F.col("bits") <= _limit(percent))
-        .select("a", "b", "bits")
-    )
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    x, y = sketches.toDF("a", "x_n", "x_sketch", "x_whole"), sketches.toDF("b", "y_n", "y_sketch", "y_whole")
+    return pairs.join(y, "b").join(x, "a").where(_possible(percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked by their full sets."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = reps.select("class", "doc_id", "text_key").join(need, "class", "left_semi").alias("w")
+    wanted = cut(reps.select("class", "doc_id", "text_key").join(need, "class", "left_semi"), "wanted")
+    wanted = (F.broadcast(wanted) if wanted.count() <= SMALL else wanted).alias("w")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d").join(wanted, F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key")).select("class", "text")
     sets = cut(full_sets(texts).dropDuplicates(["class"]), "sets")
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
