@@ -75,12 +75,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
     around = around.select("doc_id", "_dc_key", "_dc_at", "_dc_wins", F.size("_dc_words").alias("_dc_size"), near)
     begin = lambda w: F.col("_dc_at") - w["off"]
     inner = lambda w: begin(w) - F.greatest(F.col("_dc_at") - (size - 1), F.lit(0)) + 1
+    # _dc_near stands twice below: so Spark computes it beside the join, inside generated code, and the document's array of words goes no further.
+    # Nothing is filtered before the aggregation, as a filter would move into the join and bring the array there
     fits = F.filter(
         "_dc_wins",
-        lambda w: (begin(w) >= 0) & (begin(w) + F.size(w["win"]) <= F.col("_dc_size")) & (F.slice("_dc_near", F.greatest(inner(w), F.lit(1)), F.size(w["win"])) == w["win"]),
+        lambda w: (begin(w) >= 0) & (begin(w) + F.size(w["win"]) <= F.col("_dc_size")) & (inner(w) + F.size(w["win"]) - 1 <= F.size("_dc_near")) & (F.slice("_dc_near", F.greatest(inner(w), F.lit(1)), F.size(w["win"])) == w["win"]),
     )
-    hits = around.select("doc_id", "_dc_key", F.transform(fits, lambda w: F.struct(begin(w).alias("begin"), F.size(w["win"]).alias("len"), w["items"].alias("items"))).alias("_dc_found")).where(F.size("_dc_found") > 0)
-    return hits.groupBy("doc_id", "_dc_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_dc_found")))).alias("_dc_hits"))
+    hits = around.select("doc_id", "_dc_key", F.transform(fits, lambda w: F.struct(begin(w).alias("begin"), F.size(w["win"]).alias("len"), w["items"].alias("items"))).alias("_dc_found"))
+    return hits.groupBy("doc_id", "_dc_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_dc_found")))).alias("_dc_hits")).where(F.size("_dc_hits") > 0)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
