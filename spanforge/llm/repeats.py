@@ -5,7 +5,8 @@ among those inside it, leftmost first. It depends on the window's content alone,
 Consecutive windows mostly share their anchor; the symbols that the windows of one anchor span are its context. Per document only about 2 in L - k + 2
 positions are anchors, and only they are shuffled, by hash:
 
-1. ``anchors``: hash, digest of the context, document, first window and number of windows of each anchor.
+1. ``anchors``: hash, digest of the context, document, first window and number of windows of each anchor. Equal contexts are combined before the
+   shuffle, among the texts that a task holds at a time: those after the first are repeats already and travel under keys of their own.
 2. ``settle``: sorted by hash, digest and document, anchors stream past once, however many share a hash. Equal contexts repeat each
    other's windows; of different contexts under one hash the first of each goes on.
 3. ``contexts``: the symbols of those contexts, from the texts; small groups of them are sorted into suffix arrays (``order``) by the operators.
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from spanforge.llm.common import cut, flat, slices
 from spanforge.llm.kernels import BASE, INVERSE, U, gram_hash, mix, powers
 
-GROUP = 1024
 BATCH = 1 << 20  # bytes of contexts in one suffix array
+GROUP = 8192  # contexts, of about BATCH bytes
 BITS = 16  # of ``at``: window's start << BITS | number of windows
 LEAST = -(1 << 63)
 
@@ -78,18 +79,36 @@ def anchors_of(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) ->
     return rows, first - offsets[rows], count.astype(np.int64), grams[spot], digest
 
 
-ANCHOR = "hash bigint, ctx bigint, did bigint, ver bigint, at bigint"
+ANCHOR = "hash bigint, ctx bigint, did bigint, ver bigint, at bigint, known boolean"
 
 
-def anchors(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
+def combined(rank: np.ndarray, at: np.ndarray, hashes: np.ndarray, digest: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these anchors go on to be settled, and which are known to be repeats, given their documents' ranks and ``at``."""
+    key = mix(hashes ^ digest)
+    by = np.lexsort((at, rank, key))
+    new = np.ones(len(by), bool)
+    new[1:] = key[by[1:]] != key[by[:-1]]
+    again = ~new
+    if every:
+        again[:-1] |= ~new[1:]
+    return by[new], by[again]
+
+
+def anchors(docs: DataFrame, symbols: Symbols, length: int, k: int, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, first, count, hashes, digest = anchors_of(*symbols(part.column("text")), length, k)
-                for a in range(0, len(rows), 50_000):
-                    b = slice(a, a + 50_000)
-                    ids = pa.array(rows[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[b].view(np.int64)), pa.array(digest[b].view(np.int64)), part.column("did").take(ids), part.column("ver").take(ids), pa.array(first[b] << BITS | count[b])], names=["hash", "ctx", "did", "ver", "at"])
+                at = first << BITS | count
+                place = np.empty(len(part), np.int64)
+                place[np.lexsort((part.column("ver").to_numpy(), part.column("did").to_numpy()))] = np.arange(len(part))
+                go, known = combined(place[rows], at, hashes, digest, every)
+                spread = mix(hashes + mix(digest + at.astype(U)) + place[rows].astype(U))  # keys that share nothing
+                for ids, keys, flag in ((go, hashes, False), (known, spread, True)):
+                    for a in range(0, len(ids), 50_000):
+                        i = ids[a : a + 50_000]
+                        own = pa.array(rows[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[i].view(np.int64)), pa.array(digest[i].view(np.int64)), part.column("did").take(own), part.column("ver").take(own), pa.array(at[i]), pa.array(np.full(len(i), flag))], names=["hash", "ctx", "did", "ver", "at", "known"])
 
     return docs.select("did", "ver", "text").mapInArrow(run, ANCHOR)
 
@@ -107,6 +126,13 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
+            told = batch.column("known").to_numpy(zero_copy_only=False)
+            if told.any():  # repeats already, and under keys of their own
+                sure = batch.filter(batch.column("known"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sure), np.int8)), *(sure.column(c) for c in ("hash", "did", "ver", "at"))], names=["kind", "hash", "did", "ver", "at"])
+                batch = batch.filter(pa.array(~told))
+                if not len(batch):
+                    continue
             cols = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("hash", "ctx", "did", "ver", "at"), strict=True)]
             more = len(cols[0]) - len(done[0])
             known = [np.concatenate([d, np.zeros(more, bool)]) for d in done]
@@ -281,7 +307,7 @@ def expand(held: DataFrame, dtype, length: int) -> DataFrame:
                 spots = begin[owner] + inner
                 one, two = gram_hash(symbols, length)[spots], gram_hash(mix(symbols), length)[spots]
                 own = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("did").take(own), part.column("ver").take(own), pa.array(((at >> BITS)[owner] + inner) << BITS | 1)], names=["hash", "ctx", "did", "ver", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("did").take(own), part.column("ver").take(own), pa.array(((at >> BITS)[owner] + inner) << BITS | 1), pa.array(np.zeros(len(owner), bool))], names=["hash", "ctx", "did", "ver", "at", "known"])
 
     return held.select("did", "ver", "at", "content").repartition(F.xxhash64("did", "ver", "at")).mapInArrow(run, ANCHOR)
 
@@ -294,7 +320,7 @@ def repeated(docs: DataFrame, symbols: Symbols, content: Symbols, dtype, length:
     once = docs.select("did", "ver", "text")
     if not docs.groupBy("did", "ver").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         once = once.dropDuplicates(["did", "ver"])
-    settled = cut(settle(anchors(once, symbols, length, k), every), "settled")
+    settled = cut(settle(anchors(once, symbols, length, k, every), every), "settled")
     firsts = settled.where("kind = 0").select("hash", "did", "ver", "at")
     large = cut(firsts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("hash"), "large")
     held = contexts(once, firsts, content, length)
