@@ -160,7 +160,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
         "classes",
     )
     sketches = reps.select("class", "n", "sketch", "whole")
-    banded = reps.select(F.explode("bands").alias("band"), "class")
+    banded = reps.select(F.posexplode("bands").alias("i", "band"), "class")
     sizes = banded.groupBy("band").agg(F.count("*").alias("size"), F.max("class").alias("last")).where("size > 1")
     shared = cut(banded.join(sizes, "band"), "bands")  # the rows of bands that hold several classes
     degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
@@ -172,17 +172,18 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     edges = cut(_confirmed(near, docs, reps, percent), "links")
     labels = components(edges)
     # classes that share a band and are in different components by now: their pairs, but for those met already
-    here = cut(shared.select("band", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label")), "labelled")
+    here = cut(shared.select("i", "band", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("i", "band", "class", F.coalesce("label", "class").alias("label")), "labelled")
     open_ = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = here.join(open_, "band", "left_semi").join(sketches, "class")
+    left = here.join(open_, "band", "left_semi").join(reps.select("class", "n", "sketch", "whole", "bands"), "class")
     left = cut(left, "open")
-    x, y = (left.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("class", "label", "n", "sketch", "whole"))) for side in ("x", "y"))
+    x, y = (left.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("i", "class", "label", "n", "sketch", "whole", "bands"))) for side in ("x", "y"))
+    # a pair meets in the first band that it shares
+    first = ~F.arrays_overlap(F.slice("x_bands", F.lit(1), F.col("x_i")), F.slice("y_bands", F.lit(1), F.col("x_i")))
     rest = (
         x.join(y, "band")
-        .where((F.col("x_label") < F.col("y_label")) & _possible(percent))
+        .where((F.col("x_label") < F.col("y_label")) & _possible(percent) & first)
         .select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
-        .distinct()
-        .join(near.select("a", "b"), ["a", "b"], "left_anti")
+        .join(near, ["a", "b"], "left_anti")
     )
     edges, labels = _join_on(cut(rest, "rest"), edges, labels, docs, reps, percent)
     named = reps.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
