@@ -6,7 +6,7 @@ candidates. A second odd sketch folds the whole set, so that with the sets' size
 allow a similarity of 0.8 (five standard deviations of either) are confirmed on their full sets. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
 
 Copies (equal sets) are one class, found by a digest and aggregated before the shuffle. The classes of a band are not paired with each
-other: each meets the band's centre, the class that shares most bands with others, and its largest class; confirmed links join classes into components; then only classes that share a
+other: each meets the band's centre, the class that shares most bands with others; confirmed links join classes into components; then only classes that share a
 band but are still in different components meet, until every such pair has been held against the sketches. So a band that holds a third
 of all rows costs a few rows for each of them, and no link between components is lost.
 
@@ -161,12 +161,11 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     sketches = reps.select("class", "n", "sketch", "whole")
     banded = reps.select(F.posexplode("bands").alias("i", "band"), "class")
-    sizes = banded.groupBy("band").agg(F.count("*").alias("size"), F.max("class").alias("last")).where("size > 1")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(banded.join(sizes, "band"), "bands")  # the rows of bands that hold several classes
     degree = shared.groupBy("class").agg(F.sum("size").alias("degree"))
     centres = shared.join(degree, "class").groupBy("band").agg(F.max_by("class", F.struct("degree", "class")).alias("centre"))
-    stars = shared.join(centres, "band")
-    star = stars.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).unionByName(stars.select(F.col("class").alias("a"), F.col("last").alias("b"))).where("a < b").distinct()
+    star = shared.join(centres, "band").select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).where("a < b").distinct()
     near = _near(star, sketches, percent)
     near = cut(near, "near")
     edges = cut(_confirmed(near, docs, reps, percent), "links")
