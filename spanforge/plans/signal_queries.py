@@ -50,7 +50,7 @@ def epistasis_epsilon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def epistasis_region(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(effects.epsilon_regions(_pairs(spark, d), ["gene_id"]))
+    return _rounded(effects.epsilon_regions(_pairs(spark, d), ["gene_id"]), 9)
 
 
 def epistasis_nulls(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT track, CAST(threshold AS DOUBLE) AS threshold, bp_total, CAST(sum(CASE WH
     ),
     "epistasis_region": oracle(
         """p AS (SELECT gene_id, rep, avg(masked - delta) AS e, avg(delta) AS r, avg(masked) AS m, count(*) AS w FROM scores GROUP BY 1, 2), a AS (SELECT *, CASE WHEN sign(e) = sign(avg(e) OVER (PARTITION BY gene_id)) THEN 1.0 ELSE 0.0 END AS agree FROM p)
-SELECT gene_id, max(w) AS n_windows, count(*) AS n_reps, round(avg(r), 6) AS delta_ref, round(avg(m), 6) AS delta_masked, round(avg(e), 6) AS epsilon_mean, round(stddev_samp(e), 6) AS epsilon_sd_reps, round(avg(agree), 6) AS sign_consistency FROM a GROUP BY gene_id""",
+SELECT gene_id, max(w) AS n_windows, count(*) AS n_reps, round(avg(r), 9) AS delta_ref, round(avg(m), 9) AS delta_masked, round(avg(e), 9) AS epsilon_mean, round(stddev_samp(e), 9) AS epsilon_sd_reps, round(avg(agree), 9) AS sign_consistency FROM a GROUP BY gene_id""",
         "scores",
     ),
     "epistasis_nulls": oracle(
