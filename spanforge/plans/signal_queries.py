@@ -9,6 +9,8 @@ from spanforge.plans.interval_queries import MERGED, WIDTH
 from spanforge.plans.views import oracle, view
 
 CELL = ("gene_id", "window_id")
+#: The reference's default.
+BINS = 200_000
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -31,7 +33,8 @@ def calibrate_qvalue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibrate_quantile(spark: SparkSession, d: str) -> DataFrame:
-    found = stats.quantile_cutoff(stats.histogram(view(spark, d, "tracks"), ["track"], 1.0, 40), ["track"], 1.0, 0.97)
+    """The bin edge at 97 % of a track's bp, over ``BINS`` bins from 0 to its largest value. (The SQL has bins of 1 up to 39 and can't return more.)"""
+    found = stats.quantile_cutoff(stats.scaled_histogram(view(spark, d, "tracks"), ["track"], BINS), ["track"], F.col("width"), 0.97)
     return _rounded(found)
 
 
