@@ -16,6 +16,8 @@ from spanforge.llm.common import shared_dir, table
 
 #: Documents whose score is below this are rejected.
 REJECT = 0.3
+#: Words of a shingle of the near-dedup (op7 alone is bound to 2).
+SHINGLE = 5
 #: What stands for a secret.
 MASK = "[SECRET]"
 
@@ -28,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest doc_id (one row of it, if it is repeated)."""
-    found = near_dedup.link(docs).where("kept").select("doc_id", "text_key").distinct().alias("k")
+    found = near_dedup.link(docs, size=SHINGLE).where("kept").select("doc_id", "text_key").distinct().alias("k")
     keyed = docs.withColumn("_key", F.xxhash64("text")).alias("d")
     kept = keyed.join(found, F.expr("d.doc_id <=> k.doc_id AND d._key = k.text_key"), "left_semi")
     # rows that repeat both id and text are one document; a null id has no group of its own

@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
-A document's set of 2-word shingles gives ``BANDS`` bands of ``ROWS`` MinHash samples, and an odd sketch: the samples are folded into a bitmap of parities, and the population count of two
+A document's set of word shingles (of 2 words for op7; link() takes other sizes) gives ``BANDS`` bands of ``ROWS`` MinHash samples, and an odd sketch: the samples are folded into a bitmap of parities, and the population count of two
 bitmaps' exclusive or tells how many samples differ, precisely so where similarities are high. Documents that share a band are
 candidates. A second odd sketch folds the whole set, so that with the sets' sizes it estimates the similarity without the samples' error. Candidates whose sketches
 allow a similarity of 0.8 (five standard deviations of either) are confirmed on their full sets. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
@@ -10,7 +10,7 @@ other: each meets the band's centre, the class that shares most bands with other
 band but are still in different components meet, until every such pair has been held against the sketches. So a band that holds a third
 of all rows costs a few rows for each of them, and no link between components is lost.
 
-Words: A-Z lower-cased, runs without ASCII white space. With one word the set holds it alone; without words or text the set is empty, and the document is linked
+Words: A-Z lower-cased, runs without ASCII white space. With fewer words than a shingle has, the set holds them all as one; without words or text the set is empty, and the document is linked
 with nothing. A repeated doc_id is one document for each distinct set. A null doc_id takes part, but names a component only as null; it is kept only where no id is in the component. Other columns are ignored.
 """
 
@@ -35,18 +35,18 @@ _XOR, _MUL = (_KEYS[:SAMPLES] >> U(32)).astype(np.uint32), (_KEYS[SAMPLES:] >> U
 SIGNATURE = "doc_id {id}, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
 
 
-def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles' hashes of each row, sorted, and each row's offsets (n + 1) in them."""
+def shingle_sets(text: pa.Array, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row's shingles of ``size`` words, sorted, and each row's offsets (n + 1) in them."""
     data, offsets = flat(text)
     data = lower_ascii(data)
     starts, ends, counts = word_spans(data, offsets, SPACE)
     words = span_hash(data, starts, ends)
-    pairs = gram_hash(words, 2)
+    grams = gram_hash(words, size)
     first = np.concatenate([[0], np.cumsum(counts)])
     out, sizes = [], np.zeros(len(counts), np.int64)
     for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b > a:
-            found = np.sort(pairs[a : b - 1]) if b - a > 1 else mix(words[a:b] + U(1))
+            found = np.sort(grams[a : b - size + 1]) if b - a >= size else mix(gram_hash(words[a:b], b - a) + U(b - a))
             keep = np.ones(len(found), bool)
             np.not_equal(found[1:], found[:-1], out=keep[1:])
             out.append(found[keep])
@@ -87,13 +87,13 @@ def whole_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(n, WHOLE_BITS), axis=1).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                shingles, offsets = shingle_sets(part.column("text"))
+                shingles, offsets = shingle_sets(part.column("text"), size)
                 sizes = np.diff(offsets)
                 some = np.flatnonzero(sizes)
                 digest, bands, sketch, whole = np.zeros(len(sizes), np.int64), *([[]] * len(sizes) for _ in range(3))
@@ -114,13 +114,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNATURE.format(id=kind))
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, size: int = 2) -> DataFrame:
     """(class, shingles) of each row of (class, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                shingles, offsets = shingle_sets(part.column("text"))
+                shingles, offsets = shingle_sets(part.column("text"), size)
                 yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles.view(np.int64)))], names=["class", "shingles"])
 
     return docs.select("class", "text").mapInArrow(run, "class bigint, shingles array<bigint>")
@@ -149,9 +149,9 @@ def _limit(percent: int) -> int:
     return int(mean + 3 * (BITS / 4) ** 0.5)
 
 
-def link(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_key for each row of ``docs``; linked with 100 * intersection >= percent * union."""
-    signed = cut(signatures(docs), "signatures")
+def link(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and text_key for each row of ``docs``; linked with 100 * intersection >= percent * union of their sets of shingles of ``size`` words."""
+    signed = cut(signatures(docs, size), "signatures")
     reps = cut(
         signed.where("n_shingles > 0")
         .groupBy("class")
@@ -168,7 +168,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     star = shared.join(centres, "band").select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b")).where("a < b").distinct()
     near = _near(star, sketches, percent)
     near = cut(near, "near")
-    edges = cut(_confirmed(near, docs, reps, percent), "links")
+    edges = cut(_confirmed(near, docs, reps, percent, size), "links")
     labels = components(edges)
     # classes that share a band and are in different components by now: their pairs, but for those met already
     here = cut(shared.select("i", "band", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("i", "band", "class", F.coalesce("label", "class").alias("label")), "labelled")
@@ -184,7 +184,7 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
         .join(near, ["a", "b"], "left_anti")
     )
-    edges, labels = _join_on(cut(rest, "rest"), edges, labels, docs, reps, percent)
+    edges, labels = _join_on(cut(rest, "rest"), edges, labels, docs, reps, percent, size)
     named = reps.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.select("class", "label").join(smallest, "label").select("class", "component_id")
@@ -199,27 +199,27 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").where(_possible(percent)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked by their full sets."""
     pairs = cut(pairs.select("a", "b"), "pairs")
     need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = cut(reps.select("class", "doc_id", "text_key").join(need, "class", "left_semi"), "wanted")
     wanted = (F.broadcast(wanted) if wanted.count() <= SMALL else wanted).alias("w")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d").join(wanted, F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key")).select("class", "text")
-    sets = cut(full_sets(texts).dropDuplicates(["class"]), "sets")
+    sets = cut(full_sets(texts, size).dropDuplicates(["class"]), "sets")
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("_common", common).where(F.expr(f"100L * _common >= {percent}L * (size(x) + size(y) - _common)")).select("a", "b")
 
 
-def _join_on(pairs: DataFrame, edges: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _join_on(pairs: DataFrame, edges: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """More links, from those of ``pairs`` whose classes are in different components; and the components then."""
     a, b = labels.toDF("a", "_a"), labels.toDF("b", "_b")
     apart = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     apart = cut(apart, "apart")
     if apart.isEmpty():
         return edges, labels
-    more = cut(_confirmed(apart, docs, reps, percent), "links")
+    more = cut(_confirmed(apart, docs, reps, percent, size), "links")
     if more.isEmpty():
         return edges, labels
     edges = edges.unionByName(more)
