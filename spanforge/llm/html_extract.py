@@ -3,10 +3,10 @@
 The markup is stripped into blocks ("lines"), one for each run of text between block-level tags. Every line
 has a weight: the length of its text, or 0 where it stands in a part of the page that is known not to be the
 article (menus, headers, footers, sidebars, forms, scripts, reader comments, adverts, notices), or outside the
-article or main element of a page that has one. The weights are summed over sliding windows of
-lines; a surge point is where the sum rises from below the threshold to it, a dive point where it falls back, and all text lines between a surge and
-its dive are kept. Where the page marks its article, any text makes a surge; else the window must hold ``SURGE`` characters and only the heaviest stretch
-and those of at least ``NEAR`` of its weight are kept.
+article or main element of a page where that holds most of the other text. A form, or an element that only a class or id marks, is no such part
+where it holds most of the article elements' text or of the page's. The weights are summed over sliding windows of
+lines; a surge point is where the sum rises from below the threshold to it, a dive point where it falls back, and all text lines between the first surge and
+the last dive are kept. Where the page marks its article, any text makes a surge; else the window must hold ``SURGE`` characters.
 
 Null or empty html gives an empty text. Repeated rows each give a row; other columns of the input are ignored.
 """
@@ -16,13 +16,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.common import table
 
-WINDOW, SURGE, NEAR = 3, 80, 0.3
+WINDOW, SURGE = 3, 80
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -39,25 +40,38 @@ MARKS = re.compile(
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|tags|legal|copyright|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them that are others' words wherever they stand, and so never wrap the article.
+FOREIGN = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|related|recommend\w*)(?:$|[_-])", re.I)
+#: Classes that tell what an element has or lacks, not what it is.
+STATE = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-]", re.I)
 ATTR = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-def _excluded(tag: str, attrs: str) -> bool:
-    if tag in ASIDE:
-        return True
+def _excluded(tag: str, attrs: str) -> int:
+    """2 for a part that is known not to be the article, 1 for one that may yet wrap it, else 0."""
+    if tag in ASIDE and tag != "form":
+        return 2
+    found = int(tag == "form")
     if attrs and tag not in ("body", "html"):
         for name, a, b, c in ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id") and MARKS.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
-    return False
+            if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                return 2
+            if name in ("class", "id"):
+                marks = [x for x in value.split() if MARKS.search(x) and not STATE.search(x)]
+                if any(FOREIGN.search(x) for x in marks):
+                    return 2
+                found = max(found, int(bool(marks)))
+        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
+            return 2
+    return found
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """The text blocks of a page in order: (text, in an excluded part, in an article or main element)."""
     out: list[tuple[str, bool, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # (tag, excluded, article)
+    open_tags: list[tuple[str, int, bool, int]] = []  # (tag, excluded, article, first line)
+    wraps: list[tuple[int, int]] = []  # lines of the parts that may wrap the article
     parts: list[str] = []
     excluded = article = 0
     at = 0
@@ -68,6 +82,15 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if text:
             out.append((text, excluded > 0, article > 0))
 
+    def leave() -> str:
+        nonlocal excluded, article
+        t, e, a, first = open_tags.pop()
+        excluded -= e == 2
+        article -= a
+        if e == 1 and first < len(out):
+            wraps.append((first, len(out)))
+        return t
+
     for m in TOKEN.finditer(page):
         parts.append(page[at : m.start()])
         at = m.end()
@@ -78,53 +101,53 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if tag in INLINE and not (tag not in VOID and not m["close"] and _excluded(tag, m["attrs"])):
             if tag == "br":
                 parts.append(" ")
-            if not m["close"] or not any(t == tag for t, _, _ in open_tags[-8:]):
+            if not m["close"] or not any(x[0] == tag for x in open_tags[-8:]):
                 continue
         if m["close"]:
             end()
-            if tag == "p" or any(t == tag for t, _, _ in open_tags):
+            if tag == "p" or any(x[0] == tag for x in open_tags):
                 while open_tags:
                     if tag == "p" and open_tags[-1][0] != "p":
                         break
-                    t, e, a = open_tags.pop()
-                    excluded -= e
-                    article -= a
-                    if t == tag:
+                    if leave() == tag:
                         break
         else:
             end()
             while open_tags and (open_tags[-1][0] == "p" and tag not in INLINE or tag == "li" and open_tags[-1][0] == "li"):
-                _, e, a = open_tags.pop()
-                excluded -= e
-                article -= a
+                leave()
             if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
                 e, a = _excluded(tag, m["attrs"]), tag in ("article", "main") or 'itemprop="articleBody"' in m["attrs"]
-                open_tags.append((tag, e, a))
-                excluded += e
+                open_tags.append((tag, e, a, len(out)))
+                excluded += e == 2
                 article += a
     parts.append(page[at:])
     end()
-    return out
+    while open_tags:
+        leave()
+    return _without_wraps(out, wraps)
+
+
+def _without_wraps(found: list[tuple[str, bool, bool]], wraps: list[tuple[int, int]]) -> list[tuple[str, bool, bool]]:
+    """The lines, with those of ``wraps`` excluded unless a wrap holds most of the text, or of the article elements' text, that isn't excluded yet."""
+    text = [0, *accumulate(0 if other else len(t) for t, other, _ in found)]
+    article = [0, *accumulate(len(t) if inside and not other else 0 for t, other, inside in found)]
+    depth = [0] * (len(found) + 1)
+    for a, b in wraps:
+        if all(2 * (sums[b] - sums[a]) <= sums[-1] for sums in (text, article)):
+            depth[a] += 1
+            depth[b] -= 1
+    return [(t, other or d > 0, inside) for (t, other, inside), d in zip(found, accumulate(depth[:-1]), strict=True)]
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, near: float = NEAR) -> str:
-    """The text between the surge and dive points of the page's lines, joined by a newline."""
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The text between the first surge and the last dive point of the page's lines, joined by a newline."""
     blocks = lines(page or "")
-    marked = any(inside and not other for _, other, inside in blocks)
+    free = sum(len(text) for text, other, _ in blocks if not other)
+    marked = 2 * sum(len(text) for text, other, inside in blocks if inside and not other) > free
     weights = [0 if other or marked and not inside else len(text) for text, other, inside in blocks]
     least = 1 if marked else min(surge, max(weights, default=0)) or 1
-    n, stretches, begin = len(weights), [], None
-    for i in range(n + 1):  # the window that begins at line i
-        heavy = i < n and sum(weights[i : i + window]) >= least
-        if heavy and begin is None:
-            begin = i
-        elif not heavy and begin is not None:
-            stretches.append((begin, min(n, i - 1 + window)))
-            begin = None
-    total = [sum(weights[a:b]) for a, b in stretches]
-    kept = [s for s, t in zip(stretches, total, strict=True) if marked or t >= near * max(total)]
-    chosen = sorted({i for a, b in kept for i in range(a, b) if weights[i]})
-    return "\n".join(blocks[i][0] for i in chosen)
+    heavy = [i for i in range(len(weights)) if sum(weights[i : i + window]) >= least]  # the windows that begin at line i
+    return "\n".join(blocks[i][0] for i in range(heavy[0], min(len(weights), heavy[-1] + window)) if weights[i]) if heavy else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
