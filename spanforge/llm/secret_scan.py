@@ -3,7 +3,7 @@
 The base patterns find assignments, access ids and long hexadecimal runs. The field tags each token (a run of letters, digits, ``+/_.-`` or bytes
 beyond ASCII) as beginning, inside or outside of a secret. Its features are the token's shape (length, kinds of characters, changes between letters and digits,
 distinct characters, prefix), its neighbours (what separates it from the token before, secret-like names among the two tokens
-before) and the file (share of digits, share of code-like marks). Tags are decoded by Viterbi; spans that don't touch a base span are added as
+before) and the file (share of digits, share of code-like marks). Tags are decoded by Viterbi; spans of which a part lies outside of all base spans are added whole as
 kind ``crf``.
 
 Decoding is exact and cheap: where a token's score as outside leads by more than any transitions can make up, it
@@ -307,15 +307,30 @@ def scan_texts(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
         text = texts[r].as_py() or ""
         spans = base_spans(text, raw)
         if r in added:
+            base = sorted((x, y) for x, y, _ in spans)
             for a, b in added[r]:
                 a = len(raw[:a].decode())
                 b = len(raw[:b].decode())
-                if not any(x < b and y > a for x, y, k in spans if k < 3):
+                if _beyond(text, a, b, base):
                     spans.append((a, b, 3))
         out.append(sorted(spans, key=lambda s: (s[0], s[2], s[1])))
     return out
 
 
+_PART = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
+
+
+def _beyond(text: str, a: int, b: int, base: list[tuple[int, int]]) -> bool:
+    """Whether letters or digits of text[a:b] lie outside of the (sorted) base spans."""
+    for x, y in base:
+        if x >= b:
+            break
+        if x > a and _PART.search(text, a, x):
+            return True
+        a = max(a, y)
+    return a < b and bool(_PART.search(text, a, b))
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
