@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanforge.llm import byte_bpe, decontaminate, near_dedup, quality_cnn, secret_scan
 from spanforge.llm.common import shared_dir, table
 
-#: Documents whose score is below this are rejected.
-REJECT = 0.3
+#: Documents whose score is below this are rejected: those that op6 predicts as 0.
+REJECT = 0.5
 #: Words of a shingle of the near-dedup (op7 alone is bound to 2).
 SHINGLE = 5
 #: What stands for a secret.
