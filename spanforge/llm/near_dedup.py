@@ -132,14 +132,18 @@ def _differ(a: str, b: str, bits: int):
 
 
 def _possible(percent: int):
-    """Whether the sizes and both sketches of x and y allow the similarity."""
+    """Whether the sizes and both sketches of x and y allow the similarity.
+
+    Two bitmaps of whole sets never differ in more bits than there are shingles in one set only, so that bound loses no pair; for large sets, whose flips
+    cancel, five standard deviations above the mean bind first.
+    """
     m = float(WHOLE_BITS)
     apart = (F.col("x_n") + F.col("y_n")) * F.lit((100 - percent) / (100 + percent))  # the most shingles that are in one set only
     two, four = F.pow(F.lit(1 - 2 / m), apart), F.pow(F.lit(1 - 4 / m), apart)
     mean = (1 - two) * (m / 2)
     spread = F.sqrt(F.greatest((1 - two * two) * (m / 4) + (four - two * two) * (m * (m - 1) / 4), F.lit(1.0)))
     sizes = F.expr(f"100 * x_n >= {percent} * y_n AND 100 * y_n >= {percent} * x_n")
-    return sizes & (_differ("x_sketch", "y_sketch", BITS) <= _limit(percent)) & (_differ("x_whole", "y_whole", WHOLE_BITS) <= mean + 5 * spread + 2)
+    return sizes & (_differ("x_sketch", "y_sketch", BITS) <= _limit(percent)) & (_differ("x_whole", "y_whole", WHOLE_BITS) <= F.least(apart + 1e-6, mean + 5 * spread + 2))
 
 
 def _limit(percent: int) -> int:
