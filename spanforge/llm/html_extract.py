@@ -1,14 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped into blocks ("lines"), one for each run of text between block-level tags. Every line
-has a weight: the length of its text, or 0 where it stands in a part of the page that is known not to be the
-article (menus, headers, footers, sidebars, forms, scripts, reader comments, adverts, notices), or outside the
+The markup is stripped into blocks ("lines"), one for each run of text between block-level tags. Every line has a weight: its characters that no link holds, or none where it
+stands in a part of the page that is known not to be the article (menus, headers, footers, sidebars, forms, scripts, reader comments, adverts, notices), or outside the
 article or main element of a page where that holds most of the other text. A form, or an element that only a class or id marks, is no such part
-where it holds most of the article elements' text or of the page's. The weights are summed over sliding windows of
-lines; a surge point is where the sum rises from below the threshold to it, a dive point where it falls back, and all text lines between the first surge and
-the last dive are kept. Where the page marks its article, any text makes a surge; else the window must hold ``SURGE`` characters.
+where it holds most of the article elements' text or of the page's.
 
-Null or empty html gives an empty text. Repeated rows each give a row; other columns of the input are ignored.
+The weights are summed over sliding windows of lines. A surge point is where the sum rises to the threshold, a dive point where it falls below it again; the text between the
+first surge and the last dive is kept, lines of links among it too, but for the parts that are known to be others. What stands before or after is cut: menus and lists of
+links that nothing else tells from the article. The threshold is a share of the page's own largest sum, ``SURGE`` at most; where the page marks its article, any text that is no link makes a surge.
+A page whose text is links only is taken as if they were none.
+
+Null or empty html gives an empty text, an empty table an empty result. Repeated rows each give a row; other columns of the input are ignored, whatever their names. Pages are
+worked on one by one, each whole.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm.common import table
+from spanforge.llm.common import slices, table
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, SHARE = 3, 80, 0.1
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -67,20 +70,31 @@ def _excluded(tag: str, attrs: str) -> int:
     return found
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """The text blocks of a page in order: (text, in an excluded part, in an article or main element)."""
-    out: list[tuple[str, bool, bool]] = []
+Line = tuple[str, bool, bool, int]
+
+
+def lines(page: str) -> list[Line]:
+    """The text blocks of a page in order: (text, in an excluded part, in an article or main element, characters outside links)."""
+    out: list[Line] = []
     open_tags: list[tuple[str, int, bool, int]] = []  # (tag, excluded, article, first line)
     wraps: list[tuple[int, int]] = []  # lines of the parts that may wrap the article
     parts: list[str] = []
-    excluded = article = 0
+    links: list[str] = []
+    excluded = article = linked = 0
     at = 0
 
     def end() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
+        other = sum(len(x) for x in entities.unescape("".join(links)).split())
         parts.clear()
+        links.clear()
         if text:
-            out.append((text, excluded > 0, article > 0))
+            out.append((text, excluded > 0, article > 0, max(0, sum(len(x) for x in text.split(" ")) - other)))
+
+    def add(text: str) -> None:
+        parts.append(text)
+        if linked:
+            links.append(text)
 
     def leave() -> str:
         nonlocal excluded, article
@@ -92,12 +106,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         return t
 
     for m in TOKEN.finditer(page):
-        parts.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "a":
+            linked = int(not m["close"])
         if tag in INLINE and not (tag not in VOID and not m["close"] and _excluded(tag, m["attrs"])):
             if tag == "br":
                 parts.append(" ")
@@ -120,34 +136,61 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 open_tags.append((tag, e, a, len(out)))
                 excluded += e == 2
                 article += a
-    parts.append(page[at:])
+    add(page[at:])
     end()
     while open_tags:
         leave()
     return _without_wraps(out, wraps)
 
 
-def _without_wraps(found: list[tuple[str, bool, bool]], wraps: list[tuple[int, int]]) -> list[tuple[str, bool, bool]]:
+def _without_wraps(found: list[Line], wraps: list[tuple[int, int]]) -> list[Line]:
     """The lines, with those of ``wraps`` excluded unless a wrap holds most of the text, or of the article elements' text, that isn't excluded yet."""
-    text = [0, *accumulate(0 if other else len(t) for t, other, _ in found)]
-    article = [0, *accumulate(len(t) if inside and not other else 0 for t, other, inside in found)]
+    text = [0, *accumulate(0 if other else len(t) for t, other, _, _ in found)]
+    article = [0, *accumulate(len(t) if inside and not other else 0 for t, other, inside, _ in found)]
     depth = [0] * (len(found) + 1)
     for a, b in wraps:
         if all(2 * (sums[b] - sums[a]) <= sums[-1] for sums in (text, article)):
             depth[a] += 1
             depth[b] -= 1
-    return [(t, other or d > 0, inside) for (t, other, inside), d in zip(found, accumulate(depth[:-1]), strict=True)]
+    return [(t, other or d > 0, inside, free) for (t, other, inside, free), d in zip(found, accumulate(depth[:-1]), strict=True)]
+
+
+def block_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The sum of the weights of each line and the ``window`` - 1 after it."""
+    upto = [0, *accumulate(weights)]
+    return [upto[min(len(weights), i + window)] - upto[i] for i in range(len(weights))]
+
+
+def stretches(sums: list[int], least: float) -> list[tuple[int, int]]:
+    """(surge, dive) points: from the window whose sum reaches ``least`` to the first one after it whose sum doesn't."""
+    out, surge = [], None
+    for i, x in enumerate([*sums, -1]):
+        if x >= least and surge is None:
+            surge = i
+        elif x < least and surge is not None:
+            out.append((surge, i))
+            surge = None
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between the first surge and the last dive point of the page's lines, joined by a newline."""
     blocks = lines(page or "")
-    free = sum(len(text) for text, other, _ in blocks if not other)
-    marked = 2 * sum(len(text) for text, other, inside in blocks if inside and not other) > free
-    weights = [0 if other or marked and not inside else len(text) for text, other, inside in blocks]
-    least = 1 if marked else min(surge, max(weights, default=0)) or 1
-    heavy = [i for i in range(len(weights)) if sum(weights[i : i + window]) >= least]  # the windows that begin at line i
-    return "\n".join(blocks[i][0] for i in range(heavy[0], min(len(weights), heavy[-1] + window)) if weights[i]) if heavy else ""
+    free = sum(len(text) for text, other, _, _ in blocks if not other)
+    marked = 2 * sum(len(text) for text, other, inside, _ in blocks if inside and not other) > free
+    own = [(text, n) for text, other, inside, n in blocks if not other and (inside or not marked)]  # the other lines weigh nothing, and don't part the windows
+    weights = [n for _, n in own]
+    if not any(weights):
+        weights = [len(text) for text, _ in own]
+    sums = block_sums(weights, window)
+    found = stretches(sums, 1 if marked else max(1, min(surge, SHARE * max(sums, default=0))))
+    if not found:
+        return ""
+    first, last = found[0][0], found[-1][1] - 1  # the windows of the first surge and before the last dive
+    while not weights[first]:  # a window rises by the lines at its end, and falls by those at its begin
+        first += 1
+    last = max(i for i in range(last, min(len(weights), last + window)) if weights[i])
+    return "\n".join(text for text, _ in own[first : last + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -155,8 +198,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for part in slices(batch, "html"):
+                texts = [main_text(x.as_py()) for x in part.column("html")]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars bigint")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from spanforge.llm.html_extract import main_text
+from spanforge.llm.html_extract import block_sums, extract, lines, main_text, stretches
 
 LONG, TAIL = "long text " * 100, "closing section " * 13
 STORY = f"<p>{LONG}</p><p>Second.</p><p>{TAIL}</p>"
@@ -35,3 +37,41 @@ def test_other_parts_stay_out():
 def test_a_small_article_element_does_not_hide_the_text():
     card = "<article>A teaser card</article>"
     assert main_text(card + STORY) == "A teaser card\n" + WANT and main_text(f"<main>{STORY}</main><p>{TAIL}</p>") == WANT
+
+
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Another page {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("page", ["<body>{0}{1}{0}</body>", "<body><article>{0}{1}{0}</article></body>", "<body><main>{0}{1}{0}</main><footer>x</footer></body>", "<div>{0}</div><div>{1}</div><div>{0}</div>"])
+def test_windows_cut_what_no_mark_tells(page):
+    """Lists of links before the first surge and after the last dive are cut, with and without semantic tags; those within stay."""
+    middle = STORY + "<p><a href='/x'>A line that is a link</a></p>" + STORY
+    want = f"{WANT}\nA line that is a link\n{WANT}"
+    assert main_text(page.format(LINKS, middle)) == want
+    unmarked = "\n".join(text for text, other, _, _ in lines(page.format(LINKS, middle)) if not other)
+    assert unmarked.count("Another page") == 16 and want in unmarked  # without the windows all of it would stay
+
+
+def test_light_lines_far_from_the_text_are_cut():
+    assert main_text(f"<div>Home</div><div>12 May</div><div>Tools</div><div>Print</div>{STORY}") == "Tools\nPrint\n" + WANT  # the window of the first surge holds two of them
+    assert main_text("<p>one</p><p>two</p>") == "one\ntwo" and main_text(LINKS).startswith("Another page 0")
+
+
+def test_sums_and_points_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        weights, window = [rng.choice((0, 0, 5, 40, 200)) for _ in range(rng.randrange(12))], rng.randrange(1, 5)
+        sums = block_sums(weights, window)
+        assert sums == [sum(weights[i : i + window]) for i in range(len(weights))]
+        inside = {i for a, b in stretches(sums, 60) for i in range(a, b)}
+        assert inside == {i for i, x in enumerate(sums) if x >= 60}
+
+
+def test_tables(spark):
+    kind = "page_id bigint, url string, html string, text string, n_chars string, lines int"
+    assert extract(spark.createDataFrame([], kind)).collect() == []
+    big = "<article>" + "<p>A long page of words, again.</p>" * 100_000 + "</article>"
+    rows = [(1, "u", big, "x", "y", 1), (2, None, None, None, None, None), (3, "u", "", "x", "y", 1), (None, "u", "<p>Text", "x", "y", 2), (1, "u", big, "x", "y", 1)]
+    got = sorted(map(tuple, extract(spark.createDataFrame(rows, kind)).collect()), key=lambda r: (r[0] or 0, r[3]))
+    text = "\n".join(["A long page of words, again."] * 100_000)
+    assert got == [(None, "u", "Text", 4), (1, "u", text, len(text)), (1, "u", text, len(text)), (2, None, "", 0), (3, "u", "", 0)]
