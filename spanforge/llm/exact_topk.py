@@ -2,17 +2,20 @@
 
 Vectors are turned into whole numbers, floor(256 x). Each vector keeps its Euclidean distances to ``PIVOTS``
 pivots. For a query q and a candidate x the largest |d(q, p) - d(x, p)| over all pivots p is a lower bound of d(q, x), so
-(|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. Candidates are evaluated in the order of that
-bound until it falls below the k-th best score found; candidates whose bound equals it are still evaluated, as ties go to
-the smaller id.
+(|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. The bounds eliminate twice:
 
-Queries meet candidates in blocks: a task has one block of candidates and one block of queries, and yields at most k
-rows for each query; a window over the few rows of each query gives the result. The pivots are vectors with the
-smallest hashes, ``PIVOTS`` of them whatever the table's size; they affect only the speed.
+1. Before the shuffle. Candidates belong to the cell of their nearest pivot, cells are dealt into blocks. Each query first meets one block of its own cell, which gives a k-th
+   best score so far. A cell's least and largest distances to every pivot bound its inner products with the query; the query goes to the blocks of those cells only whose bound reaches
+   that score, and blocks go only where queries ask for them.
+2. Within a block. Candidates are evaluated in the order of their bounds until these fall below the k-th best score; those whose bound equals it are still evaluated, as ties go
+   to the smaller id.
 
-Vectors that are null, or hold null or non-finite components, take no part; rows with a null id take no part. Vectors of different lengths are compared over
-the shorter one's components. A vec_id that is repeated is as many candidates (equal scores in any order); none of them is a candidate of its own id's query,
-and its query runs once for each distinct vector. Columns beside vec_id and embedding are ignored.
+A task has one block of candidates and one block of queries, and yields at most k rows for each query; a window over the few rows of each query gives the result. The pivots are vectors
+with the smallest hashes, ``PIVOTS`` of them whatever the table's size; they affect only the speed.
+
+Vectors that are null, or hold null or non-finite components, take no part; rows with a null id take no part. An empty table gives an empty result. Vectors of different lengths are
+compared over the shorter one's components. A vec_id that is repeated is as many candidates (equal scores in any order); none of them is a candidate of its own id's query,
+and its query runs once for each distinct vector, with a result for each. Columns beside vec_id and embedding are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from spanforge.llm.common import cut, table
 
 K, EVERY, PIVOTS, QUERY_BLOCK, BLOCK = 5, 50, 24, 1024, 4096
 STEP = 64
+RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -42,8 +46,8 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_far: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, candidate ids, scores) of the k best candidates of each query."""
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_far: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query row, candidate ids, scores) of the k best candidates of each query; those below ``least``, a score of each query, may be left out."""
     bound = np.zeros((len(q), len(c)))
     gap = np.empty_like(bound)
     for p in range(q_far.shape[1]):
@@ -60,7 +64,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, c_ids: np
         ids, scores, at = np.zeros(0, np.int64), np.zeros(0), 0
         step = STEP
         while at < len(order):
-            if len(scores) >= k and up[order[at]] < scores[k - 1] - 0.5:
+            if len(scores) >= k and up[order[at]] < scores[k - 1] - 0.5 or least is not None and up[order[at]] < least[i] - 0.5:
                 break
             now = order[at : at + step]
             ids, scores = np.concatenate([ids, c_ids[now]]), np.concatenate([scores, c[now] @ q[i]])
@@ -86,30 +90,59 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIV
 
         return F.array(*map(one, table_of)) if table_of else F.array().cast("array<double>")
 
-    placed = cut(found.withColumn("far", distances(F.col("v"))), "pivots")
-    n = placed.count()
-    asked = placed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    n_query = max(1, -(-asked.count() // QUERY_BLOCK))
-    n_block = max(1, -(-n // BLOCK))
-    # candidates go to blocks of even size in any order; a row's block doesn't matter for the result
-    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_block))
-    queries = asked.withColumn("qb", F.pmod(F.xxhash64(F.lit(7), "vec_id", "v"), F.lit(n_query))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_block - 1)).cast("array<bigint>")))
-    candidates = placed.withColumn("cb", block).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)).cast("array<bigint>")))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    nearest = F.coalesce(F.array_position("far", F.array_min("far")) - 1, F.lit(0)) if table_of else F.lit(0)
+    # the row's number is written with it, so that its block stays the same whatever is recomputed
+    placed = found.withColumn("far", distances(F.col("v"))).withColumns({"size": squares, "cell": nearest.cast("long"), "salt": F.monotonically_increasing_id()})
+    placed = cut(placed, "pivots")
+    ends = [f(F.col("far")[p]).alias(f"{n}{p}") for p in range(len(table_of)) for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("size"), *ends).orderBy("cell").collect()  # a row for each pivot
+    if not cells:
+        return spark.createDataFrame([], RESULT)
+    parts = F.create_map(*[F.lit(x) for c in cells for x in (c["cell"], -(-c["n"] // BLOCK))])  # blocks of a cell
+    part = F.pmod(F.xxhash64("vec_id", "salt"), parts[F.col("cell")])
+    asked = placed.where(F.col("vec_id") % every == 0).withColumn("query", F.xxhash64("v")).dropDuplicates(["vec_id", "query"])
+    asks = F.create_map(*[F.lit(x) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect() for x in (r["cell"], -(-r["n"] // QUERY_BLOCK))] or [F.lit(-1).cast("long"), F.lit(1)])
+    asked = asked.withColumn("qb", F.struct("cell", F.pmod(F.xxhash64(F.lit(7), "vec_id", "query"), asks[F.col("cell")])))
+    asked = cut(asked.select("vec_id", "query", "v", "far", "size", "cell", "qb", part.alias("home")), "asked")
+    candidates = placed.select("vec_id", "v", "far", "cell", part.alias("part"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, int, int]] = []
         if len(left) and len(right):
             width = max(left.v.map(len).max(), right.v.map(len).max())
             far = len(left.far.iloc[0])
             c, c_far = _matrix(right.v, width), _matrix(right.far, far)
             for a in range(0, len(left), 128):  # bounds of 128 queries at a time
-                part = left.iloc[a : a + 128]
-                for i, ids, scores in best_of_block(part.vec_id.to_numpy(), _matrix(part.v, width), _matrix(part.far, far), right.vec_id.to_numpy(), c, c_far, k):
-                    rows += [(int(part.vec_id.iloc[i]), int(x), int(s)) for x, s in zip(ids, scores, strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    best = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                some = left.iloc[a : a + 128]
+                for i, ids, scores in best_of_block(some.vec_id.to_numpy(), _matrix(some.v, width), _matrix(some.far, far), right.vec_id.to_numpy(), c, c_far, k, some.least.to_numpy()):
+                    rows += [(int(some.vec_id.iloc[i]), int(some["query"].iloc[i]), int(x), int(s)) for x, s in zip(ids, scores, strict=True)]
+        return pd.DataFrame(rows, columns=["query_id", "query", "vec_id", "score"]).astype("int64")
+
+    def met(queries: DataFrame) -> DataFrame:
+        """The best candidates of ``queries`` (qb, cell, part) in the blocks that they ask for."""
+        keys = ["qb", "cell", "part"]
+        wanted = queries.select(*(F.col(c).alias(c) for c in keys)).distinct()
+        right = candidates.join(wanted, ["cell", "part"])
+        return queries.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, query bigint, vec_id bigint, score bigint")
+
+    columns = ["vec_id", "query", "v", "far", "qb"]
+    first_best = cut(met(asked.select(*columns, F.lit(float("-inf")).alias("least"), "cell", F.col("home").alias("part"))), "first")
+    kth = first_best.groupBy(F.col("query_id").alias("vec_id"), "query").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
+    bounds = {c["cell"]: ([c[f"lo{p}"] for p in range(len(table_of))], [c[f"hi{p}"] for p in range(len(table_of))]) for c in cells}
+
+    def reaches(c) -> F.Column:
+        """Whether the query's inner product with a vector of the cell may reach its k-th best so far."""
+        lo, hi = bounds[c["cell"]]
+        gap = F.greatest(F.lit(0.0), F.lit(0.0), *[F.greatest(F.col("far")[p] - hi[p], F.lit(lo[p]) - F.col("far")[p]) for p in range(len(lo))])
+        gap = F.greatest(F.lit(0.0), gap - 1e-6 * (1 + gap))  # distances are rounded
+        return (F.col("size") + c["size"] - gap * gap) / 2 >= F.col("least") - 0.5
+
+    open_ = F.array_compact(F.array(*[F.when(reaches(c), F.lit(c["cell"])) for c in cells]))
+    rest = asked.join(kth, ["vec_id", "query"], "left").fillna(float("-inf"), ["least"]).withColumnRenamed("cell", "own").withColumn("cell", F.explode(open_))
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts[F.col("cell")].cast("long") - 1))).where("cell <> own OR part <> home")
+    best = first_best.unionByName(met(rest.select(*columns, "least", "cell", "part")))
+    w = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
