@@ -5,9 +5,9 @@ that overlap by half and cover the whole document. The pooled chunks are combine
 probability.
 
 The network learns from ``TRAIN_ROWS`` labelled documents at most (half of each class, those with the smallest hashes of
-doc_id, of at most ``TRAIN_CHARS`` characters), never from rows whose crc32(doc_id as text) mod 3 is 1. The classes' true proportions are restored in the
-bias. Only the text enters a score. Null texts count as empty; an empty text is one chunk of padding. Repeated rows each get their score. Without labels of both
-classes every score is the share of label 1 (0.5 without any).
+doc_id, of longer texts a stretch of ``TRAIN_CHARS`` characters), never from rows whose crc32(doc_id as text) mod 3 is 1. The classes' true proportions are restored in the
+bias. Only the text enters a score. Null texts count as empty; an empty text is one chunk of padding. Repeated rows each get their score; an empty table gives an empty result. Other
+input columns pass through; one named _score is replaced. Without labels of both classes every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -175,7 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
         return net
     some = [sampled(known.where(F.col("_label") == k), "doc_id", rows // 2, 3).orderBy("_h", "doc_id").limit(rows // 2).drop("_h") for k in (0, 1)]
     sample = some[0].unionByName(some[1])  # ``rows`` rows at most, so it may be broadcast
-    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chars).join(F.broadcast(sample), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").limit(2 * rows).collect()
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # of a longer text a stretch of that many characters, from a place that its hash tells
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    excerpt = F.when(F.length("text") > chars, F.substring("text", begin, F.lit(chars))).otherwise(F.col("text"))
+    held = held.select("doc_id", excerpt.alias("text"), "_label").distinct()
+    found = held.withColumn("_h", F.xxhash64("doc_id", "text")).orderBy("_h", "doc_id", "text").limit(2 * rows).drop("_h").collect()  # repeated ids: 2 * ``rows`` at most, the same each time
     found.sort(key=lambda r: (r.doc_id, r.text))
     texts = [np.frombuffer(r.text.encode(), np.uint8) for r in found]
     y = np.array([r["_label"] for r in found], np.float64)
@@ -189,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """Every input column and ``_score``, the probability of label 1."""
+    docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
