@@ -6,7 +6,8 @@ vocabulary. Second tier: the bytes are linked, a heap holds the ranks of neighbo
 recent pre-tokens are kept in two generations of bounded size. Decoding looks the ids up again.
 
 The vocabulary is a file of fixed size, a parameter; the driver reads it and builds the hash. Null texts are empty; an empty text has no ids; every text is
-encoded whole; repeated rows each give a row.
+encoded whole; repeated rows each give a row; an empty table gives an empty result. Other input columns pass through tokenize(); one named _ids or _decoded is
+replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
-from spanforge.llm.common import table
+from spanforge.llm.common import slices, table
 
+SLICE = 1 << 19  # bytes of text whose ids a task holds at a time; a longer text is taken alone
 KEEP = 300_000  # pre-tokens in each generation of recent results
 _ODD, _WIDE = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -193,14 +195,14 @@ def _mine(shared) -> Codec:
 
 def tokenize(docs: DataFrame, own: Codec | None = None) -> DataFrame:
     """Every input column, ``_ids`` (array of int) and ``_decoded`` (binary)."""
+    docs = docs.drop("_ids", "_decoded")
     sent = docs.sparkSession.sparkContext.broadcast(own or codec())  # the vocabulary's size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _mine(sent.value)
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.slice(a, 200)
-                ids = [mine.encode(t or "") for t in part.column("text").to_pylist()]
+            for part in slices(batch, "text", SLICE):
+                ids = [mine.encode(t.as_py() or "") for t in part.column("text")]
                 mine.recent.turn()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(mine.decode, ids), pa.binary())], names=[*part.schema.names, "_ids", "_decoded"])
 

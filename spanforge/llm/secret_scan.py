@@ -10,9 +10,10 @@ Decoding is exact and cheap: where a token's score as outside leads by more than
 is outside in the best path, whatever its neighbours are. Such tokens part the chain into short runs, and Viterbi runs
 over those, many at a time.
 
-The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of doc_id, with texts under ``TRAIN_CHARS`` characters, half of them with
+The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of doc_id, of long texts a stretch of ``TRAIN_CHARS`` characters, half of them with
 secret-like names), labelled by the base patterns, and from lines of public secret formats that are generated here. Every document is
-scanned whole. Null texts are empty; an empty text has no spans; repeated rows each give a row.
+scanned whole. Null texts are empty; an empty text has no spans; an empty table gives an empty result; repeated rows each give a row. Other input columns pass through; one named
+_found or _masked is replaced.
 """
 
 from __future__ import annotations
@@ -96,13 +97,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before[0], before[1:] = 0, ends[:-1]
     np.maximum(before, offsets[row], out=before)
     sep_code = _SEP[data]
-    gap = np.zeros(n, np.uint8)
-    short = starts - before
-    for j in range(1, 5):  # the four bytes before the token
-        ok = short >= j
-        gap[ok] |= sep_code[starts[ok] - j]
+    cuts = np.empty(2 * n, np.int64)
+    cuts[0::2], cuts[1::2] = before, starts
+    gap = np.where(starts > before, np.bitwise_or.reduceat(sep_code, cuts)[0::2], 0).astype(np.uint8)
     name = np.zeros(n, np.int32)
-    for i in np.flatnonzero((ends - starts >= 3) & (ends - starts <= 40) & _maybe_name(data, starts, ends)).tolist():
+    for i in np.flatnonzero(_maybe_name(data, starts, ends)).tolist():
         if KEYWORD.search(data[starts[i] : ends[i]].tobytes()):
             name[i] = 1
     begins = np.zeros(n, bool)
@@ -266,10 +265,12 @@ def formats(n: int = 300, seed: int = 5) -> tuple[list[str], list[list[tuple[int
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
-    """The field learned from a bounded sample of ``docs`` (``rows`` texts of under ``chars`` characters)."""
-    usable = F.col("text").isNotNull() & (F.length("text") < chars)
+    """The field learned from a bounded sample of ``docs`` (``rows`` texts, of long ones ``chars`` characters)."""
+    # of a longer text a stretch of that many characters, from a place that its hash tells
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    some = docs.select("doc_id", F.when(F.length("text") > chars, F.substring("text", begin, F.lit(chars))).otherwise(F.col("text")).alias("text")).where("text IS NOT NULL")
     named = F.col("text").rlike("(?i)passw|secret|token|api_?key|AKIA[A-Z0-9]{14}")
-    halves = [sampled(docs.select("doc_id", "text"), "doc_id", rows // 2, spare).where(kind).orderBy("_h", "text").limit(rows // 2) for kind, spare in ((usable & named, 100), (usable, 2))]
+    halves = [sampled(some, "doc_id", rows // 2, spare).where(kind).orderBy("_h", "text").limit(rows // 2) for kind, spare in ((named, 100), (F.lit(True), 2))]
     sample = halves[0].unionByName(halves[1]).collect()  # ``rows`` texts at most
     texts = sorted({r.text for r in sample})
     spans = []
@@ -335,51 +336,45 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Every input column and the array ``found`` of (kind, start, end)."""
+def scan(docs: DataFrame, field: Field | None = None, mask: str | None = None) -> DataFrame:
+    """Every input column and the array ``_found`` of (kind, start, end); with ``mask`` also ``_masked``, the text with each secret (overlapping ones once) replaced by it, null where that is null."""
+    docs = docs.drop("_found", "_masked")
     field = field or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x] for x in scan_texts(part.column("text"), field)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*part.schema.names, "_found"])
+                spans = scan_texts(part.column("text"), field)
+                found = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x] for x in spans]
+                more = [] if mask is None else [pa.array([masked(t.as_py(), x, mask) for t, x in zip(part.column("text"), spans, strict=True)], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind), *more], names=[*part.schema.names, "_found", *["_masked"] * len(more)])
 
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_found", T.ArrayType(span))])
-    return docs.mapInArrow(run, schema)
+    more = [] if mask is None else [T.StructField("_masked", T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_found", T.ArrayType(span)), *more]))
 
 
-def secret_part(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+def secret_part(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
     """The secret itself of a span: of an assignment, its value."""
-    if kind == "assign":
+    if KINDS[kind] == "assign":
         m = ASSIGN.match(text, a)
         return m.span(2) if m else (a, b)
     return a, b
 
 
-def masked(found: DataFrame, mask: str) -> DataFrame:
-    """The result of scan() and ``_masked``, the text with each secret (overlapping ones once) replaced by ``mask``; null stays null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text"), batch.column("_found").to_pylist(), strict=True):
-                text = text.as_py()
-                if text is not None and spans:
-                    parts, upto = [], 0
-                    for a, b in sorted(secret_part(text, s["kind"], s["start"], s["end"]) for s in spans):
-                        if b <= upto:
-                            continue
-                        if a >= upto:
-                            parts += [text[upto:a], mask]
-                        upto = b
-                    text = "".join(parts) + text[upto:]
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "_masked"])
-
-    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_masked", T.StringType())]))
+def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> str | None:
+    """The text with each secret replaced by ``mask``, overlapping ones once."""
+    if text is None or not spans:
+        return text
+    parts, upto = [], 0
+    for a, b in sorted(secret_part(text, k, a, b) for a, b, k in spans):
+        if b <= upto:
+            continue
+        if a >= upto:
+            parts += [text[upto:a], mask]
+        upto = b
+    return "".join(parts) + text[upto:]
 
 
 def digest(docs: DataFrame) -> DataFrame:

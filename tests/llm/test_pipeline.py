@@ -10,6 +10,7 @@ import corpus_pipeline
 from spanforge.llm import registry
 from tests.harness import check
 from tests.llm.data import empty, hard
+from tests.llm.test_pipeline_shingles import shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +34,7 @@ def test_stages(spark, tmp_path):
         assert set(now.doc_id) <= seen[-1] and now.doc_id.is_unique
         seen.append(set(now.doc_id))
         if i == 1:  # no two documents that are left are near copies
-            sets = {r.doc_id: (lambda w: set(zip(w, w[1:], strict=False)))(r.text.lower().split()) for r in now.itertuples()}
+            sets = {r.doc_id: shingles(r.text) for r in now.itertuples()}
             ids = sorted(sets)
             assert not any(sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in ids for b in ids if a < b)
         if i == 3:

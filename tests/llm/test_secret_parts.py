@@ -34,5 +34,5 @@ def test_field_spans_that_reach_beyond_base_spans():
 
 def test_whole_secrets_are_masked(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string").coalesce(1)
-    got = {r.doc_id: r._masked for r in secret_scan.masked(secret_scan.scan(docs, Marked()), "[S]").collect()}
+    got = {r.doc_id: r._masked for r in secret_scan.scan(docs, Marked(), "[S]").collect()}
     assert [got[i] for i in range(6)] == ["use [S] here", "id [S] here", 'password="[S]"', "use [S] here", "only [S]. here", 'password="[S]"']
