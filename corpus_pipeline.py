@@ -7,12 +7,14 @@ stage that doesn't reject them by its own rule.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanforge.llm import byte_bpe, decontaminate, near_dedup, quality_cnn, secret_scan
-from spanforge.llm.common import shared_dir, table
+from spanforge.llm.common import table
+from spanforge.sources.shared import clear, mark, written
 
 #: Documents whose score is below this are rejected: those that op6 predicts as 0.
 REJECT = 0.5
@@ -22,12 +24,30 @@ SHINGLE = 5
 MASK = "[SECRET]"
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+OWN = ("doc_id", "text", "n_chars")
+
+
+def any_columns(stage: Stage) -> Stage:
+    """The stage, on documents whose other columns have names that clash with none of its own; it returns them under theirs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"column{i}" for i, c in enumerate(docs.columns)]
+        found = stage(spark, docs.toDF(*names), sf_dir)
+        return found.toDF(*docs.columns) if found.columns == names else found
+
+    return run
+
+
+@any_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality classifier doesn't reject."""
     net = quality_cnn.train(docs, table(spark, sf_dir, "labels"))
     return quality_cnn.score(docs, net).where(F.col("_score") >= REJECT).drop("_score")
 
 
+@any_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest doc_id (one row of it, if it is repeated)."""
     found = near_dedup.link(docs, size=SHINGLE).where("kept").select("doc_id", "text_key").distinct().alias("k")
@@ -38,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.unionByName(kept.where(F.col("doc_id").isNull()).dropDuplicates(["_key"])).drop("_key").select(*docs.columns)
 
 
+@any_columns
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_dc_key").distinct().alias("h")
@@ -45,10 +66,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return keyed.join(hit, F.expr("d.doc_id <=> h.doc_id AND d._key = h._dc_key"), "left_anti").select(*docs.columns)
 
 
+@any_columns
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks the secrets in the texts; n_chars follows."""
-    found = secret_scan.scan(docs)
-    masked = secret_scan.masked(found, MASK)
+    masked = secret_scan.scan(docs, mask=MASK)
     changed = F.size("_found") > 0
     columns = {f.name: f.dataType for f in docs.schema.fields}
     out = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
@@ -57,6 +78,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return masked.select(*out, text, *n_chars).select(*docs.columns)
 
 
+@any_columns
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and token ids; ``lossless`` says that they decode to the text's bytes."""
     found = byte_bpe.tokenize(docs)
@@ -76,10 +98,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+    """The last stage's rows over the documents of ``sf_dir``. What a stage wrote for itself, and the documents that it read, go once its result is written."""
+    docs, since = table(spark, sf_dir, "documents"), mark(spark)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, since, keep=1)
     return docs
