@@ -4,54 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from spanforge.operators import intervals as I, sampling, stats
+from spanforge.operators import coverage, intervals as I, sampling, stats
 from spanforge.plans.interval_queries import GENE, MERGED, WIDTH
 from spanforge.plans.views import oracle, view
+from spanforge.sources.shared import written
 
 #: The reference's defaults.
 PERMS, REPLICATES, SEED = 1000, 2000, 7
-#: The SQL's number of permutations (its bootstrap has 50 replicates); tests hold the queries against it at that size.
-SQL_PERMS = 8
 STRATA = ("direction", "len_bin")
+#: Placements in a task.
+SHARE = 250_000
 
 
-def placed(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.placements(view(spark, d, "regions"), view(spark, d, "tested"), PERMS, SEED, GENE)
+def fitting(spark: SparkSession, d: str) -> DataFrame:
+    """The regions that fit somewhere, with their blocks and levels: a row for each region, written once for all that follows."""
+    return written(sampling.fitting_blocks(view(spark, d, "regions"), view(spark, d, "tested"), GENE).withColumn("len_bin", stats.len_bin()).select("region_id", *GENE, "start0", "end0", "length", *STRATA, "total", "blocks"), "fitting")
 
 
-def fitting(spark: SparkSession, d: str) -> DataFrame:
-    """region_id of the regions that fit somewhere; one draw tells, as it doesn't depend on the permutation."""
-    return sampling.placements(view(spark, d, "regions"), view(spark, d, "tested"), 1, SEED, GENE).select("region_id")
+def _multiplied(held: DataFrame, first: int) -> DataFrame:
+    """Every row with each perm from ``first``, dealt so that a task makes about SHARE placements."""
+    spark = held.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-held.count() * PERMS // SHARE))
+    return held.repartition(parts, "region_id").withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(PERMS - 1))))
 
 
 def null_placements(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d).select("region_id", "perm", "start0", "end0")
+    return sampling.placed(_multiplied(fitting(spark, d), 0), SEED).select("region_id", "perm", "start0", "end0")
 
 
-def covered(spark: SparkSession, d: str) -> DataFrame:
-    """(region_id, perm, track, bp) of observed (perm -1) and placed regions that a track covers; regions that fit nowhere are in neither."""
-    null = placed(spark, d)
-    regions = view(spark, d, "regions")
-    observed = regions.join(fitting(spark, d), "region_id", "left_semi").select("region_id", "chrom", F.lit(-1).alias("perm"), "start0", "end0")
-    both = observed.unionByName(null.select("region_id", "chrom", "perm", "start0", "end0"))
-    hits = I.range_join(both, I.merge(view(spark, d, "tracks"), ("track", "chrom"), WIDTH), ("chrom",), WIDTH)
-    return hits.groupBy("region_id", "perm", F.col("r_track").alias("track")).agg(F.sum(I.overlap_bp()).cast("long").alias("bp"))
+def _track_steps(spark: SparkSession, d: str) -> DataFrame:
+    return written(coverage.coverage_steps(I.merge(view(spark, d, "tracks"), ("track", "chrom"), WIDTH), "track"), "steps")
 
 
-def strata(spark: SparkSession, d: str) -> DataFrame:
-    regions = view(spark, d, "regions").join(fitting(spark, d), "region_id", "left_semi").withColumn("len_bin", stats.len_bin())
-    return stats.with_strata(regions, STRATA).select("region_id", "gene_id", "length", "stratum")
+def covered(held: DataFrame, steps: DataFrame, first: int = -1) -> DataFrame:
+    """A row for each region of fitting(), observed (perm -1) and placed, and each track that covers it, with its bp."""
+    return coverage.covered(sampling.placed(_multiplied(held.join(coverage.bounds(steps), "chrom"), first), SEED), steps, "track")
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    """(stratum, track, perm) with n_regions, total_bp, n_overlap and cov_bp; combinations without hits are zeros."""
-    s = strata(spark, d)
-    found = covered(spark, d).join(s, "region_id").groupBy("stratum", "track", "perm").agg(F.count("*").alias("n"), F.sum("bp").alias("b"))
-    totals = s.groupBy("stratum").agg(F.count("*").alias("n_regions"), F.sum("length").alias("total_bp"))
+    """(stratum, track, perm) with n_regions, total_bp, n_overlap and cov_bp; combinations without hits are zeros. A table of results, written once."""
+    held, steps = fitting(spark, d), _track_steps(spark, d)
+    leaves = covered(held, steps).groupBy(*STRATA, "track", "perm").agg(F.count("*").alias("n"), F.sum("bp").alias("b"))
+    found = stats.with_strata(leaves, STRATA).groupBy("stratum", "track", "perm").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    totals = stats.with_strata(held, STRATA).groupBy("stratum").agg(F.count("*").alias("n_regions"), F.sum("length").alias("total_bp"))
     names = view(spark, d, "tracks").select("track").distinct()
-    grid = totals.crossJoin(F.broadcast(names)).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))  # strata x tracks x permutations, a table of results
+    grid = totals.crossJoin(names).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))  # strata x tracks x permutations, the rows of the result
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return grid.join(found, ["stratum", "track", "perm"], "left").select("stratum", "track", "perm", "n_regions", "total_bp", zero("n").alias("n_overlap"), zero("b").alias("cov_bp"))
+    return written(grid.join(found, ["stratum", "track", "perm"], "left").select("stratum", "track", "perm", "n_regions", "total_bp", zero("n").alias("n_overlap"), zero("b").alias("cov_bp")), "counts")
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -124,16 +123,19 @@ def set_pairwise_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _joint(spark: SparkSession, d: str, exact: bool) -> DataFrame:
-    hits = covered(spark, d).select("region_id", "perm", "track")
-    pairs = hits.withColumnRenamed("track", "set_a").join(hits.withColumnRenamed("track", "set_b"), ["region_id", "perm"]).where("set_a < set_b")
+    held, steps = fitting(spark, d), _track_steps(spark, d)
+    rows = covered(held, steps).groupBy("region_id", "perm").agg(F.array_sort(F.collect_list("track")).alias("tracks"))  # a region's placements are in one task already
+    pair = lambda x, i: F.transform(F.slice("tracks", i + 2, F.size("tracks")), lambda y: F.struct(x.alias("set_a"), y.alias("set_b")))
+    pairs = rows.select("perm", F.explode(F.flatten(F.transform("tracks", pair))).alias("_p")).select("perm", "_p.*")
     joint = pairs.groupBy("set_a", "set_b", "perm").agg(F.count("*").alias("n_both"))
     names = view(spark, d, "tracks").select("track").distinct()
-    grid = names.toDF("set_a").join(names.toDF("set_b"), F.expr("set_a < set_b")).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))
-    joint = grid.join(joint, ["set_a", "set_b", "perm"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
-    single = hits.where("perm = -1").groupBy("track").agg(F.count("*").alias("n"))
-    total = fitting(spark, d).agg(F.count("*").alias("n_regions"))
+    grid = names.toDF("set_a").join(names.toDF("set_b"), F.expr("set_a < set_b")).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))  # the rows of the result
+    joint = written(grid.join(joint, ["set_a", "set_b", "perm"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0))), "joint")
+    observed = coverage.covered(held.join(coverage.bounds(steps), "chrom"), steps, "track")
+    single = written(observed.groupBy("track").agg(F.count("*").alias("n")), "single")
+    n = held.count()
     found = stats.null_summary(joint.where("perm = -1").drop("perm"), joint.where("perm >= 0"), ["set_a", "set_b"], "n_both")
-    found = found.join(single.toDF("set_a", "n_a"), "set_a", "left").join(single.toDF("set_b", "n_b"), "set_b", "left").join(F.broadcast(total)).fillna(0, ["n_a", "n_b"])
+    found = found.join(single.toDF("set_a", "n_a"), "set_a", "left").join(single.toDF("set_b", "n_b"), "set_b", "left").withColumn("n_regions", F.lit(n).cast("long")).fillna(0, ["n_a", "n_b"])
     found = found.withColumns({"jaccard": F.try_divide(F.col("n_both"), F.col("n_a") + F.col("n_b") - F.col("n_both")), "fold_vs_null": F.try_divide(F.col("n_both"), F.col("null_mean"))})
     if not exact:
         return found
@@ -143,15 +145,18 @@ def _joint(spark: SparkSession, d: str, exact: bool) -> DataFrame:
 
 def region_concordance_q(spark: SparkSession, d: str) -> DataFrame:
     """Per region and track: covered bp, its mean under the null, empirical p, q over all regions of a track."""
-    bp = covered(spark, d)
-    regions = fitting(spark, d).crossJoin(F.broadcast(view(spark, d, "tracks").select("track").distinct()))
-    observed = regions.join(bp.where("perm = -1").select("region_id", "track", F.col("bp").alias("cov_bp")), ["region_id", "track"], "left").withColumn("cov_bp", F.coalesce("cov_bp", F.lit(0)))
-    null = bp.where("perm >= 0").join(observed, ["region_id", "track"]).groupBy("region_id", "track").agg(F.sum("bp").alias("s"), F.count_if(F.col("bp") >= F.col("cov_bp")).alias("ge"))
+    held, steps = fitting(spark, d), _track_steps(spark, d)
+    observed = coverage.covered(held.join(coverage.bounds(steps), "chrom"), steps, "track").select("region_id", "track", F.col("bp").alias("cov_bp"))
+    names = view(spark, d, "tracks").select("track").distinct()
+    each = written(held.select("region_id").crossJoin(names).join(observed, ["region_id", "track"], "left").withColumn("cov_bp", F.coalesce("cov_bp", F.lit(0))), "observed")  # the rows of the result
+    seen = each.groupBy("region_id").agg(F.map_from_entries(F.collect_list(F.struct("track", "cov_bp"))).alias("seen"))  # goes along with the region
+    null = covered(held.join(seen, "region_id"), steps, 0).withColumn("ge", F.col("bp") >= F.col("seen")[F.col("track")])
+    null = null.groupBy("region_id", "track").agg(F.sum("bp").alias("s"), F.count_if("ge").alias("ge"))
     # permutations without coverage are zeros, and reach the observed value only where that is zero
-    found = observed.join(null, ["region_id", "track"], "left").select(
+    found = each.join(null, ["region_id", "track"], "left").select(
         "region_id", "track", "cov_bp", (F.coalesce("s", F.lit(0)) / F.lit(float(PERMS))).alias("exp_cov_bp"), F.when(F.col("cov_bp") == 0, F.lit(1.0)).otherwise((1 + F.coalesce("ge", F.lit(0))) / F.lit(1.0 + PERMS)).alias("p_cov")
     )
-    return _rounded(bh_by_counts(found, "p_cov", "q_cov", ["track"]))
+    return _rounded(bh_by_counts(written(found, "concordance"), "p_cov", "q_cov", ["track"]))
 
 
 def bh_by_counts(df: DataFrame, p: str, q: str, family: list[str]) -> DataFrame:
@@ -176,9 +181,9 @@ def _whole():
 
 
 def _gene_counts(spark: SparkSession, d: str) -> DataFrame:
-    """(gene_id, track, cov_bp, null_bp): covered bp observed, and the null's sum over permutations."""
-    bp = covered(spark, d).withColumn("gene_id", F.substring_index("region_id", "|", 1))
-    return bp.groupBy("gene_id", "track").agg(F.sum(F.when(F.col("perm") < 0, F.col("bp")).otherwise(0)).alias("cov_bp"), F.sum(F.when(F.col("perm") >= 0, F.col("bp")).otherwise(0)).alias("null_bp"))
+    """(gene_id, track, cov_bp, null_bp): covered bp observed, and the null's sum over permutations; a row for each gene and track, written once."""
+    bp = covered(fitting(spark, d), _track_steps(spark, d))
+    return written(bp.groupBy("gene_id", "track").agg(F.sum(F.when(F.col("perm") < 0, F.col("bp")).otherwise(0)).alias("cov_bp"), F.sum(F.when(F.col("perm") >= 0, F.col("bp")).otherwise(0)).alias("null_bp")), "genes")
 
 
 def gene_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -207,15 +212,18 @@ QUERIES = {
 _PLACED = f"""fit AS (SELECT r.region_id, r.gene_id, r.chrom, r.length, t.start0 AS bs, t.end0 - t.start0 - r.length + 1 AS cnt FROM regions r JOIN tested t ON r.gene_id = t.gene_id AND r.chrom = t.chrom WHERE t.end0 - t.start0 - r.length + 1 > 0),
 cum AS (SELECT *, CAST(coalesce(sum(cnt) OVER (PARTITION BY region_id ORDER BY bs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef, CAST(sum(cnt) OVER (PARTITION BY region_id) AS BIGINT) AS total FROM fit),
 draw AS (SELECT region_id, perm, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{SEED}', region_id, CAST(perm AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) * total) AS BIGINT) AS u
-  FROM (SELECT DISTINCT region_id, total FROM cum) c, (SELECT unnest(range(0, {SQL_PERMS})) AS perm) p),
+  FROM (SELECT DISTINCT region_id, total FROM cum) c, (SELECT unnest(range(0, {PERMS})) AS perm) p),
 placed AS (SELECT cum.region_id, gene_id, chrom, perm, bs + u - bef AS start0, bs + u - bef + length AS end0 FROM draw JOIN cum ON draw.region_id = cum.region_id AND bef <= u AND u < bef + cnt)"""
 _LEN_BIN = "CASE WHEN length < 5000 THEN 'lt5kb' WHEN length < 20000 THEN '5to20kb' WHEN length < 50000 THEN '20to50kb' ELSE 'ge50kb' END"
+#: Covered bp as the difference of the tracks' cumulated coverage at an interval's end and start.
 _BP = f"""{_PLACED}, {MERGED}, alls AS (SELECT region_id, chrom, -1 AS perm, start0, end0 FROM regions WHERE region_id IN (SELECT region_id FROM fit) UNION ALL SELECT region_id, chrom, perm, start0, end0 FROM placed),
-bp AS (SELECT a.region_id, perm, track, CAST(sum(least(a.end0, m.end0) - greatest(a.start0, m.start0)) AS BIGINT) AS bp FROM alls a JOIN m ON a.chrom = m.chrom AND a.start0 < m.end0 AND m.start0 < a.end0 GROUP BY a.region_id, perm, track)"""
+steps AS (SELECT track, chrom, start0 AS s, end0 AS e, sum(end0 - start0) OVER (PARTITION BY track, chrom ORDER BY start0) - (end0 - start0) AS upto FROM m),
+lo AS (SELECT a.region_id, a.perm, t.track, a.chrom, a.end0, coalesce(s.upto + least(a.start0, s.e) - s.s, 0) AS c0 FROM (alls a CROSS JOIN (SELECT DISTINCT track FROM m) t) ASOF LEFT JOIN steps s ON t.track = s.track AND a.chrom = s.chrom AND a.start0 >= s.s),
+bp AS (SELECT region_id, perm, track, CAST(bp AS BIGINT) AS bp FROM (SELECT l.region_id, l.perm, l.track, coalesce(s.upto + least(l.end0, s.e) - s.s, 0) - c0 AS bp FROM lo l ASOF LEFT JOIN steps s ON l.track = s.track AND l.chrom = s.chrom AND l.end0 >= s.s) x WHERE bp > 0)"""
 _COUNTS = f"""{_BP}, st AS (SELECT region_id, length, unnest(['all', 'direction=' || direction, 'len_bin=' || {_LEN_BIN}]) AS stratum FROM regions WHERE region_id IN (SELECT region_id FROM fit)),
 tot AS (SELECT stratum, count(*) AS n_regions, CAST(sum(length) AS BIGINT) AS total_bp FROM st GROUP BY stratum),
 cnt AS (SELECT stratum, track, perm, count(*) AS n, sum(bp) AS b FROM bp JOIN st USING (region_id) GROUP BY stratum, track, perm),
-counts AS (SELECT stratum, track, perm, n_regions, total_bp, CAST(coalesce(n, 0) AS BIGINT) AS n_overlap, CAST(coalesce(b, 0) AS BIGINT) AS cov_bp FROM tot CROSS JOIN (SELECT DISTINCT track FROM tracks) t CROSS JOIN (SELECT unnest(range(-1, {SQL_PERMS})) AS perm) p LEFT JOIN cnt USING (stratum, track, perm))"""
+counts AS (SELECT stratum, track, perm, n_regions, total_bp, CAST(coalesce(n, 0) AS BIGINT) AS n_overlap, CAST(coalesce(b, 0) AS BIGINT) AS cov_bp FROM tot CROSS JOIN (SELECT DISTINCT track FROM tracks) t CROSS JOIN (SELECT unnest(range(-1, {PERMS})) AS perm) p LEFT JOIN cnt USING (stratum, track, perm))"""
 _VIEWS = ("regions", "tested", "tracks")
 
 
@@ -247,7 +255,7 @@ SELECT {keys}, round(delta, 6) AS delta, round(delta_centred, 6) AS delta_centre
 
 _GENE = _BP + ", g AS (SELECT split_part(region_id, '|', 1) AS gene_id, track, CAST(sum(CASE WHEN perm < 0 THEN bp ELSE 0 END) AS BIGINT) AS cov_bp, CAST(sum(CASE WHEN perm >= 0 THEN bp ELSE 0 END) AS BIGINT) AS null_bp FROM bp GROUP BY 1, 2)"
 _JOINT = f"""{_BP}, names AS (SELECT DISTINCT track FROM tracks), jp AS (SELECT a.track AS set_a, b.track AS set_b, a.perm, count(*) AS n FROM bp a JOIN bp b ON a.region_id = b.region_id AND a.perm = b.perm AND a.track < b.track GROUP BY 1, 2, 3),
-j AS (SELECT x.track AS set_a, y.track AS set_b, p.perm, coalesce(n, 0) AS n_both FROM names x JOIN names y ON x.track < y.track CROSS JOIN (SELECT unnest(range(-1, {SQL_PERMS})) AS perm) p LEFT JOIN jp ON jp.set_a = x.track AND jp.set_b = y.track AND jp.perm = p.perm),
+j AS (SELECT x.track AS set_a, y.track AS set_b, p.perm, coalesce(n, 0) AS n_both FROM names x JOIN names y ON x.track < y.track CROSS JOIN (SELECT unnest(range(-1, {PERMS})) AS perm) p LEFT JOIN jp ON jp.set_a = x.track AND jp.set_b = y.track AND jp.perm = p.perm),
 {_null("n_both", "set_a, set_b", "j")}, one AS (SELECT track, count(*) AS n FROM bp WHERE perm = -1 GROUP BY track)
 SELECT set_a, set_b, n_both, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, n_perm, round((1.0 + ge) / (1 + n_perm), 6) AS p_enrich, round((1.0 + le) / (1 + n_perm), 6) AS p_deplete, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, (SELECT count(DISTINCT region_id) FROM fit) AS n_regions,
 round(CAST(n_both AS DOUBLE) / nullif(coalesce(a.n, 0) + coalesce(b.n, 0) - n_both, 0), 6) AS jaccard, round(n_both / nullif(null_mean, 0), 6) AS fold_vs_null FROM o JOIN s USING (set_a, set_b) LEFT JOIN one a ON a.track = set_a LEFT JOIN one b ON b.track = set_b"""
@@ -291,26 +299,34 @@ round(log2((cov_bp + 0.5) / (null_mean + 0.5)), 6) AS log2_enrichment, round({_q
         *_VIEWS,
     ),
     "set_pairwise_counts": oracle(_JOINT, *_VIEWS),
+    "set_pairwise": oracle(
+        _JOINT.replace("\nSELECT set_a, set_b, n_both, round(", ",\nbase AS (SELECT set_a, set_b, n_both, round(", 1)
+        + """), l AS (SELECT set_a, set_b, n_both, n_a, lgamma(n_a + 1) - lgamma(k + 1) - lgamma(n_a - k + 1) + lgamma(n_regions - n_a + 1) - lgamma(n_b - k + 1) - lgamma(n_regions - n_a - n_b + k + 1) - lgamma(n_regions + 1) + lgamma(n_b + 1) + lgamma(n_regions - n_b + 1) AS log_p, k
+  FROM (SELECT *, unnest(range(greatest(0, n_a + n_b - n_regions), least(n_a, n_b) + 1)) AS k FROM base) t),
+fp AS (SELECT l.set_a, l.set_b, least(1.0, sum(exp(l.log_p)) FILTER (l.log_p <= mine.log_p + 1e-7)) AS fisher_p FROM l JOIN l mine ON l.set_a = mine.set_a AND l.set_b = mine.set_b AND mine.k = mine.n_both GROUP BY 1, 2)
+SELECT base.*, round(fisher_p, 6) AS fisher_p, round(CAST(n_both AS DOUBLE) * (n_regions - n_a - n_b + n_both) / nullif((n_a - n_both) * CAST(n_b - n_both AS DOUBLE), 0), 6) AS odds_ratio FROM base JOIN fp USING (set_a, set_b)""",
+        *_VIEWS,
+    ),
     "region_concordance_q": oracle(
         f"""{_BP}, g AS (SELECT region_id, track FROM (SELECT DISTINCT region_id FROM fit) f CROSS JOIN (SELECT DISTINCT track FROM tracks) t), ob AS (SELECT g.region_id, g.track, coalesce(bp, 0) AS cov_bp FROM g LEFT JOIN (SELECT * FROM bp WHERE perm = -1) b USING (region_id, track)),
-n AS (SELECT ob.region_id, ob.track, ob.cov_bp, p.perm, coalesce(bp.bp, 0) AS nb FROM ob CROSS JOIN (SELECT unnest(range(0, {SQL_PERMS})) AS perm) p LEFT JOIN bp ON bp.region_id = ob.region_id AND bp.track = ob.track AND bp.perm = p.perm),
-e AS (SELECT region_id, track, cov_bp, CAST(sum(nb) AS DOUBLE) / {SQL_PERMS} AS exp_cov_bp, (1.0 + count(*) FILTER (nb >= cov_bp)) / (1 + {SQL_PERMS}) AS p_cov FROM n GROUP BY region_id, track, cov_bp), r AS (SELECT *, {_raw('p_cov', 'track')} FROM e)
+n AS (SELECT ob.region_id, ob.track, ob.cov_bp, p.perm, coalesce(bp.bp, 0) AS nb FROM ob CROSS JOIN (SELECT unnest(range(0, {PERMS})) AS perm) p LEFT JOIN bp ON bp.region_id = ob.region_id AND bp.track = ob.track AND bp.perm = p.perm),
+e AS (SELECT region_id, track, cov_bp, CAST(sum(nb) AS DOUBLE) / {PERMS} AS exp_cov_bp, (1.0 + count(*) FILTER (nb >= cov_bp)) / (1 + {PERMS}) AS p_cov FROM n GROUP BY region_id, track, cov_bp), r AS (SELECT *, {_raw('p_cov', 'track')} FROM e)
 SELECT region_id, track, cov_bp, round(exp_cov_bp, 6) AS exp_cov_bp, round(p_cov, 6) AS p_cov, round({_q('p_cov', 'track')}, 6) AS q_cov FROM r""",
         *_VIEWS,
     ),
     "gene_bootstrap_ci": oracle(
         f"""{_GENE}, ids AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS i FROM (SELECT DISTINCT gene_id FROM g) x), k AS (SELECT count(*) AS n FROM ids),
-dr AS (SELECT rep, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{SEED}', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) * n) AS BIGINT) AS i FROM (SELECT unnest(range(0, 50)) AS rep) a, (SELECT n, unnest(range(0, n)) AS slot FROM k) b),
-t AS (SELECT rep, gene_id, count(*) AS times FROM dr JOIN ids USING (i) GROUP BY rep, gene_id), rr AS (SELECT track, rep, CAST(sum(cov_bp * {SQL_PERMS} * times) AS DOUBLE) / nullif(sum(null_bp * times), 0) AS r FROM g JOIN t USING (gene_id) GROUP BY track, rep),
+dr AS (SELECT rep, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{SEED}', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) * n) AS BIGINT) AS i FROM (SELECT unnest(range(0, {REPLICATES})) AS rep) a, (SELECT n, unnest(range(0, n)) AS slot FROM k) b),
+t AS (SELECT rep, gene_id, count(*) AS times FROM dr JOIN ids USING (i) GROUP BY rep, gene_id), rr AS (SELECT track, rep, CAST(sum(cov_bp * {PERMS} * times) AS DOUBLE) / nullif(sum(null_bp * times), 0) AS r FROM g JOIN t USING (gene_id) GROUP BY track, rep),
 ci AS (SELECT track, count(r) AS ok, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, count(*) FILTER (r <= 1) AS le FROM rr GROUP BY track),
-po AS (SELECT track, CAST(sum(cov_bp * {SQL_PERMS}) AS DOUBLE) / nullif(sum(null_bp), 0) AS ratio, count(DISTINCT gene_id) AS n_entities FROM g GROUP BY track)
+po AS (SELECT track, CAST(sum(cov_bp * {PERMS}) AS DOUBLE) / nullif(sum(null_bp), 0) AS ratio, count(DISTINCT gene_id) AS n_entities FROM g GROUP BY track)
 SELECT track, round(ratio, 6) AS ratio, n_entities, round(CASE WHEN ok >= 20 THEN lo END, 6) AS ci_lo, round(CASE WHEN ok >= 20 THEN hi END, 6) AS ci_hi, round(CASE WHEN ok >= 20 THEN CAST(le AS DOUBLE) / ok END, 6) AS p_le1 FROM po LEFT JOIN ci USING (track)""",
         *_VIEWS,
     ),
     "gene_level_enrichment": oracle(
         _GENE
-        + f""", l AS (SELECT *, log2((cov_bp + 0.5) / (CAST(null_bp AS DOUBLE) / {SQL_PERMS} + 0.5)) AS x FROM g)
-SELECT track, count(*) AS n_genes, round(CAST(sum(cov_bp) * {SQL_PERMS} AS DOUBLE) / sum(null_bp), 6) AS fold, round(quantile_cont(x, 0.5), 6) AS median_gene_log2, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_genes_enriched, count(*) FILTER (cov_bp > 0) AS n_genes_nonzero FROM l GROUP BY track""",
+        + f""", l AS (SELECT *, log2((cov_bp + 0.5) / (CAST(null_bp AS DOUBLE) / {PERMS} + 0.5)) AS x FROM g)
+SELECT track, count(*) AS n_genes, round(CAST(sum(cov_bp) * {PERMS} AS DOUBLE) / sum(null_bp), 6) AS fold, round(quantile_cont(x, 0.5), 6) AS median_gene_log2, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_genes_enriched, count(*) FILTER (cov_bp > 0) AS n_genes_nonzero FROM l GROUP BY track""",
         *_VIEWS,
     ),
 }

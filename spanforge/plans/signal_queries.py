@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from spanforge.operators import effects, intervals as I, sampling, stats
+from spanforge.operators import effects, intervals as I, reports, sampling, stats
 from spanforge.plans.interval_queries import MERGED, WIDTH
 from spanforge.plans.views import oracle, view
 
@@ -33,7 +33,7 @@ def calibrate_qvalue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibrate_quantile(spark: SparkSession, d: str) -> DataFrame:
-    """The bin edge at 97 % of a track's bp, over ``BINS`` bins from 0 to its largest value. (The SQL has bins of 1 up to 39 and can't return more.)"""
+    """The bin edge at 97 % of a track's bp, over ``BINS`` bins from 0 to its largest value."""
     found = stats.quantile_cutoff(stats.scaled_histogram(view(spark, d, "tracks"), ["track"], BINS), ["track"], F.col("width"), 0.97)
     return _rounded(found)
 
@@ -65,8 +65,8 @@ def epistasis_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 def effect_quartiles(spark: SparkSession, d: str) -> DataFrame:
     """Regions by quartile of effect within their direction: counts, bp and mean effect."""
-    w = W.partitionBy("direction").orderBy("effect", "region_id")
-    rows = view(spark, d, "regions").withColumns({"quartile": F.ntile(4).over(w), "rank": F.percent_rank().over(W.partitionBy("direction").orderBy("effect"))})
+    rows = stats.ranked(view(spark, d, "regions"), ["direction"], "effect", ["region_id"], 1024)
+    rows = rows.withColumns({"quartile": stats.ntile("_row", "_all", 4), "rank": F.coalesce(F.try_divide(F.col("_rank") - 1, F.col("_all") - 1), F.lit(0.0))})
     return rows.groupBy("direction", "quartile").agg(F.count("*").alias("n"), F.sum("length").alias("total_bp"), F.round(F.avg("effect"), 4).alias("mean_effect"), F.count_if(F.col("rank") >= 0.9).alias("n_top_tenth"))
 
 
@@ -165,9 +165,9 @@ def sequence_shuffle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_null_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Null spans as long as a gene's strongest regions, inside its tested space."""
-    hits = view(spark, d, "regions").where("effect > 40000 AND length < 40000")
-    return sampling.matched_nulls(hits, view(spark, d, "tested"), ("gene_id",), 2, 3)
+    """Two null spans for each of a gene's three strongest regions: as long, inside its tested space, with a like share of track A."""
+    hits = reports.top_rows(view(spark, d, "regions").select("region_id", "gene_id", "chrom", "start0", "end0", "effect"), ["gene_id"], "effect", 3)
+    return sampling.matched_nulls(hits, view(spark, d, "tested"), I.merge(view(spark, d, "tracks").where("track = 'A'"), ("chrom",), WIDTH), per_hit=2, seed=3, width=WIDTH)
 
 
 QUERIES = {
@@ -193,7 +193,10 @@ SELECT track, CAST(threshold AS DOUBLE) AS threshold, bp_total, CAST(sum(CASE WH
         "tracks",
     ),
     "calibrate_quantile": oracle(
-        _HIST.format(div=1, w=1, nb=39) + ", c AS (SELECT track, bin, sum(bp) OVER (PARTITION BY track) AS n, sum(bp) OVER (PARTITION BY track ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto FROM h) SELECT track, CAST(min(CASE WHEN upto >= n * 0.97 THEN bin END) AS DOUBLE) AS threshold, CAST(max(n) AS BIGINT) AS bp_total FROM c GROUP BY track",
+        f"""x AS (SELECT track, greatest(CAST(value AS DOUBLE), 0) AS v, end0 - start0 AS bp, max(CAST(value AS DOUBLE)) OVER (PARTITION BY track) / {BINS} AS width FROM tracks),
+h AS (SELECT track, width, CAST(least(floor(v / width), {BINS - 1}) AS BIGINT) AS bin, sum(bp) AS bp FROM x GROUP BY 1, 2, 3),
+c AS (SELECT track, width, bin, sum(bp) OVER (PARTITION BY track) AS n, sum(bp) OVER (PARTITION BY track ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto FROM h)
+SELECT track, round(min(CASE WHEN upto >= n * 0.97 THEN bin * width END), 6) AS threshold, CAST(max(n) AS BIGINT) AS bp_total FROM c GROUP BY track""",
         "tracks",
     ),
     "weighted_quantile": oracle("s AS (SELECT track, value, sum(end0 - start0) AS w FROM tracks GROUP BY 1, 2), c AS (SELECT track, value, sum(w) OVER (PARTITION BY track ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY track) AS n FROM s) SELECT track, min(CASE WHEN upto >= n * 0.9 THEN value END) AS quantile FROM c GROUP BY track", "tracks"),
