@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from spanforge.operators.intervals import BIN, merge, range_join
+from spanforge.sources.shared import written
+
 
 def uniform(*keys) -> Column:
     """A number in [0, 1) from the SHA-256 of the keys, joined by |."""
@@ -22,18 +26,37 @@ def seed_of(*keys) -> Column:
     return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, 10)
 
 
-def placements(regions: DataFrame, tested: DataFrame, n_perm: int, seed: int, keys: Sequence[str] = ("gene_id", "chrom")) -> DataFrame:
-    """(region_id, perm, start0, end0): each region placed ``n_perm`` times, uniformly over all starts in its keys' tested blocks at which it fits.
-
-    Regions that fit nowhere give no rows. A region's blocks are gathered (as many as its entity has); draws are hashes of (seed, region, perm).
-    """
+def fitting_blocks(regions: DataFrame, tested: DataFrame, keys: Sequence[str] = ("gene_id", "chrom")) -> DataFrame:
+    """``regions`` that fit somewhere in their keys' tested blocks, with ``total`` (starts at which they fit) and ``blocks`` (before, cnt, bs), as many as its entity has."""
     keys = list(keys)
     fit = regions.select("region_id", *keys, (F.col("end0") - F.col("start0")).alias("length")).join(tested.select(*keys, F.col("start0").alias("bs"), F.col("end0").alias("be")), keys).withColumn("cnt", F.col("be") - F.col("bs") - F.col("length") + 1).where("cnt > 0")
     before = F.coalesce(F.sum("cnt").over(W.partitionBy("region_id").orderBy("bs").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = fit.withColumn("before", before).groupBy("region_id", *keys, "length").agg(F.sum("cnt").alias("total"), F.collect_list(F.struct("before", "cnt", "bs")).alias("blocks"))
-    drawn = blocks.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn("u", F.floor(uniform(seed, F.col("region_id"), F.col("perm")) * F.col("total")).cast("long"))
-    block = F.filter("blocks", lambda b: (b["before"] <= F.col("u")) & (F.col("u") < b["before"] + b["cnt"]))[0]
-    return drawn.withColumn("start0", block["bs"] + F.col("u") - block["before"]).select("region_id", *keys, "perm", "start0", (F.col("start0") + F.col("length")).alias("end0"))
+    blocks = fit.withColumn("before", before).groupBy("region_id").agg(F.sum("cnt").alias("total"), F.collect_list(F.struct("before", "cnt", "bs")).alias("blocks"))
+    return regions.join(blocks, "region_id")
+
+
+def drawn_start(seed: int) -> tuple[Column, Column]:
+    """The number that a row of fitting_blocks() and its ``perm`` draw (_u), a hash of (seed, region, perm), and the start it stands for: uniform over all starts at which the region fits."""
+    u = F.floor(uniform(seed, F.col("region_id"), F.col("perm")) * F.col("total")).cast("long")
+    block = F.filter("blocks", lambda b: (b["before"] <= F.col("_u")) & (F.col("_u") < b["before"] + b["cnt"]))[0]
+    return u, block["bs"] + F.col("_u") - block["before"]
+
+
+def placements(regions: DataFrame, tested: DataFrame, n_perm: int, seed: int, keys: Sequence[str] = ("gene_id", "chrom")) -> DataFrame:
+    """(region_id, keys, perm, start0, end0): each region placed ``n_perm`` times, uniformly over all starts in its keys' tested blocks at which it fits.
+
+    Regions that fit nowhere give no rows.
+    """
+    held = fitting_blocks(regions, tested, keys).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    return placed(held, seed).select("region_id", *keys, "perm", "start0", "end0")
+
+
+def placed(held: DataFrame, seed: int) -> DataFrame:
+    """Rows of fitting_blocks() with a ``perm``, moved to the start they draw; perm -1 stays where it is."""
+    u, start = drawn_start(seed)
+    length = F.col("end0") - F.col("start0")
+    moved = held.withColumn("_u", u).withColumn("_length", length).withColumn("start0", F.when(F.col("perm") < 0, F.col("start0")).otherwise(start))
+    return moved.withColumn("end0", F.col("start0") + F.col("_length")).drop("_u", "_length", "blocks", "total")
 
 
 def hashed_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int, order: Sequence[str]) -> DataFrame:
@@ -100,29 +123,53 @@ def scrambled(df: DataFrame, sequence: str, seed: str, pairs: bool) -> DataFrame
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("scrambled", T.StringType())]))
 
 
-def matched_nulls(hits: DataFrame, space: DataFrame, keys: Sequence[str] = ("gene_id",), per_hit: int = 1, seed: int = 1, tries: int = 5_000) -> DataFrame:
-    """(keys, hit_start0, rep, start0, end0): spans as long as each hit, inside ``space`` blocks, that touch no hit and none another; fewer where ``tries`` draws don't suffice.
+def json_seed(*keys) -> Column:
+    """The SHA-256, as hex, of a JSON list of the keys: strings are quoted, members parted by comma and space. Keys are columns or constants."""
+    one = [F.to_json(F.array(k)) if isinstance(k, Column) else F.lit(json.dumps([k])) for k in keys]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[F.substring(x, F.lit(2), F.length(x) - 2) for x in one]), F.lit("]")), 256)
+
 
-    Draws depend on those before, so an entity's hits and blocks meet in one task; both are short lists (called regions of one gene).
+def matched_nulls(
+    hits: DataFrame, space: DataFrame, composition: DataFrame, keys: Sequence[str] = ("gene_id", "chrom"), on: Sequence[str] = ("chrom",), per_hit: int = 1, seed: int = 1, tolerance: float = 0.05, tries: int = 5_000, width: int = BIN
+) -> DataFrame:
+    """(keys, hit_id, rep, start0, end0): spans as long as each hit, inside ``space`` blocks, of like composition, that touch no hit and none another; fewer where ``tries`` draws don't suffice.
+
+    composition: (on, start0, end0), disjoint, is what counts as G or C; a null's share of it is within ``tolerance`` of its hit's. Draws are hashes of (seed, hit, rep, try). In a round every
+    null that is still wanted makes some draws and takes the first that fits and touches no hit and no null of an earlier round; of two that touch in one round, the later by hash goes on
+    with its next draw. Rounds are joins, so a gene may hold any number of hits; they double their draws, and each is written.
     """
-    keys = list(keys)
-    fields = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows, taken = [], [(int(a), int(b)) for a, b in zip(left.start0, left.end0, strict=True)]
-        blocks = [(int(a), int(b)) for a, b in sorted(zip(right.start0, right.end0, strict=True))]
-        rng = np.random.default_rng([seed, *("|".join(map(str, key)).encode())])
-        for a, b in sorted(taken.copy()):
-            room = [(s, e) for s, e in blocks if e - s >= b - a]
-            for rep in range(per_hit if room else 0):
-                for _ in range(tries):
-                    sizes = np.array([e - s - (b - a) + 1 for s, e in room])
-                    i = int(rng.choice(len(room), p=sizes / sizes.sum()))
-                    x = room[i][0] + int(rng.integers(sizes[i]))
-                    if not any(x < e and s < x + b - a for s, e in taken):
-                        taken.append((x, x + b - a))
-                        rows.append((*key, a, rep, x, x + b - a))
-                        break
-        return pd.DataFrame(rows, columns=[*keys, "hit_start0", "rep", "start0", "end0"])
-
-    return hits.select(*keys, "start0", "end0").groupBy(*keys).cogroup(space.select(*keys, "start0", "end0").groupBy(*keys)).applyInPandas(run, f"{fields}, hit_start0 bigint, rep bigint, start0 bigint, end0 bigint")
+    from spanforge.operators.coverage import bounds, coverage_steps
+    from spanforge.operators.coverage import covered as covered_bp
+
+    keys, on, id_ = list(keys), list(on), ["region_id", "rep"]
+    steps = written(coverage_steps(composition.select(*on, F.lit(1).alias("_by"), "start0", "end0"), "_by", on), "composition")
+
+    def share(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        found = covered_bp(df.join(bounds(steps, on), on), steps, "_by", on).select(*by, "bp")
+        return df.join(found, list(by), "left").withColumn(name, F.coalesce("bp", F.lit(0)) / (F.col("end0") - F.col("start0"))).drop("bp")
+
+    taken = written(merge(hits, keys, width), "forbidden")
+    fit = fitting_blocks(hits.select("region_id", *keys, "start0", "end0"), space, keys)
+    wanted = share(fit, ["region_id"], "_share").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_hit - 1))))
+    wanted = written(wanted.select(*id_, *keys, (F.col("end0") - F.col("start0")).alias("_length"), "_share", "total", "blocks", F.lit(0).alias("_next")), "wanted")
+    out, size = None, 16
+    while not wanted.isEmpty():
+        drawn = wanted.withColumn("_try", F.explode(F.sequence("_next", F.least(F.col("_next") + size, F.lit(tries)) - 1)))
+        drawn = drawn.withColumn("_u", F.floor(uniform(seed, F.col("region_id"), F.col("rep"), F.col("_try")) * F.col("total")).cast("long"))
+        block = F.filter("blocks", lambda b: (b["before"] <= F.col("_u")) & (F.col("_u") < b["before"] + b["cnt"]))[0]
+        drawn = drawn.withColumn("start0", block["bs"] + F.col("_u") - block["before"]).withColumn("end0", F.col("start0") + F.col("_length"))
+        alike = share(drawn.select(*id_, "_try", *keys, "start0", "end0", "_share"), [*id_, "_try"], "_mine").where(F.abs(F.col("_mine") - F.col("_share")) <= tolerance)
+        hit = range_join(alike.select(*id_, "_try", *keys, "start0", "end0"), taken, keys, width).select(*id_, "_try").distinct()
+        free = alike.join(hit, [*id_, "_try"], "left_anti").groupBy(*id_, *keys).agg(F.min_by(F.struct("start0", "end0", "_try"), "_try").alias("b")).select(*id_, *keys, "b.*")
+        free = written(free.withColumn("_order", F.xxhash64("region_id", "rep")), "free")
+        later = range_join(free, free, keys, width).where("struct(r__order, r_region_id, r_rep) < struct(_order, region_id, rep)").select(*id_).distinct()
+        fresh = written(free.join(later, id_, "left_anti").select(*keys, "region_id", "rep", "start0", "end0"), "nulls")
+        out = fresh if out is None else out.unionByName(fresh)
+        taken = written(taken.unionByName(fresh.select(*keys, "start0", "end0")), "taken")
+        again = wanted.join(fresh.select(*id_), id_, "left_anti").drop("_next").join(free.select(*id_, F.col("_try").alias("_lost")), id_, "left")
+        before = wanted.select(*id_, F.col("_next").alias("_was"))
+        wanted = written(again.join(before, id_).withColumn("_next", F.coalesce(F.col("_lost") + 1, F.col("_was") + size)).drop("_lost", "_was").where(F.col("_next") < tries), "wanted")
+        size *= 2
+    if out is None:
+        out = hits.select(*keys, "region_id", F.lit(0).alias("rep"), "start0", "end0").limit(0)
+    return out.select(*keys, F.col("region_id").alias("hit_id"), "rep", "start0", "end0")

@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from spanforge.sources.shared import written
+
 
 def _long(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).try_cast("bigint")
@@ -93,12 +95,18 @@ def match_anchors(targets: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Da
     return good, n.where("n <> 1").select("gene_id", F.when(F.col("n") == 0, "missing_tss").otherwise("ambiguous_tss").alias("reason"))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A file's lines (value) with ``position``, a number that grows in the order of the file however it is split: the split's first byte and the line's place in it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    return rows.withColumn("position", F.col("_block") + F.col("_id") - F.min("_id").over(W.partitionBy("_block"))).drop("_block", "_id")  # a line has one byte at least, so splits don't run into each other
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A white-space table with a header line, all strings, missing cells empty."""
-    rows = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
-    names = rows.orderBy("_line").limit(1).collect()[0].value.split()  # the header
+    rows = placed_lines(spark, path).where(F.trim("value") != "")
+    head = rows.orderBy("position").limit(1).collect()[0]
     parts = F.split(F.trim("value"), r"\s+")
-    return rows.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != " ".join(names)).select(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return rows.where(F.col("position") != head.position).select(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(head.value.split())])
 
 
 def annotation_sets(tracks: DataFrame, skip_role: str = "mask") -> DataFrame:
@@ -145,29 +153,56 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
 def fasta(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
     """(contig, chunk, sequence): sequences in chunks of ``size`` bases, so no contig is one value.
 
-    Spark reads the text, so the path may be in any store. Lines are numbered within the file by their places in it.
+    Spark splits the files as it likes: each split yields pieces of sequence, and what the splits before it hold of the contig, as counts of pieces, tells where a piece begins.
     """
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contig, held, at = None, "", 0
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, contig, held, part = None, None, [], 0
+        columns = ["path", "block", "part", "contig", "opens", "sequence"]
+        rows: list[tuple] = []
+        opens = False
+
+        def end() -> None:
+            nonlocal held, part, opens
+            if where is not None and (held or opens):
+                text = "".join(held)
+                for a in range(0, max(1, len(text)), size):
+                    rows.append((*where, part, contig, opens and a == 0, text[a : a + size]))
+                    part += 1
+            held, opens = [], False
+
+        total = 0
         for batch in batches:
-            rows = []
-            for line in batch["value"]:
+            for place, block, line in zip(batch["path"], batch["block"], batch["value"], strict=True):
+                if (place, block) != where:
+                    end()
+                    where, contig, part, total = (place, block), None, 0, 0
                 if line.startswith(">"):
-                    if contig is not None and held:
-                        rows.append((contig, at, held))
-                    contig, held, at = line[1:].split()[0], "", 0
-                else:
-                    held += line.strip()
-                    while len(held) >= size:
-                        rows.append((contig, at, held[:size]))
-                        held, at = held[size:], at + 1
-            yield pd.DataFrame(rows, columns=["contig", "chunk", "sequence"])
-        if contig is not None and held:
-            yield pd.DataFrame([(contig, at, held)], columns=["contig", "chunk", "sequence"])
-
-    # a file's lines in order are one stream; files (one for each contig in large genomes) are read side by side
-    return spark.read.option("wholetext", False).text(path).coalesce(1).mapInPandas(number, "contig string, chunk bigint, sequence string")
+                    end()
+                    contig, opens, total = line[1:].split()[0], True, 0
+                elif text := line.strip():
+                    held.append(text)
+                    total += len(text)
+                    if total >= size:
+                        end()
+                        total = 0
+            yield pd.DataFrame(rows, columns=columns)
+            rows.clear()
+        end()
+        yield pd.DataFrame(rows, columns=columns)
+
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    found = written(text.mapInPandas(pieces, "path string, block bigint, part bigint, contig string, opens boolean, sequence string"), "fasta")
+    # a row without its bases for each piece: which contig it continues, and how many bases of that come before
+    order = W.partitionBy("path").orderBy("block", "part")
+    counted = found.select("path", "block", "part", "opens", "contig", F.length("sequence").alias("n")).withColumn("_run", F.sum(F.col("opens").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    within = W.partitionBy("path", "_run").orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.select("path", "block", "part", F.first("contig").over(W.partitionBy("path", "_run").orderBy("block", "part")).alias("contig"), F.coalesce(F.sum("n").over(within), F.lit(0)).alias("start0"))
+    both = found.drop("contig", "opens").join(placed, ["path", "block", "part"]).where("contig IS NOT NULL AND sequence <> ''")
+    cut = both.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start0") / size), F.floor((F.col("start0") + F.length("sequence") - 1) / size)).cast("array<bigint>")))
+    begin = F.greatest("start0", F.col("chunk") * size)
+    bases = F.substring("sequence", (begin - F.col("start0") + 1).cast("int"), (F.least(F.col("start0") + F.length("sequence"), (F.col("chunk") + 1) * size) - begin).cast("int"))
+    return cut.groupBy("contig", "chunk").agg(F.array_sort(F.collect_list(F.struct(begin.alias("b"), bases.alias("s")))).alias("p")).select("contig", "chunk", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("sequence"))
 
 
 def fetch(intervals: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -185,20 +220,38 @@ def fetch(intervals: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataF
 
 def gene_list(spark: SparkSession, path: str, column: str = "gene_id", pattern: str | None = None) -> DataFrame:
     """Gene ids of a list with or without a header, first occurrences, in order (``position``); ids that don't match the pattern are an error."""
-    rows = spark.read.text(path).withColumn("position", F.monotonically_increasing_id()).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    rows = placed_lines(spark, path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     head = rows.orderBy("position").limit(1).collect()  # the header, if there is one
     names = head[0].value.strip().split("\t") if head else []
     at = names.index(column) if column in names else 0
     ids = rows.select(F.trim(F.get(F.split("value", "\t"), F.lit(at))).alias("gene_id"), "position")
     if column in names:
-        ids = ids.where(F.col("position") != _first(rows))
+        ids = ids.where(F.col("position") != head[0].position)
     if pattern and not ids.where(~F.col("gene_id").rlike(pattern)).isEmpty():
         raise ValueError("an id doesn't match the pattern")
     return ids.groupBy("gene_id").agg(F.min("position").alias("position"))
 
 
-def _first(rows: DataFrame) -> int:
-    return rows.agg(F.min("position")).collect()[0][0]
+def gene_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """gene_id and the gene_name of its first row in a GTF."""
+    rows = placed_lines(spark, path).where(F.col("value").rlike('gene_name "'))
+    value = lambda k: F.regexp_extract("value", rf'{k} "([^"]*)"', 1)
+    return rows.groupBy(value("gene_id").alias("gene_id")).agg(F.min_by(value("gene_name"), "position").alias("gene_name"))
+
+
+def canonical_in(transcripts: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """The canonical transcripts that reach into a window."""
+    return canonical_transcripts(transcripts).where((F.col("chrom") == chrom) & (F.col("start0") < end) & (F.col("end0") > start))
+
+
+def first_by_gene(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The first row of each gene_id of a table with a header, in the order of the file."""
+    rows = placed_lines(spark, path)
+    head = rows.orderBy("position").limit(1).collect()[0]
+    names = [x.strip() for x in head.value.split(sep)]
+    parts = F.split("value", sep)
+    each = rows.where(F.col("position") != head.position).select("position", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return each.groupBy("gene_id").agg(F.min_by(F.struct(*[n for n in names if n != "gene_id"]), "position").alias("_r")).select("gene_id", "_r.*")
 
 
 def keyed_files(spark: SparkSession, pattern: str, key: str, regex: str) -> DataFrame:
@@ -208,7 +261,9 @@ def keyed_files(spark: SparkSession, pattern: str, key: str, regex: str) -> Data
 
 def motif_results(spark: SparkSession, path: str) -> DataFrame:
     """Known-motif results: motif, consensus, log_p, q, percentages, and the totals that stand in the header."""
-    head = spark.read.text(path).limit(1).collect()[0].value.split("\t")  # the header
+    placed = placed_lines(spark, path)
+    first = placed.orderBy("position").limit(1).collect()[0]  # the header
+    head = first.value.split("\t")
 
     def find(prefix: str) -> int:
         return next(i for i, h in enumerate(head) if h.startswith(prefix))
@@ -218,7 +273,7 @@ def motif_results(spark: SparkSession, path: str) -> DataFrame:
     totals = {n: int(m[1]) if (m := re.search(r"of (\d+)", head[find(p)])) else None for n, p in (("n_target", "# of Target Sequences with"), ("n_background", "# of Background Sequences with"))}
     parts = F.split("value", "\t")
     number = lambda p: F.rtrim(F.get(parts, F.lit(find(p))), F.lit("%")).try_cast("double")
-    rows = spark.read.text(path).where(F.col("value") != "\t".join(head))
+    rows = placed.where(F.col("position") != first.position)
     return rows.select(F.get(parts, F.lit(find("Motif Name"))).alias("motif"), F.get(parts, F.lit(find("Consensus"))).alias("consensus"), number("Log P-value").alias("log_p"), number("q-value").alias("q"), number("% of Target").alias("pct_target"), number("% of Background").alias("pct_background"), *[F.lit(v).alias(n) for n, v in totals.items()])
 
 
