@@ -9,8 +9,12 @@ positions are anchors, and only they are shuffled, by hash:
    shuffle, among the texts that a task holds at a time: those after the first are repeats already and travel under keys of their own.
 2. ``settle``: sorted by hash, digest and document, anchors stream past once, however many share a hash. Equal contexts repeat each
    other's windows; of different contexts under one hash the first of each goes on.
-3. ``contexts``: the symbols of those contexts, from the texts; small groups of them are sorted into suffix arrays (``order``) by the operators.
-4. ``expand``: groups of more than ``GROUP`` contexts are split by the longest prefix, the whole window: each window passes through ``settle`` by itself.
+3. ``contexts``: the content of those contexts, from the texts. Groups of them that fit a task are sorted into suffix arrays (``order``) by the operators, symbol by symbol.
+4. ``split``: the windows of groups of more than ``GROUP`` contexts are grouped anew by longer and longer prefixes of their own, until a group fits and is sorted as above.
+   Windows that are still together by their whole length are compared as they stream past in the order of their content.
+
+Copies of whole contexts are told by 128 bits, the anchor's hash and the digest: fetching their content as well would shuffle four times the input (45 % of all anchors of check_l,
+400 bytes each). Hashes of prefixes only bring windows together; whether those are equal is decided by their symbols.
 
 Documents are told apart by did (doc_id; null is the smallest number) and ver, which is 0 unless ids repeat; then it is the text's hash. Rows that are equal in
 both are one document. A document is held in memory while it is worked on, its neighbours are not.
@@ -22,10 +26,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from spanforge.llm.common import cut, flat, slices
-from spanforge.llm.kernels import BASE, INVERSE, U, gram_hash, mix, powers
+from spanforge.llm.kernels import BASE, INVERSE, SPACE, U, gram_hash, mix, powers, word_spans
 
 BATCH = 1 << 20  # bytes of contexts in one suffix array
 GROUP = 8192  # contexts, of about BATCH bytes
@@ -36,6 +41,43 @@ LEAST = -(1 << 63)
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+class Bytes:
+    """Symbols that are bytes."""
+
+    @staticmethod
+    def spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of the rows, where each symbol starts and ends in them, and each row's offsets (n + 1) in the symbols."""
+        data, offsets = flat(text)
+        return data, np.arange(len(data)), np.arange(1, len(data) + 1), offsets
+
+    @staticmethod
+    def numbers(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of several contents, equal numbers for equal symbols, and each content's offsets (n + 1) in them."""
+        content = content.cast(pa.large_binary())
+        ends = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
+        return np.frombuffer(content.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+class Words:
+    """Symbols that are runs of bytes without ASCII white space."""
+
+    @staticmethod
+    def spans(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = flat(text)
+        starts, ends, counts = word_spans(data, offsets, SPACE)
+        return data, starts, ends, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    @staticmethod
+    def numbers(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[bytes, int] = {}
+        out, sizes = [], [0]
+        for x in content:
+            found = [known.setdefault(w, len(known)) for w in x.as_py().split()]
+            out += found
+            sizes.append(len(found))
+        return np.array(out, np.int64), np.cumsum(sizes)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with did and ver."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long"))
@@ -163,28 +205,33 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
     return ordered.mapInArrow(run, "kind tinyint, hash bigint, did bigint, ver bigint, at bigint")
 
 
-def contexts(docs: DataFrame, firsts: DataFrame, content: Symbols, length: int) -> DataFrame:
-    """(hash, did, ver, at, content): the symbols from the first window's start to the last one's end."""
+CONTENT = "hash bigint, did bigint, ver bigint, at bigint, content binary"
+
+
+def contexts(docs: DataFrame, firsts: DataFrame, kind: type[Bytes] | type[Words], length: int) -> DataFrame:
+    """(hash, did, ver, at, content): the bytes from the first window's start to the last one's end."""
     spots = firsts.groupBy("did", "ver").agg(F.collect_list(F.struct("hash", "at")).alias("spots"))  # as many as the document has, at most
     held = docs.select("did", "ver", "text").join(spots, ["did", "ver"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found, offsets = content(part.column("text"))
+                data, starts, ends, offsets = kind.spans(part.column("text"))
+                raw = data.tobytes()
                 spots = part.column("spots")
                 sizes = np.diff(np.asarray(spots.offsets))
                 inner = spots.flatten()
                 hashes, at = np.asarray(inner.field("hash")), np.asarray(inner.field("at"))
                 rows = np.repeat(np.arange(len(part)), sizes)
                 first = offsets[rows] + (at >> BITS)
-                last = first + (at & ((1 << BITS) - 1)) - 1 + length
+                last = first + (at & ((1 << BITS) - 1)) - 2 + length
                 for a in range(0, len(rows), 5_000):
                     b = slice(a, a + 5_000)
                     ids = pa.array(rows[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[b]), part.column("did").take(ids), part.column("ver").take(ids), pa.array(at[b]), pa.array([found[x:y].tobytes() for x, y in zip(first[b].tolist(), last[b].tolist(), strict=True)], pa.binary())], names=["hash", "did", "ver", "at", "content"])
+                    found = [raw[x:y] for x, y in zip(starts[first[b]].tolist(), ends[last[b]].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[b]), part.column("did").take(ids), part.column("ver").take(ids), pa.array(at[b]), pa.array(found, pa.binary())], names=["hash", "did", "ver", "at", "content"])
 
-    return held.select("did", "ver", "text", "spots").mapInArrow(run, "hash bigint, did bigint, ver bigint, at bigint, content binary")
+    return held.select("did", "ver", "text", "spots").mapInArrow(run, CONTENT)
 
 
 def order(symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,16 +275,13 @@ def order(symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     return by, np.concatenate([[0], common])
 
 
-def sorted_groups(held: DataFrame, dtype, length: int, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def sorted_groups(held: DataFrame, kind: type[Bytes] | type[Words], length: int, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(did, ver, at): the windows of small groups that ``marks`` picks, given suffix order (numbers of windows in document order) and common prefixes."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         place = np.lexsort([rows.column(c).to_numpy() for c in ("at", "ver", "did")])
         rows = rows.take(pa.array(place))
-        content = rows.column("content").combine_chunks().cast(pa.large_binary())
-        ends = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
-        whole = np.frombuffer(content.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype)
-        begin = (ends[:-1] - ends[0]) // np.dtype(dtype).itemsize
+        whole, begin = kind.numbers(rows.column("content").combine_chunks())
         at = rows.column("at").to_numpy()
         count = at & ((1 << BITS) - 1)
         owner = np.repeat(np.arange(len(at)), count)
@@ -290,32 +334,88 @@ def sorted_groups(held: DataFrame, dtype, length: int, marks: Callable[[np.ndarr
     return ordered.mapInArrow(run, "did bigint, ver bigint, at bigint")
 
 
-def expand(held: DataFrame, dtype, length: int) -> DataFrame:
-    """Each window of the contexts as an anchor of its own, under the hash of all its symbols."""
+def single_windows(held: DataFrame, kind: type[Bytes] | type[Words], length: int) -> DataFrame:
+    """(did, ver, at, content) of each single window of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 2_000):
-                part = batch.slice(a, 2_000)
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                data, starts, ends, first = kind.spans(part.column("content"))
+                raw = data.tobytes()
                 at = part.column("at").to_numpy()
                 count = at & ((1 << BITS) - 1)
-                raw = [np.frombuffer(x, dtype) for x in part.column("content").to_pylist()]
-                begin = np.cumsum([0] + [len(x) for x in raw])[:-1]
-                symbols = mix(np.concatenate(raw).astype(U) + U(BASE))
                 owner = np.repeat(np.arange(len(at)), count)
                 inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                spots = begin[owner] + inner
-                one, two = gram_hash(symbols, length)[spots], gram_hash(mix(symbols), length)[spots]
-                own = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("did").take(own), part.column("ver").take(own), pa.array(((at >> BITS)[owner] + inner) << BITS | 1), pa.array(np.zeros(len(owner), bool))], names=["hash", "ctx", "did", "ver", "at", "known"])
+                spots = first[owner] + inner
+                for c in range(0, len(owner), 5_000):
+                    b = slice(c, c + 5_000)
+                    own = pa.array(owner[b])
+                    found = [raw[x:y] for x, y in zip(starts[spots[b]].tolist(), ends[spots[b] + length - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("did").take(own), part.column("ver").take(own), pa.array(((at >> BITS)[owner[b]] + inner[b]) << BITS | 1), pa.array(found, pa.binary())], names=["did", "ver", "at", "content"])
+
+    return held.select("did", "ver", "at", "content").repartition(F.xxhash64("did", "ver", "at")).mapInArrow(run, "did bigint, ver bigint, at bigint, content binary")
+
+
+def by_prefix(windows: DataFrame, kind: type[Bytes] | type[Words], symbols: int) -> DataFrame:
+    """(hash, did, ver, at, content): single windows under the hash of their first ``symbols`` symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            data, starts, ends, first = kind.spans(batch.column("content"))
+            raw = data.tobytes()
+            keys = [xxhash.xxh3_64_intdigest(b" ".join([raw[x:y] for x, y in zip(starts[a : a + symbols].tolist(), ends[a : a + symbols].tolist(), strict=True)]) if kind is Words else raw[a : a + symbols]) for a in first[:-1].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, U).view(np.int64)), *batch.columns], names=["hash", *batch.schema.names])
 
-    return held.select("did", "ver", "at", "content").repartition(F.xxhash64("did", "ver", "at")).mapInArrow(run, ANCHOR)
+    return windows.mapInArrow(run, CONTENT)
 
 
-def repeated(docs: DataFrame, symbols: Symbols, content: Symbols, dtype, length: int, k: int, every: bool, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def equal_windows(windows: DataFrame, kind: type[Bytes] | type[Words], every: bool) -> DataFrame:
+    """(did, ver, at) of the single windows that repeat: all of those with one content, or all but the first. They stream past in the order of content and place, however many are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # the window before: content, place, and whether it is known as a repeat
+        for batch in batches:
+            out = []
+            for content, *place in zip(batch.column("content").to_pylist(), *(batch.column(c).to_pylist() for c in ("did", "ver", "at")), strict=True):
+                content = tuple(content.split()) if kind is Words else content
+                again = last is not None and last[0] == content
+                if again:
+                    if every and not last[2]:
+                        out.append(last[1])
+                    out.append(place)
+                last = (content, place, again)
+            did, ver, at = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (did, ver, at)], names=["did", "ver", "at"])
+
+    # words may be parted by different white space: it goes by the words
+    key = F.array_join(F.filter(F.split(F.decode("content", "UTF-8"), r"[\x20\x09-\x0D]+"), lambda x: x != ""), " ") if kind is Words else F.col("content")
+    return windows.withColumn("key", key).repartition("hash").sortWithinPartitions("hash", "key", "did", "ver", "at").select("did", "ver", "at", "content").mapInArrow(run, "did bigint, ver bigint, at bigint")
+
+
+def split(held: DataFrame, kind: type[Bytes] | type[Words], length: int, k: int, every: bool, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(did, ver, at): repeats among the windows of large groups, by prefixes that grow until a group fits."""
+    windows, out, symbols = cut(single_windows(held, kind, length), "windows"), None, k
+    while True:
+        symbols = min(length, symbols)
+        keyed_ = cut(by_prefix(windows, kind, symbols), "prefixes")
+        large = cut(keyed_.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("hash"), "large")
+        fits = sorted_groups(keyed_.join(large, "hash", "left_anti"), kind, length, marks)
+        out = fits if out is None else out.unionByName(fits)
+        if large.isEmpty():
+            return out
+        rest = keyed_.join(large, "hash", "left_semi")
+        if symbols == length:
+            return out.unionByName(equal_windows(rest, kind, every))
+        windows, symbols = rest.drop("hash"), 2 * symbols
+
+
+def repeated(docs: DataFrame, symbols: Symbols, kind: type[Bytes] | type[Words], length: int, k: int, every: bool, marks: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(did, ver, at): ranges of repeated windows of ``docs`` (with did and ver).
 
-    symbols: each symbol as 64 random bits, to find anchors by; content: the symbols themselves, as dtype, to sort.
+    symbols: each symbol as 64 random bits, to find anchors by; kind: the symbols themselves, to sort.
     """
     once = docs.select("did", "ver", "text")
     if not docs.groupBy("did", "ver").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -323,13 +423,12 @@ def repeated(docs: DataFrame, symbols: Symbols, content: Symbols, dtype, length:
     settled = cut(settle(anchors(once, symbols, length, k, every), every), "settled")
     firsts = settled.where("kind = 0").select("hash", "did", "ver", "at")
     large = cut(firsts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("hash"), "large")
-    held = contexts(once, firsts, content, length)
+    held = contexts(once, firsts, kind, length)
     out = settled.where("kind = 1").select("did", "ver", "at")
     if large.isEmpty():
-        return out.unionByName(sorted_groups(held, dtype, length, marks))
+        return out.unionByName(sorted_groups(held, kind, length, marks))
     held = cut(held, "contexts")
-    windows = settle(expand(held.join(large, "hash", "left_semi"), dtype, length), every).where("kind = 1").select("did", "ver", "at")
-    return out.unionByName(sorted_groups(held.join(large, "hash", "left_anti"), dtype, length, marks)).unionByName(windows)
+    return out.unionByName(sorted_groups(held.join(large, "hash", "left_anti"), kind, length, marks)).unionByName(split(held.join(large, "hash", "left_semi"), kind, length, k, every, marks))
 
 
 def ranges_by_document(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ longer of the common prefixes with the two. Suffixes whose factor reaches ``WIND
 
 Null or empty texts have no bytes; texts shorter than a window lose none. Strings are judged on the input and never cross documents. Repeated rows
 (equal doc_id and text) are one document and each get its result; a repeated doc_id with different texts is several documents in the order of
-the texts' hashes; a null doc_id is the smallest. Columns beside doc_id and text are ignored.
+the texts' hashes; a null doc_id is the smallest. An empty table gives an empty result. Columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from spanforge.llm.common import flat, slices, table
 from spanforge.llm.kernels import BYTES
-from spanforge.llm.repeats import covered, keyed, ranges_by_document, repeated
+from spanforge.llm.repeats import Bytes, covered, keyed, ranges_by_document, repeated
 
 WINDOW, PREFIX = 100, 28
 
@@ -59,14 +59,14 @@ def longest_previous_factors(by: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left) of each row of ``docs``."""
+def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``, and with ``text`` kept, the bytes that are left."""
     docs_ = keyed(docs.select("doc_id", "text"))
 
     def marks(by: np.ndarray, common: np.ndarray) -> np.ndarray:
         return np.flatnonzero(longest_previous_factors(by, common) >= window)
 
-    found = repeated(docs_, _hashed, flat, np.uint8, window, prefix, False, marks)
+    found = repeated(docs_, _hashed, Bytes, window, prefix, False, marks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFr
                     spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                     kept.append(own[~gone].tobytes() if removed[-1] else own.tobytes())
                 longs = pa.int64()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), longs), pa.array(removed, longs), pa.array(spans, longs), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), longs), pa.array(removed, longs), pa.array(spans, longs), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), *([pa.array(kept, pa.binary())] if text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text])
 
-    return ranges_by_document(docs_, found).select("doc_id", "text", "ats").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return ranges_by_document(docs_, found).select("doc_id", "text", "ats").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text)
 
 
-QUERIES = {"op10_lpf_dedup": lambda spark, sf_dir: dedup(table(spark, sf_dir, "documents")).drop("kept")}
+QUERIES = {"op10_lpf_dedup": lambda spark, sf_dir: dedup(table(spark, sf_dir, "documents"), text=False)}
 ORACLE: dict[str, str] = {}
