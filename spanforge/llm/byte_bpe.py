@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, types as T
 from spanforge.llm.common import slices, table
 
 SLICE = 1 << 19  # bytes of text whose ids a task holds at a time; a longer text is taken alone
-KEEP = 300_000  # pre-tokens in each generation of recent results
+KEEP = 150_000  # pre-tokens in each generation of recent results
 _ODD, _WIDE = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 

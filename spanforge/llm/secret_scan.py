@@ -30,6 +30,7 @@ from spanforge.llm.common import flat, sampled, slices, table
 from spanforge.llm.kernels import word_spans
 
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 800, 20_000, 60
+SLICE = 1 << 19  # bytes of text whose features a task holds at a time; a longer text is taken alone
 
 # The base patterns in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -344,7 +345,7 @@ def scan(docs: DataFrame, field: Field | None = None, mask: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 spans = scan_texts(part.column("text"), field)
                 found = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in x] for x in spans]
                 more = [] if mask is None else [pa.array([masked(t.as_py(), x, mask) for t, x in zip(part.column("text"), spans, strict=True)], pa.string())]
