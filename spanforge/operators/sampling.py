@@ -26,6 +26,40 @@ def seed_of(*keys) -> Column:
     return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, 10)
 
 
+def masked_sequences(df: DataFrame, sequence: str, start: str, intervals: str, seed: int, pairs: bool = True) -> DataFrame:
+    """``df`` with its sequence overwritten: its intervals (an array of structs start0, end0) are clipped to the sequence, which begins at ``start``, and merged; each is scrambled once by a seed of its coordinates.
+
+    N inside an interval, or an interval that scrambling leaves as it is, is an error. Adds ``masked`` and ``masked_bp``.
+    """
+
+    def one(text: str, begin: int, spans) -> tuple[str, int]:
+        merged: list[list[int]] = []
+        for a, b in sorted((max(0, x["start0"] - begin), min(len(text), x["end0"] - begin)) for x in spans if x is not None):
+            if b <= a:
+                continue
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            old = text[a:b]
+            if "N" in old.upper():
+                raise ValueError(f"N between {begin + a} and {begin + b}")
+            rng = np.random.default_rng([seed, begin + a, begin + b])
+            new = _euler_shuffle(old, rng) if pairs else "".join(np.array(list(old))[rng.permutation(len(old))])
+            if new == old:
+                raise ValueError(f"scrambling changes nothing between {begin + a} and {begin + b}")
+            text = text[:a] + new + text[b:]
+        return text, sum(b - a for a, b in merged)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(None, None) if t is None else one(t, int(a), x if x is not None else ()) for t, a, x in zip(batch[sequence], batch[start], batch[intervals], strict=True)]
+            yield batch.assign(masked=[x[0] for x in found], masked_bp=pd.array([x[1] for x in found], "Int64"))
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("masked", T.StringType()), T.StructField("masked_bp", T.LongType())]))
+
+
 def fitting_blocks(regions: DataFrame, tested: DataFrame, keys: Sequence[str] = ("gene_id", "chrom")) -> DataFrame:
     """``regions`` that fit somewhere in their keys' tested blocks, with ``total`` (starts at which they fit) and ``blocks`` (before, cnt, bs), as many as its entity has."""
     keys = list(keys)
