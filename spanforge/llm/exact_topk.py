@@ -83,17 +83,20 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIV
     width = max((len(r.v) for r in first), default=0)
     table_of = [[*r.v, *[0.0] * (width - len(r.v))] for r in first]
 
-    def distances(v):
-        def one(p: list[float]):
-            near = F.aggregate(F.zip_with(v, F.array(*map(F.lit, p)) if p else F.array().cast("array<double>"), lambda a, b: (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) * (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x)
-            return F.sqrt(near)
+    points = np.array(table_of, float).reshape(len(table_of), width)
 
-        return F.array(*map(one, table_of)) if table_of else F.array().cast("array<double>")
+    @F.pandas_udf("array<double>")
+    def distances(v: pd.Series) -> pd.Series:
+        wide = max(width, int(v.map(len).max()) if len(v) else 0)
+        x, p = _matrix(v, wide), np.zeros((len(points), wide))
+        p[:, :width] = points
+        far = np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in p], 1) if len(p) else np.zeros((len(x), 0))
+        return pd.Series(list(far))
 
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     nearest = F.coalesce(F.array_position("far", F.array_min("far")) - 1, F.lit(0)) if table_of else F.lit(0)
     # the row's number is written with it, so that its block stays the same whatever is recomputed
-    placed = found.withColumn("far", distances(F.col("v"))).withColumns({"size": squares, "cell": nearest.cast("long"), "salt": F.monotonically_increasing_id()})
+    placed = found.withColumn("far", distances("v")).withColumns({"size": squares, "cell": nearest.cast("long"), "salt": F.monotonically_increasing_id()})
     placed = cut(placed, "pivots")
     ends = [f(F.col("far")[p]).alias(f"{n}{p}") for p in range(len(table_of)) for n, f in (("lo", F.min), ("hi", F.max))]
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("size"), *ends).orderBy("cell").collect()  # a row for each pivot
@@ -102,8 +105,13 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIV
     parts = F.create_map(*[F.lit(x) for c in cells for x in (c["cell"], -(-c["n"] // BLOCK))])  # blocks of a cell
     part = F.pmod(F.xxhash64("vec_id", "salt"), parts[F.col("cell")])
     asked = placed.where(F.col("vec_id") % every == 0).withColumn("query", F.xxhash64("v")).dropDuplicates(["vec_id", "query"])
-    asks = F.create_map(*[F.lit(x) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect() for x in (r["cell"], -(-r["n"] // QUERY_BLOCK))] or [F.lit(-1).cast("long"), F.lit(1)])
-    asked = asked.withColumn("qb", F.struct("cell", F.pmod(F.xxhash64(F.lit(7), "vec_id", "query"), asks[F.col("cell")])))
+    # queries are dealt into blocks in the order of their cells, so that those of one block are near each other
+    counts, before, spots = asked.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect(), 0, [F.lit(-1).cast("long"), F.array(F.lit(0), F.lit(1))]
+    for r in counts:
+        spots += [F.lit(r["cell"]), F.array(F.lit(before), F.lit(r["n"]))]
+        before += r["n"]
+    spot = F.create_map(*spots)[F.col("cell")]
+    asked = asked.withColumn("qb", F.floor((spot[0] + F.pmod(F.xxhash64(F.lit(7), "vec_id", "query"), spot[1])) / QUERY_BLOCK))
     asked = cut(asked.select("vec_id", "query", "v", "far", "size", "cell", "qb", part.alias("home")), "asked")
     candidates = placed.select("vec_id", "v", "far", "cell", part.alias("part"))
 
@@ -129,16 +137,21 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, pivots: int = PIV
     columns = ["vec_id", "query", "v", "far", "qb"]
     first_best = cut(met(asked.select(*columns, F.lit(float("-inf")).alias("least"), "cell", F.col("home").alias("part"))), "first")
     kth = first_best.groupBy(F.col("query_id").alias("vec_id"), "query").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
-    bounds = {c["cell"]: ([c[f"lo{p}"] for p in range(len(table_of))], [c[f"hi{p}"] for p in range(len(table_of))]) for c in cells}
-
-    def reaches(c) -> F.Column:
-        """Whether the query's inner product with a vector of the cell may reach its k-th best so far."""
-        lo, hi = bounds[c["cell"]]
-        gap = F.greatest(F.lit(0.0), F.lit(0.0), *[F.greatest(F.col("far")[p] - hi[p], F.lit(lo[p]) - F.col("far")[p]) for p in range(len(lo))])
-        gap = F.greatest(F.lit(0.0), gap - 1e-6 * (1 + gap))  # distances are rounded
-        return (F.col("size") + c["size"] - gap * gap) / 2 >= F.col("least") - 0.5
-
-    open_ = F.array_compact(F.array(*[F.when(reaches(c), F.lit(c["cell"])) for c in cells]))
+    names = np.array([c["cell"] for c in cells])
+    lo, hi = (np.array([[c[f"{n}{p}"] for p in range(len(table_of))] for c in cells], float).reshape(len(cells), len(table_of)) for n in ("lo", "hi"))
+    sizes = np.array([c["size"] for c in cells])
+
+    @F.pandas_udf("array<bigint>")
+    def reached(far: pd.Series, size: pd.Series, least: pd.Series) -> pd.Series:
+        """The cells that may hold a vector whose inner product with the query reaches its k-th best so far."""
+        x, out = _matrix(far, len(table_of)), []
+        for q, n, k_th in zip(x, size.to_numpy(), least.to_numpy(), strict=True):
+            gap = np.maximum(np.maximum(q - hi, lo - q).max(1, initial=0.0), 0.0)
+            gap = np.maximum(gap - 1e-6 * (1 + gap), 0.0)  # distances are rounded
+            out.append(names[(n + sizes - gap * gap) / 2 >= k_th - 0.5])
+        return pd.Series(out)
+
+    open_ = reached("far", "size", "least")
     rest = asked.join(kth, ["vec_id", "query"], "left").fillna(float("-inf"), ["least"]).withColumnRenamed("cell", "own").withColumn("cell", F.explode(open_))
     rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts[F.col("cell")].cast("long") - 1))).where("cell <> own OR part <> home")
     best = first_best.unionByName(met(rest.select(*columns, "least", "cell", "part")))
