@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-NAMES = ("decontaminate", "secret_scan", "html_extract", "sharding", "exact_topk", "quality_cnn", "near_dedup", "byte_bpe", "substring_dedup", "suffix_dedup")
+NAMES = ("decontaminate", "secret_scan", "html_extract", "sharding", "exact_topk", "quality_cnn", "near_dedup", "byte_bpe", "substring_dedup", "suffix_dedup", "collocations", "toxicity", "lexical_search")
 MODULES = [import_module(f"spanforge.llm.{name}") for name in NAMES]
 
 
