@@ -1,21 +1,23 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
-A document's set of word shingles (of 2 words for op7; link() takes other sizes) gives ``BANDS`` bands of ``ROWS`` MinHash samples, and an odd sketch: the samples are folded into a bitmap of parities, and the population count of two
-bitmaps' exclusive or tells how many samples differ, precisely so where similarities are high. Documents that share a band are
-candidates. A second odd sketch folds the whole set, so that with the sets' sizes it estimates the similarity without the samples' error. Candidates whose sketches
-allow a similarity of 0.8 (five standard deviations of either) are confirmed on their full sets. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
+A document's set of word shingles (of 2 words for op7; link() takes other sizes) gives ``BANDS`` bands of ``ROWS`` MinHash samples, and an odd sketch: the samples are folded into a bitmap of parities, and
+the population count of two bitmaps' exclusive or tells how many samples differ, precisely so where similarities are high. Documents that share a band are candidates. A second odd sketch folds the
+whole set, so that with the sets' sizes it estimates the similarity without the samples' error. Candidates whose sketches allow a similarity of 0.8 (five standard deviations of either) are
+confirmed on their full sets, shingle by shingle as text. At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
 
-Copies (equal sets) are one class, found by a digest and aggregated before the shuffle. The classes of a band are not paired with each
-other: each meets the band's centre, the class that shares most bands with others; confirmed links join classes into components; then only classes that share a
-band but are still in different components meet, until every such pair has been held against the sketches. So a band that holds a third
-of all rows costs a few rows for each of them, and no link between components is lost.
+Texts of equal words are one class, told by the SHA-256 of their words and aggregated before the shuffle. The classes of a band are not paired with each other: each meets the band's centre, the
+class that shares most bands with others; confirmed links join classes into components; then only classes that share a band but are still in different components meet. In bands of up to ``FEW`` such
+classes all of them do. The classes of larger bands meet by prefixes instead, in which no link can be lost: shingles are ordered by rarity among these classes, and of two sets of a similarity of 0.8 one
+of the rarest fifth (and one more) of each is the same. So what a third of all rows have in common, however many bands it fills, brings nobody together.
 
 Words: A-Z lower-cased, runs without ASCII white space. With fewer words than a shingle has, the set holds them all as one; without words or text the set is empty, and the document is linked
-with nothing. A repeated doc_id is one document for each distinct set. A null doc_id takes part, but names a component only as null; it is kept only where no id is in the component. Other columns are ignored.
+with nothing. A repeated doc_id is one document for each distinct set. A null doc_id takes part, but names a component only as null; it is kept only where no id is in the component. Very long texts are
+worked on alone. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +31,12 @@ from spanforge.llm.kernels import BASE, SPACE, U, gram_hash, lower_ascii, mix, s
 BANDS, ROWS, BITS, SLACK, WHOLE_BITS = 32, 5, 512, 0.16, 2048
 #: Classes whose ids, keys and digests may be broadcast (24 bytes each).
 SMALL = 50_000
+#: Classes of one band, still in different components, that are paired with each other.
+FEW = 16
 SAMPLES = BANDS * ROWS
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U) * U(0xA24BAED4963EE407))
 _XOR, _MUL = (_KEYS[:SAMPLES] >> U(32)).astype(np.uint32), (_KEYS[SAMPLES:] >> U(32)).astype(np.uint32) | np.uint32(1)
-SIGNATURE = "doc_id {id}, text_key bigint, n_shingles bigint, class bigint, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
+SIGNATURE = "doc_id {id}, text_key bigint, n_shingles bigint, words binary, bands array<bigint>, sketch array<bigint>, whole array<bigint>"
 
 
 def shingle_sets(text: pa.Array, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -96,11 +100,10 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
                 shingles, offsets = shingle_sets(part.column("text"), size)
                 sizes = np.diff(offsets)
                 some = np.flatnonzero(sizes)
-                digest, bands, sketch, whole = np.zeros(len(sizes), np.int64), *([[]] * len(sizes) for _ in range(3))
+                bands, sketch, whole = ([[]] * len(sizes) for _ in range(3))
+                digest = [hashlib.sha256(b" ".join((t.as_py() or b"").lower().split())).digest() for t in part.column("text").cast(pa.large_binary())]
                 if len(some):
                     tight = np.concatenate([offsets[some], offsets[-1:]])
-                    sums = np.add.reduceat(mix(shingles ^ U(BASE)), tight[:-1])
-                    digest[some] = mix(sums + sizes[some].astype(U)).view(np.int64)
                     found = samples(shingles, tight)
                     keys = np.zeros((len(some), BANDS), U)
                     for j in range(ROWS):
@@ -109,7 +112,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
                     for i, k, o, w in zip(some.tolist(), keys.view(np.int64), odd, whole_sketches(shingles, tight), strict=True):
                         bands[i], sketch[i], whole[i] = k, o, w
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(digest), pa.array(bands, longs), pa.array(sketch, longs), pa.array(whole, longs)], names=["doc_id", "text_key", "n_shingles", "class", "bands", "sketch", "whole"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(sketch, longs), pa.array(whole, longs)], names=["doc_id", "text_key", "n_shingles", "words", "bands", "sketch", "whole"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNATURE.format(id=kind))
 
@@ -158,9 +161,9 @@ def link(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     signed = cut(signatures(docs, size), "signatures")
     reps = cut(
         signed.where("n_shingles > 0")
-        .groupBy("class")
+        .groupBy("words")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
-        .select("class", "rep.doc_id", "rep.text_key", "n", "bands", "sketch", "whole"),
+        .select(F.monotonically_increasing_id().alias("class"), "words", "rep.doc_id", "rep.text_key", "n", "bands", "sketch", "whole"),
         "classes",
     )
     sketches = reps.select("class", "n", "sketch", "whole")
@@ -176,24 +179,23 @@ def link(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     labels = components(edges)
     # classes that share a band and are in different components by now: their pairs, but for those met already
     here = cut(shared.select("i", "band", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("i", "band", "class", F.coalesce("label", "class").alias("label")), "labelled")
-    open_ = here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = here.join(open_, "band", "left_semi").join(reps.select("class", "n", "sketch", "whole", "bands"), "class")
-    left = cut(left, "open")
+    open_ = cut(here.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi"), "open-bands")
+    left = cut(here.join(open_.where(F.col("size") <= FEW), "band", "left_semi").join(reps.select("class", "n", "sketch", "whole", "bands"), "class"), "open")
     x, y = (left.select("band", *(F.col(c).alias(f"{side}_{c}") for c in ("i", "class", "label", "n", "sketch", "whole", "bands"))) for side in ("x", "y"))
     # a pair meets in the first band that it shares
     first = ~F.arrays_overlap(F.slice("x_bands", F.lit(1), F.col("x_i")), F.slice("y_bands", F.lit(1), F.col("x_i")))
-    rest = (
-        x.join(y, "band")
-        .where((F.col("x_label") < F.col("y_label")) & _possible(percent) & first)
-        .select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
-        .join(near, ["a", "b"], "left_anti")
-    )
+    rest = x.join(y, "band").where((F.col("x_label") < F.col("y_label")) & _possible(percent) & first).select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b"))
+    hot = cut(here.join(open_.where(F.col("size") > FEW), "band", "left_semi").select("class", "label").distinct(), "hot")
+    if not hot.isEmpty():
+        rest = rest.unionByName(_near(_by_prefix(docs, reps, hot, percent, size), sketches, percent)).distinct()
+    rest = rest.join(near, ["a", "b"], "left_anti")
     edges, labels = _join_on(cut(rest, "rest"), edges, labels, docs, reps, percent, size)
     named = reps.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = named.select("class", "label").join(smallest, "label").select("class", "component_id")
-    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")).join(found, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = reps.select("class", "words").join(found, "class").select("words", "component_id")
+    out = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words")).join(found, "words", "left")
+    component = F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
 
@@ -203,17 +205,63 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").where(_possible(percent)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked by their full sets."""
-    pairs = cut(pairs.select("a", "b"), "pairs")
-    need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+def _texts(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
+    """(class, text) of the classes of ``need``."""
     wanted = cut(reps.select("class", "doc_id", "text_key").join(need, "class", "left_semi"), "wanted")
     wanted = (F.broadcast(wanted) if wanted.count() <= SMALL else wanted).alias("w")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d").join(wanted, F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key")).select("class", "text")
-    sets = cut(full_sets(texts, size).dropDuplicates(["class"]), "sets")
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("_common", common).where(F.expr(f"100L * _common >= {percent}L * (size(x) + size(y) - _common)")).select("a", "b")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d").join(wanted, F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key"))
+    return cut(found.select("class", "text").dropDuplicates(["class"]), "texts")
+
+
+def shingles(text: bytes, size: int) -> set:
+    """The set of a text's shingles, as words."""
+    words = text.lower().split()
+    return set(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else {tuple(words)} if words else set()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked by their full sets of shingles."""
+    pairs = cut(pairs.select("a", "b"), "pairs")
+    texts = _texts(docs, reps, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, set] | None = None  # of a class that meets several others in a row
+        for batch in batches:
+            for part in slices(batch, "x"):
+                a, keep = part.column("a").to_pylist(), []
+                for i, (x, y) in enumerate(zip(part.column("x").cast(pa.large_binary()), part.column("y").cast(pa.large_binary()), strict=True)):
+                    if last is None or last[0] != a[i]:
+                        last = a[i], shingles(x.as_py(), size)
+                    mine = shingles(y.as_py(), size)
+                    common = len(last[1] & mine)
+                    keep.append(100 * common >= percent * (len(last[1]) + len(mine) - common))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _by_prefix(docs: DataFrame, reps: DataFrame, hot: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) of the classes of ``hot`` (class, label) with different labels that share one of their rarest shingles: all those of the similarity are among them.
+
+    Labels of a shingle are paired first, their classes then: classes of one component are not paired with each other, however many share a shingle.
+    """
+    sets = cut(full_sets(_texts(docs, reps, hot.select("class")), size), "sets")
+    held = sets.select("class", F.explode("shingles").alias("token"))
+    # a shingle of one class only brings nobody together, but takes its place in the prefix, among the rarest
+    common = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = held.join(common, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # as many as the set has
+    m = F.size("shingles")
+    least = m - F.ceil(m * (percent / 100) - 1e-9) + 1  # as many of its rarest shingles as hold a common one with any set of the similarity
+    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - m + least).cast("int"))
+    rare = sets.join(known, "class").select("class", m.alias("m"), F.explode(prefix).alias("t")).join(hot, "class").select("class", "label", "m", F.col("t.token").alias("token"))
+    rare = cut(rare, "rare")
+    groups = rare.select("token", "label").distinct()
+    groups = groups.join(groups.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token", "left_semi")
+    met = groups.toDF("token", "la").join(groups.toDF("token", "lb"), "token").where("la < lb")
+    x, y = rare.select(F.col("class").alias("a"), F.col("label").alias("la"), F.col("m").alias("xm"), "token"), rare.select(F.col("class").alias("b"), F.col("label").alias("lb"), F.col("m").alias("ym"), "token")
+    pairs = met.join(x, ["token", "la"]).join(y, ["token", "lb"]).where(f"100 * xm >= {percent} * ym AND 100 * ym >= {percent} * xm")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _join_on(pairs: DataFrame, edges: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:

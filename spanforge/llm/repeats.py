@@ -5,7 +5,7 @@ among those inside it, leftmost first. It depends on the window's content alone,
 Consecutive windows mostly share their anchor; the symbols that the windows of one anchor span are its context. Per document only about 2 in L - k + 2
 positions are anchors, and only they are shuffled, by hash:
 
-1. ``anchors``: hash, digest of the context, document, first window and number of windows of each anchor. Equal contexts are combined before the
+1. ``anchors``: hash, SHA-256 of the context's content, document, first window and number of windows of each anchor. Equal contexts are combined before the
    shuffle, among the texts that a task holds at a time: those after the first are repeats already and travel under keys of their own.
 2. ``settle``: sorted by hash, digest and document, anchors stream past once, however many share a hash. Equal contexts repeat each
    other's windows; of different contexts under one hash the first of each goes on.
@@ -13,8 +13,8 @@ positions are anchors, and only they are shuffled, by hash:
 4. ``split``: the windows of groups of more than ``GROUP`` contexts are grouped anew by longer and longer prefixes of their own, until a group fits and is sorted as above.
    Windows that are still together by their whole length are compared as they stream past in the order of their content.
 
-Copies of whole contexts are told by 128 bits, the anchor's hash and the digest: fetching their content as well would shuffle four times the input (45 % of all anchors of check_l,
-400 bytes each). Hashes of prefixes only bring windows together; whether those are equal is decided by their symbols.
+Copies of whole contexts are told by 128 bits of the SHA-256 of their content: fetching the content as well would shuffle four times the input (45 % of all anchors of check_l,
+400 bytes each). All other hashes of prefixes only bring windows together; whether those are equal is decided by their symbols.
 
 Documents are told apart by did (doc_id; null is the smallest number) and ver, which is 0 unless ids repeat; then it is the text's hash. Rows that are equal in
 both are one document. A document is held in memory while it is worked on, its neighbours are not.
@@ -22,6 +22,7 @@ both are one document. A document is held in memory while it is worked on, its n
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from spanforge.llm.common import cut, flat, slices
-from spanforge.llm.kernels import BASE, INVERSE, SPACE, U, gram_hash, mix, powers, word_spans
+from spanforge.llm.kernels import SPACE, U, gram_hash, mix, word_spans
 
 BATCH = 1 << 20  # bytes of contexts in one suffix array
 GROUP = 8192  # contexts, of about BATCH bytes
@@ -50,6 +51,12 @@ class Bytes:
         data, offsets = flat(text)
         return data, np.arange(len(data)), np.arange(1, len(data) + 1), offsets
 
+    @staticmethod
+    def content(text: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """As spans(), but equal runs of symbols are equal slices of the bytes."""
+        data, *rest = Bytes.spans(text)
+        return data.tobytes(), *rest
+
     @staticmethod
     def numbers(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of several contents, equal numbers for equal symbols, and each content's offsets (n + 1) in them."""
@@ -67,6 +74,17 @@ class Words:
         starts, ends, counts = word_spans(data, offsets, SPACE)
         return data, starts, ends, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
+    @staticmethod
+    def content(text: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """As spans(), but with one blank after each word, whatever white space the text has."""
+        data, starts, ends, offsets = Words.spans(text)
+        last = np.cumsum(ends - starts + 1) - 1  # of each word's blank
+        inside = np.ones(int(last[-1]) + 1 if len(last) else 0, bool)
+        inside[last] = False
+        out = np.full(len(inside), 0x20, np.uint8)
+        out[inside] = data[~SPACE[data]]
+        return out.tobytes(), last - (ends - starts), last, offsets
+
     @staticmethod
     def numbers(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known: dict[bytes, int] = {}
@@ -86,10 +104,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors_of(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, hash and context digest of each anchor."""
+    """Row, first window, number of windows and hash of each anchor."""
     n = len(symbols) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
     least, where, size, width = gram_hash(symbols, k), None, 1, length - k + 1
     grams, where = least, np.arange(len(least), dtype=np.int32)
     step = []
@@ -105,52 +123,57 @@ def anchors_of(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int) ->
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     whole = np.flatnonzero(row[:n] == row[length - 1 :])
     if not len(whole):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
     spot = where[whole]
     new = np.ones(len(whole), bool)
     new[1:] = (spot[1:] != spot[:-1]) | (whole[1:] != whole[:-1] + 1)
     at = np.flatnonzero(new)
     first, count = whole[at], np.diff(np.append(at, len(whole)))
     spot = spot[at]
-    sums = np.zeros(len(symbols) + 1, U)
-    np.cumsum(symbols * powers(BASE, len(symbols)), out=sums[1:])
-    last = first + count - 1 + length
-    back = powers(INVERSE, len(symbols))
-    digest = mix((sums[last] - sums[first]) * back[first] + ((spot - first) * 4096 + count).astype(U) * U(0xD6E8FEB86659FD93))
     rows = row[first].astype(np.int64)
-    return rows, first - offsets[rows], count.astype(np.int64), grams[spot], digest
+    return rows, first - offsets[rows], count.astype(np.int64), grams[spot]
+
+
+ANCHOR = "hash bigint, ctx bigint, ctx2 bigint, did bigint, ver bigint, at bigint, known boolean"
 
 
-ANCHOR = "hash bigint, ctx bigint, did bigint, ver bigint, at bigint, known boolean"
+def digests(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 128 bits of the SHA-256 of each slice, as two numbers."""
+    sha = hashlib.sha256
+    found = b"".join([sha(raw[a:b]).digest()[:16] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(found, U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
-def combined(rank: np.ndarray, at: np.ndarray, hashes: np.ndarray, digest: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def combined(rank: np.ndarray, at: np.ndarray, digest: tuple[np.ndarray, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Which of these anchors go on to be settled, and which are known to be repeats, given their documents' ranks and ``at``."""
-    key = mix(hashes ^ digest)
-    by = np.lexsort((at, rank, key))
+    by = np.lexsort((at, rank, digest[1], digest[0]))
     new = np.ones(len(by), bool)
-    new[1:] = key[by[1:]] != key[by[:-1]]
+    new[1:] = (digest[0][by[1:]] != digest[0][by[:-1]]) | (digest[1][by[1:]] != digest[1][by[:-1]])
     again = ~new
     if every:
         again[:-1] |= ~new[1:]
     return by[new], by[again]
 
 
-def anchors(docs: DataFrame, symbols: Symbols, length: int, k: int, every: bool) -> DataFrame:
+def anchors(docs: DataFrame, symbols: Symbols, kind: type[Bytes] | type[Words], length: int, k: int, every: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, first, count, hashes, digest = anchors_of(*symbols(part.column("text")), length, k)
+                rows, first, count, hashes = anchors_of(*symbols(part.column("text")), length, k)
+                raw, starts, ends, offsets = kind.content(part.column("text"))
+                begin = offsets[rows] + first
+                digest = digests(raw, starts[begin], ends[begin + count + length - 2])
                 at = first << BITS | count
                 place = np.empty(len(part), np.int64)
                 place[np.lexsort((part.column("ver").to_numpy(), part.column("did").to_numpy()))] = np.arange(len(part))
-                go, known = combined(place[rows], at, hashes, digest, every)
-                spread = mix(hashes + mix(digest + at.astype(U)) + place[rows].astype(U))  # keys that share nothing
+                go, known = combined(place[rows], at, digest, every)
+                spread = mix(hashes + mix(digest[0] + at.astype(U)) + place[rows].astype(U))  # keys that share nothing
                 for ids, keys, flag in ((go, hashes, False), (known, spread, True)):
                     for a in range(0, len(ids), 50_000):
                         i = ids[a : a + 50_000]
                         own = pa.array(rows[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[i].view(np.int64)), pa.array(digest[i].view(np.int64)), part.column("did").take(own), part.column("ver").take(own), pa.array(at[i]), pa.array(np.full(len(i), flag))], names=["hash", "ctx", "did", "ver", "at", "known"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[i].view(np.int64)), *(pa.array(d[i].view(np.int64)) for d in digest), part.column("did").take(own), part.column("ver").take(own), pa.array(at[i]), pa.array(np.full(len(i), flag))], names=["hash", "ctx", "ctx2", "did", "ver", "at", "known"])
 
     return docs.select("did", "ver", "text").mapInArrow(run, ANCHOR)
 
@@ -162,7 +185,7 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5
+        kept = [np.zeros(0, np.int64)] * 6
         done = [np.zeros(0, bool)] * 2  # of the rows kept from before: known as repeat, known as first
         several = False  # the last hash so far has several contexts
         for batch in batches:
@@ -175,13 +198,13 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
                 batch = batch.filter(pa.array(~told))
                 if not len(batch):
                     continue
-            cols = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("hash", "ctx", "did", "ver", "at"), strict=True)]
+            cols = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("hash", "ctx", "ctx2", "did", "ver", "at"), strict=True)]
             more = len(cols[0]) - len(done[0])
             known = [np.concatenate([d, np.zeros(more, bool)]) for d in done]
-            h, c = cols[0], cols[1]
+            h, c, c2 = cols[:3]
             new_hash, new_ctx = np.ones(len(h), bool), np.ones(len(h), bool)
             new_hash[1:] = h[1:] != h[:-1]
-            new_ctx[1:] = new_hash[1:] | (c[1:] != c[:-1])
+            new_ctx[1:] = new_hash[1:] | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
             repeat = ~new_ctx
             if every:
                 repeat[:-1] |= ~new_ctx[1:]
@@ -192,7 +215,7 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
             out = [(1, repeat & ~known[0]), (0, first & ~known[1])]
             kind = np.concatenate([np.full(int(m.sum()), k, np.int8) for k, m in out])
             at = np.concatenate([np.flatnonzero(m) for _, m in out])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(cols[i][at]) for i in (0, 2, 3, 4))], names=["kind", "hash", "did", "ver", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(cols[i][at]) for i in (0, 3, 4, 5))], names=["kind", "hash", "did", "ver", "at"])
             several = bool(many[-1])
             begin = int(np.flatnonzero(new_hash)[-1])
             hold = [len(h) - 1] if several or begin == len(h) - 1 else [begin, len(h) - 1]
@@ -201,7 +224,7 @@ def settle(found: DataFrame, every: bool) -> DataFrame:
             if several:
                 done[1][:] = True
 
-    ordered = found.repartition("hash").sortWithinPartitions("hash", "ctx", "did", "ver", "at")
+    ordered = found.repartition("hash").sortWithinPartitions("hash", "ctx", "ctx2", "did", "ver", "at")
     return ordered.mapInArrow(run, "kind tinyint, hash bigint, did bigint, ver bigint, at bigint")
 
 
@@ -420,7 +443,7 @@ def repeated(docs: DataFrame, symbols: Symbols, kind: type[Bytes] | type[Words],
     once = docs.select("did", "ver", "text")
     if not docs.groupBy("did", "ver").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         once = once.dropDuplicates(["did", "ver"])
-    settled = cut(settle(anchors(once, symbols, length, k, every), every), "settled")
+    settled = cut(settle(anchors(once, symbols, kind, length, k, every), every), "settled")
     firsts = settled.where("kind = 0").select("hash", "did", "ver", "at")
     large = cut(firsts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("hash"), "large")
     held = contexts(once, firsts, kind, length)
