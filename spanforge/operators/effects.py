@@ -33,18 +33,53 @@ def epsilon(reference: DataFrame, masked: DataFrame, keys: Sequence[str], value:
     return reference.select(*keys, F.col(value).alias("delta_ref"), *[c for c in reference.columns if c not in (*keys, value)]).join(masked.select(*keys, F.col(value).alias("delta_masked")), list(keys)).withColumn("epsilon", F.col("delta_masked") - F.col("delta_ref"))
 
 
-def epsilon_windows(pairs: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """Per window: repeats, means, sd and sign consistency of epsilon, and whether the mean effect crosses the threshold up or down."""
+def epsilon_shuffles(pairs: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Per window and reshuffle of its mask (rep): means over the window's own scrambles, epsilon's sd, and whether the mean absolute effect crosses the threshold up or down."""
+    ref, masked = F.avg(F.abs("delta_ref")), F.avg(F.abs("delta_masked"))
+    return pairs.groupBy(*keys, "rep").agg(
+        F.avg("delta_ref").alias("delta_ref"),
+        F.avg("delta_masked").alias("delta_masked"),
+        F.avg("epsilon").alias("epsilon"),
+        F.stddev_samp("epsilon").alias("epsilon_sd_scrambles"),
+        ((masked > threshold) & (ref <= threshold)).alias("crosses_up"),
+        ((masked <= threshold) & (ref > threshold)).alias("crosses_down"),
+    )
+
+
+def usable(shuffles: DataFrame) -> DataFrame:
+    """The rows that may be summarised: windows tested on both backgrounds that don't overlap their own mask (where the columns valid and overlaps_mask say so)."""
+    for c, keep in (("valid", F.col("valid")), ("overlaps_mask", ~F.col("overlaps_mask"))):
+        shuffles = shuffles.where(keep) if c in shuffles.columns else shuffles
+    return shuffles
+
+
+def epsilon_windows(shuffles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per window, over its usable reshuffles: their number, means, sd and sign consistency of epsilon, and the fractions that cross up and down."""
     mean = F.avg("epsilon").over(W.partitionBy(*keys))
-    found = pairs.withColumn("_agree", (F.signum("epsilon") == F.signum(mean)).cast("double")).groupBy(*keys).agg(F.count_distinct("rep").alias("n_reps"), F.avg("delta_ref").alias("delta_ref"), F.avg("delta_masked").alias("delta_masked"), F.avg("epsilon").alias("epsilon_mean"), F.stddev_samp("epsilon").alias("epsilon_sd"), F.avg("_agree").alias("sign_consistency"))
-    return found.withColumns({"crosses_up": (F.abs("delta_masked") > threshold) & (F.abs("delta_ref") <= threshold), "crosses_down": (F.abs("delta_masked") <= threshold) & (F.abs("delta_ref") > threshold)})
+    rows = usable(shuffles).withColumn("_agree", (F.signum("epsilon") == F.signum(mean)).cast("double"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return rows.groupBy(*keys).agg(
+        F.count_distinct("rep").alias("n_reps"),
+        F.avg("delta_ref").alias("delta_ref"),
+        F.avg("delta_masked").alias("delta_masked"),
+        F.avg("epsilon").alias("epsilon_mean"),
+        F.stddev_samp("epsilon").alias("epsilon_sd"),
+        F.avg("_agree").alias("sign_consistency"),
+        share("crosses_up").alias("frac_reps_up"),
+        share("crosses_down").alias("frac_reps_down"),
+    )
 
 
-def epsilon_regions(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per region: means within each repeat first, then mean and sd over repeats."""
-    each = pairs.groupBy(*keys, "rep").agg(F.avg("epsilon").alias("e"), F.avg("delta_ref").alias("r"), F.avg("delta_masked").alias("m"), F.count("*").alias("w"))
+def epsilon_regions(shuffles: DataFrame, keys: Sequence[str], window: Sequence[str] = ("window_id",)) -> DataFrame:
+    """Per region: means of its usable windows within each reshuffle first, then mean and sd over the reshuffles."""
+    rows = usable(shuffles)
+    each = rows.groupBy(*keys, "rep").agg(F.avg("epsilon").alias("e"), F.avg("delta_ref").alias("r"), F.avg("delta_masked").alias("m"))
+    windows = rows.groupBy(*keys).agg(F.count_distinct(*window).alias("n_windows"))
     mean = F.avg("e").over(W.partitionBy(*keys))
-    return each.withColumn("_agree", (F.signum("e") == F.signum(mean)).cast("double")).groupBy(*keys).agg(F.max("w").alias("n_windows"), F.count("*").alias("n_reps"), F.avg("r").alias("delta_ref"), F.avg("m").alias("delta_masked"), F.avg("e").alias("epsilon_mean"), F.stddev_samp("e").alias("epsilon_sd_reps"), F.avg("_agree").alias("sign_consistency"))
+    found = each.withColumn("_agree", (F.signum("e") == F.signum(mean)).cast("double")).groupBy(*keys).agg(
+        F.count("*").alias("n_reps"), F.avg("r").alias("delta_ref"), F.avg("m").alias("delta_masked"), F.avg("e").alias("epsilon_mean"), F.stddev_samp("e").alias("epsilon_sd_reps"), F.avg("_agree").alias("sign_consistency")
+    )
+    return windows.join(found, list(keys))
 
 
 def against_nulls(regions: DataFrame, nulls: DataFrame, keys: Sequence[str], value: str = "epsilon_mean") -> DataFrame:

@@ -87,8 +87,8 @@ def tile(df: DataFrame, length: int, width: int, stride: int, start: str = "star
     return df.withColumn("_o", F.explode(spots)).withColumns({"window_start0": F.col(start) + F.col("_o"), "window_end0": F.col(start) + F.col("_o") + width}).drop("_o")
 
 
-def smooth(df: DataFrame, value: str = "value", size: int = 3, keys: Sequence[str] = ("gene_id", "chrom"), stride: int | None = None) -> DataFrame:
-    """Centred mean of ``size`` windows, cut at the edges, never across a missing value or a gap; adds ``smoothed``.
+def smooth(df: DataFrame, value: str = "value", size: int = 3, keys: Sequence[str] = ("gene_id", "chrom"), stride: int | None = None, beside: Sequence[str] = ()) -> DataFrame:
+    """Centred mean of ``size`` windows, cut at the edges, never across a missing value or a gap; adds ``smoothed``, and ``smoothed_<name>`` for each column ``beside``, which is missing where the value is.
 
     A gap is a start beyond the end of the window before, or, with ``stride``, a step other than it.
     """
@@ -99,23 +99,27 @@ def smooth(df: DataFrame, value: str = "value", size: int = 3, keys: Sequence[st
     apart = (F.col("start0") - F.lag("start0").over(order) != stride) if stride else (F.col("start0") > F.lag("end0").over(order))
     rows = df.withColumn("_new", F.when(before | apart, 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     near = W.partitionBy(*keys, "_island").orderBy("start0", "end0").rowsBetween(-(size // 2), size // 2)
-    return rows.withColumn("smoothed", F.when(F.col(value).isNotNull(), F.avg(value).over(near))).drop("_new", "_island")
+    mean = lambda c: F.when(F.col(value).isNotNull(), F.avg(c).over(near))
+    return rows.withColumns({"smoothed": mean(value), **{f"smoothed_{c}": mean(c) for c in beside}}).drop("_new", "_island")
 
 
-def project(df: DataFrame, value: str = "value", keys: Sequence[str] = ("gene_id", "chrom"), width: int = BIN) -> DataFrame:
-    """Overlapping windows as disjoint segments: value is the mean of the windows that cover one; a missing value among them blanks it."""
+def project(df: DataFrame, value: str = "value", keys: Sequence[str] = ("gene_id", "chrom"), width: int = BIN, beside: Sequence[str] = ()) -> DataFrame:
+    """Overlapping windows as disjoint segments: value, and what stands ``beside`` it, is the mean of the windows that cover one; a missing value among them blanks it."""
     keys = list(keys)
     points = df.select(*keys, F.col("start0").alias("p")).unionByName(df.select(*keys, F.col("end0").alias("p"))).distinct()
     segments = points.select(*keys, F.col("p").alias("start0"), F.lead("p").over(W.partitionBy(*keys).orderBy("p")).alias("end0")).where("end0 IS NOT NULL")
-    held = range_join(segments, df.select(*keys, "start0", "end0", F.col(value).alias("v")), keys, width)
-    found = held.groupBy(*keys, "start0", "end0").agg(F.avg("r_v").alias(value), F.count("*").cast("long").alias("n_windows"), F.count("r_v").alias("_valid"))
+    held = range_join(segments, df.select(*keys, "start0", "end0", F.col(value).alias("v"), *beside), keys, width)
+    found = held.groupBy(*keys, "start0", "end0").agg(F.avg("r_v").alias(value), *[F.avg(f"r_{c}").alias(c) for c in beside], F.count("*").cast("long").alias("n_windows"), F.count("r_v").alias("_valid"))
     return found.where("n_windows = _valid").drop("_valid")
 
 
-def call_regions(segments: DataFrame, threshold: float, min_bp: int, value: str = "value", keys: Sequence[str] = ("gene_id", "chrom"), eps: float = 1e-12) -> DataFrame:
-    """Runs of abutting segments whose absolute value is above ``threshold``, of ``min_bp`` at least, with bp-weighted summaries."""
-    order = W.partitionBy(*keys).orderBy("start0")
-    hits = segments.where(F.abs(value) > threshold)
+def call_regions(segments: DataFrame, threshold: float, min_bp: int, value: str = "value", keys: Sequence[str] = ("gene_id", "chrom"), eps: float = 1e-12, absolute: str | None = None) -> DataFrame:
+    """Runs of abutting segments whose absolute effect is above ``threshold``, of ``min_bp`` at least, with bp-weighted summaries; directions and fractions are the signed ``value``'s.
+
+    absolute: the column of the mean absolute effect, which isn't the absolute of the mean where repeats differ in sign; without it, the value's own.
+    """
+    order, size = W.partitionBy(*keys).orderBy("start0"), F.col(absolute) if absolute else F.abs(value)
+    hits = segments.where(size > threshold)
     runs = hits.withColumn("_new", F.when(F.lag("end0").over(order) == F.col("start0"), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     v, bp = F.col(value), F.col("end0") - F.col("start0")
     up, down = F.max(F.when(v > eps, 1).otherwise(0)), F.max(F.when(v < -eps, 1).otherwise(0))
@@ -123,8 +127,8 @@ def call_regions(segments: DataFrame, threshold: float, min_bp: int, value: str
         F.min("start0").alias("start0"),
         F.max("end0").alias("end0"),
         F.sum(bp).cast("long").alias("length_bp"),
-        (F.sum(F.abs(v) * bp) / F.sum(bp)).alias("mean_abs_effect"),
-        F.max(F.abs(v)).alias("max_abs_effect"),
+        (F.sum(size * bp) / F.sum(bp)).alias("mean_abs_effect"),
+        F.max(size).alias("max_abs_effect"),
         (F.sum(v * bp) / F.sum(bp)).alias("mean_signed_effect"),
         F.when((up == 1) & (down == 1), "mixed").when(up == 1, "increase").when(down == 1, "decrease").otherwise("zero").alias("direction"),
         (F.sum(F.when(v > eps, bp).otherwise(0)) / F.sum(bp)).alias("positive_bp_fraction"),

@@ -70,9 +70,10 @@ def scan(targets: DataFrame, factory: Callable[[], Scorer], width: int, stride:
 
 
 def finish(scores: DataFrame, size: int, threshold: float, min_bp: int) -> dict[str, DataFrame]:
-    """windows, segments, regions and tested space of a scan's scores; run again with other cutoffs without scoring anew."""
+    """windows, segments, regions and tested space of a scan's scores; run again with other cutoffs without scoring anew. Mean absolute effects are smoothed, projected and called beside the signed ones."""
     keys = ["gene_id", "chrom", "start0", "end0"]
     windows = effects.repeat_stats(scores, keys)
-    smoothed = intervals.smooth(windows, "mean_effect", size, ("gene_id", "chrom"))
-    segments = intervals.project(smoothed, "smoothed")
-    return {"windows": smoothed, "segments": segments, "regions": intervals.call_regions(segments, threshold, min_bp, "smoothed"), "tested": intervals.tested_space(smoothed, "mean_effect")}
+    smoothed = intervals.smooth(windows, "mean_effect", size, ("gene_id", "chrom"), beside=["mean_abs_effect"])
+    absolute = "smoothed_mean_abs_effect"
+    segments = intervals.project(smoothed, "smoothed", beside=[absolute])
+    return {"windows": smoothed, "segments": segments, "regions": intervals.call_regions(segments, threshold, min_bp, "smoothed", absolute=absolute), "tested": intervals.tested_space(smoothed, "mean_effect")}

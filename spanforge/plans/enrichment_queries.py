@@ -92,14 +92,8 @@ def _log2_by_perm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cov_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    """Differences of two tracks' log2 enrichment in a stratum, paired by permutation."""
-    values = _log2_by_perm(spark, d)
-    names = values.select("track").distinct()
-    pairs = names.select(F.col("track").alias("set_a")).join(names.select(F.col("track").alias("set_b")), F.expr("set_a < set_b"))
-    left = values.join(F.broadcast(pairs), F.col("track") == F.col("set_a")).drop("track")
-    right = values.join(F.broadcast(pairs), F.col("track") == F.col("set_b")).drop("track")
-    found = stats.paired_difference(left, right, ["stratum", "set_a", "set_b"], "value")
-    return _rounded(stats.bh(found, "p_two_sided", "q_two_sided", ["stratum"]))
+    """Differences of two tracks' covered fractions in a stratum, centred on the placements', which are paired by permutation; their log2 enrichments beside them."""
+    return _rounded(stats.coverage_pairs(counts(spark, d)))
 
 
 def stratum_contrasts(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +242,7 @@ _LOG2 = _COUNTS + ", mu AS (SELECT stratum, track, avg(cov_bp) AS m FROM counts
 
 def _paired(pair: str, keys: str, family: str) -> str:
     return f"""{pair}, c AS (SELECT {keys}, avg(d) AS mean FROM dd WHERE perm >= 0 GROUP BY {keys}), ob AS (SELECT {keys}, d AS delta FROM dd WHERE perm = -1),
-t AS (SELECT {keys}, delta, mean, count(*) AS n, count(*) FILTER (d - mean >= delta - mean) AS ge, count(*) FILTER (abs(d - mean) >= abs(delta - mean)) AS two FROM dd JOIN c USING ({keys}) JOIN ob USING ({keys}) WHERE perm >= 0 GROUP BY {keys}, delta, mean),
+t AS (SELECT {keys}, delta, mean, count(*) AS n, count(*) FILTER (d >= delta) AS ge, count(*) FILTER (d = delta OR abs(d - mean) >= abs(delta - mean)) AS two FROM dd JOIN c USING ({keys}) JOIN ob USING ({keys}) WHERE perm >= 0 GROUP BY {keys}, delta, mean),
 p AS (SELECT {keys}, delta, delta - mean AS delta_centred, (1.0 + ge) / (1 + n) AS p_a_greater, (1.0 + two) / (1 + n) AS p_two_sided FROM t), r AS (SELECT *, {_raw('p_two_sided', family)} FROM p)
 SELECT {keys}, round(delta, 6) AS delta, round(delta_centred, 6) AS delta_centred, round(p_a_greater, 6) AS p_a_greater, round(p_two_sided, 6) AS p_two_sided, round({_q('p_two_sided', family)}, 6) AS q_two_sided FROM r"""
 
@@ -289,7 +283,16 @@ SELECT stratum, track, total_bp, cov_bp, round(null_mean, 6) AS null_mean, round
 round(log2((cov_bp + 0.5) / (null_mean + 0.5)), 6) AS log2_enrichment, round({_q('p_enrich', 'stratum')}, 6) AS q_enrich, round({_q('p_deplete', 'stratum')}, 6) AS q_deplete FROM r""",
         *_VIEWS,
     ),
-    "cov_pairwise": oracle(_paired(_LOG2 + ", dd AS (SELECT a.stratum, a.track AS set_a, b.track AS set_b, a.perm, a.value - b.value AS d FROM v a JOIN v b ON a.stratum = b.stratum AND a.perm = b.perm AND a.track < b.track)", "stratum, set_a, set_b", "stratum"), *_VIEWS),
+    "cov_pairwise": oracle(
+        f"""{_COUNTS}, dd AS (SELECT a.stratum, a.track AS set_a, b.track AS set_b, a.perm, a.n_regions, a.total_bp, a.cov_bp AS ca, b.cov_bp AS cb, a.cov_bp - b.cov_bp AS d FROM counts a JOIN counts b ON a.stratum = b.stratum AND a.perm = b.perm AND a.track < b.track),
+mu AS (SELECT stratum, set_a, set_b, avg(ca) AS ma, avg(cb) AS mb, CAST(sum(d) AS BIGINT) AS s, count(*) AS n FROM dd WHERE perm >= 0 GROUP BY 1, 2, 3), ob AS (SELECT stratum, set_a, set_b, n_regions, total_bp, ca, cb, d AS delta FROM dd WHERE perm = -1),
+t AS (SELECT stratum, set_a, set_b, count(*) FILTER (d >= delta) AS ge, count(*) FILTER (abs(d * n - s) >= abs(delta * n - s)) AS two FROM dd JOIN mu USING (stratum, set_a, set_b) JOIN ob USING (stratum, set_a, set_b) WHERE perm >= 0 GROUP BY 1, 2, 3),
+p AS (SELECT *, (1.0 + ge) / (1 + n) AS p_a_greater, (1.0 + two) / (1 + n) AS p_two_sided, log2((ca + 0.5) / (ma + 0.5)) AS la, log2((cb + 0.5) / (mb + 0.5)) AS lb FROM t JOIN mu USING (stratum, set_a, set_b) JOIN ob USING (stratum, set_a, set_b)),
+r AS (SELECT *, {_raw('p_two_sided', 'stratum')} FROM p)
+SELECT stratum, set_a, set_b, n_regions, round(CAST(ca AS DOUBLE) / total_bp, 6) AS frac_a, round(CAST(cb AS DOUBLE) / total_bp, 6) AS frac_b, round(ma / total_bp, 6) AS null_mean_frac_a, round(mb / total_bp, 6) AS null_mean_frac_b, round(la, 6) AS log2_enrichment_a, round(lb, 6) AS log2_enrichment_b,
+round(la - lb, 6) AS delta_log2_enrichment, round((delta - CAST(s AS DOUBLE) / n) / total_bp, 6) AS diff_in_enrichment_frac, round(p_a_greater, 6) AS p_a_greater, round(p_two_sided, 6) AS p_two_sided, round({_q('p_two_sided', 'stratum')}, 6) AS q_two_sided FROM r""",
+        *_VIEWS,
+    ),
     "stratum_contrasts": oracle(
         _paired(
             _LOG2 + ", dd AS (SELECT split_part(a.stratum, '=', 1) AS factor, a.stratum AS stratum_a, b.stratum AS stratum_b, a.track, a.perm, a.value - b.value AS d FROM v a JOIN v b ON a.track = b.track AND a.perm = b.perm AND a.stratum < b.stratum AND split_part(a.stratum, '=', 1) = split_part(b.stratum, '=', 1))",
@@ -320,7 +323,7 @@ dr AS (SELECT rep, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{S
 t AS (SELECT rep, gene_id, count(*) AS times FROM dr JOIN ids USING (i) GROUP BY rep, gene_id), rr AS (SELECT track, rep, CAST(sum(cov_bp * {PERMS} * times) AS DOUBLE) / nullif(sum(null_bp * times), 0) AS r FROM g JOIN t USING (gene_id) GROUP BY track, rep),
 ci AS (SELECT track, count(r) AS ok, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, count(*) FILTER (r <= 1) AS le FROM rr GROUP BY track),
 po AS (SELECT track, CAST(sum(cov_bp * {PERMS}) AS DOUBLE) / nullif(sum(null_bp), 0) AS ratio, count(DISTINCT gene_id) AS n_entities FROM g GROUP BY track)
-SELECT track, round(ratio, 6) AS ratio, n_entities, round(CASE WHEN ok >= 20 THEN lo END, 6) AS ci_lo, round(CASE WHEN ok >= 20 THEN hi END, 6) AS ci_hi, round(CASE WHEN ok >= 20 THEN CAST(le AS DOUBLE) / ok END, 6) AS p_le1 FROM po LEFT JOIN ci USING (track)""",
+SELECT track, round(ratio, 6) AS ratio, n_entities, round(CASE WHEN ok >= 20 THEN lo END, 6) AS ci_lo, round(CASE WHEN ok >= 20 THEN hi END, 6) AS ci_hi, round(CASE WHEN ok >= 20 THEN CAST(1 + le AS DOUBLE) / (1 + ok) END, 6) AS p_le1 FROM po LEFT JOIN ci USING (track)""",
         *_VIEWS,
     ),
     "gene_level_enrichment": oracle(

@@ -75,7 +75,8 @@ def project_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_regions(spark: SparkSession, d: str) -> DataFrame:
-    found = I.call_regions(I.project(view(spark, d, "windows"), "value", GENE, WIDTH), 4000.0, 60_000, "value", GENE)
+    """Regions called on the mean absolute effect, whose windows' repeats may differ in sign."""
+    found = I.call_regions(I.project(view(spark, d, "windows"), "value", GENE, WIDTH, ["size"]), 6000.3, 60_000, "value", GENE, absolute="size")
     rounded = [F.round(c, 3).alias(c) for c in ("mean_abs_effect", "max_abs_effect", "mean_signed_effect", "positive_bp_fraction", "negative_bp_fraction")]
     return found.select("gene_id", "chrom", "start0", "end0", "length_bp", "direction", *rounded)
 
@@ -138,7 +139,7 @@ _COUNT = """n AS (SELECT region_id, t.track, count(*) AS n FROM regions r JOIN t
 grid AS (SELECT region_id, track FROM regions CROSS JOIN (SELECT DISTINCT track FROM tracks) t) """
 _SEGMENTS = """p AS (SELECT gene_id, chrom, start0 AS p FROM windows UNION SELECT gene_id, chrom, end0 FROM windows),
 s AS (SELECT gene_id, chrom, p AS start0, lead(p) OVER (PARTITION BY gene_id, chrom ORDER BY p) AS end0 FROM p),
-seg AS (SELECT s.gene_id, s.chrom, s.start0, s.end0, avg(value) AS value, count(*) AS n_windows FROM s JOIN windows w ON s.gene_id = w.gene_id AND s.chrom = w.chrom AND s.start0 < w.end0 AND w.start0 < s.end0 WHERE s.end0 IS NOT NULL
+seg AS (SELECT s.gene_id, s.chrom, s.start0, s.end0, avg(value) AS value, avg(size) AS size, count(*) AS n_windows FROM s JOIN windows w ON s.gene_id = w.gene_id AND s.chrom = w.chrom AND s.start0 < w.end0 AND w.start0 < s.end0 WHERE s.end0 IS NOT NULL
   GROUP BY s.gene_id, s.chrom, s.start0, s.end0 HAVING count(*) = count(value))"""
 ORACLE = {
     "merge_intervals": oracle(MERGED + " SELECT * FROM m", "tracks"),
@@ -171,10 +172,10 @@ SELECT gene_id, chrom, start0, round(CASE WHEN value IS NOT NULL THEN avg(value)
     "project_segments": oracle(_SEGMENTS + " SELECT gene_id, chrom, start0, end0, round(value, 4) AS value, n_windows FROM seg", "windows"),
     "call_regions": oracle(
         _SEGMENTS
-        + """, h AS (SELECT *, end0 - start0 AS bp, CASE WHEN lag(end0) OVER (PARTITION BY gene_id, chrom ORDER BY start0) = start0 THEN 0 ELSE 1 END AS n FROM seg WHERE abs(value) > 4000),
+        + """, h AS (SELECT *, end0 - start0 AS bp, CASE WHEN lag(end0) OVER (PARTITION BY gene_id, chrom ORDER BY start0) = start0 THEN 0 ELSE 1 END AS n FROM seg WHERE size > 6000.3),
 r AS (SELECT *, sum(n) OVER (PARTITION BY gene_id, chrom ORDER BY start0 ROWS UNBOUNDED PRECEDING) AS run FROM h)
 SELECT gene_id, chrom, min(start0) AS start0, max(end0) AS end0, CAST(sum(bp) AS BIGINT) AS length_bp, CASE WHEN max(value) > 1e-12 AND min(value) < -1e-12 THEN 'mixed' WHEN max(value) > 1e-12 THEN 'increase' WHEN min(value) < -1e-12 THEN 'decrease' ELSE 'zero' END AS direction,
-round(sum(abs(value) * bp) / sum(bp), 3) AS mean_abs_effect, round(max(abs(value)), 3) AS max_abs_effect, round(sum(value * bp) / sum(bp), 3) AS mean_signed_effect,
+round(sum(size * bp) / sum(bp), 3) AS mean_abs_effect, round(max(size), 3) AS max_abs_effect, round(sum(value * bp) / sum(bp), 3) AS mean_signed_effect,
 round(CAST(sum(CASE WHEN value > 1e-12 THEN bp ELSE 0 END) AS DOUBLE) / sum(bp), 3) AS positive_bp_fraction, round(CAST(sum(CASE WHEN value < -1e-12 THEN bp ELSE 0 END) AS DOUBLE) / sum(bp), 3) AS negative_bp_fraction
 FROM r GROUP BY gene_id, chrom, run HAVING sum(bp) >= 60000""",
         "windows",

@@ -270,7 +270,7 @@ ids AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS i FROM (SELE
 dr AS (SELECT rep, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{E.SEED}', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) * n) AS BIGINT) AS i FROM (SELECT unnest(range(0, {E.REPLICATES})) AS rep) a, (SELECT n, unnest(range(0, n)) AS slot FROM k) b),
 t AS (SELECT rep, gene_id, count(*) AS times FROM dr JOIN ids USING (i) GROUP BY rep, gene_id), rr AS (SELECT track, rep, sum(num * times) / nullif(sum(den * times), 0) AS r FROM g JOIN t USING (gene_id) GROUP BY track, rep),
 ci AS (SELECT track, count(r) AS ok, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, count(*) FILTER (r <= 1) AS le FROM rr GROUP BY track), po AS (SELECT track, sum(num) / nullif(sum(den), 0) AS ratio, count(DISTINCT gene_id) AS n_entities FROM g GROUP BY track)
-SELECT track, round(ratio, 4) AS ratio, n_entities, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN lo END, 4) AS ci_lo, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN hi END, 4) AS ci_hi, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN CAST(le AS DOUBLE) / ok END, 4) AS p_le1 FROM po LEFT JOIN ci USING (track)""",
+SELECT track, round(ratio, 4) AS ratio, n_entities, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN lo END, 4) AS ci_lo, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN hi END, 4) AS ci_hi, round(CASE WHEN ok >= 20 AND n_entities >= 5 THEN CAST(1 + le AS DOUBLE) / (1 + ok) END, 4) AS p_le1 FROM po LEFT JOIN ci USING (track)""",
         "regions",
         "tested",
         "tracks",

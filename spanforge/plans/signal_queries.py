@@ -42,23 +42,26 @@ def weighted_quantile(spark: SparkSession, d: str) -> DataFrame:
     return stats.weighted_quantile(view(spark, d, "tracks").withColumn("bp", F.col("end0") - F.col("start0")), ["track"], "value", "bp", 0.9)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _shuffles(spark: SparkSession, d: str) -> DataFrame:
+    """Scores as scrambles of two reshuffles of a mask; every eleventh window overlaps it, every thirteenth has no valid score."""
     s = view(spark, d, "scores")
     keys = [*CELL, "rep"]
-    return effects.epsilon(s.select(*keys, "delta"), s.select(*keys, F.col("masked").alias("delta")), keys)
+    pairs = effects.epsilon(s.select(*keys, "delta"), s.select(*keys, F.col("masked").alias("delta")), keys)
+    found = effects.epsilon_shuffles(pairs.withColumn("rep", F.col("rep") % 2), CELL, 5.0003)
+    return found.withColumns({"overlaps_mask": F.col("window_id") % 11 == 0, "valid": (F.col("window_id") * 7 + 1) % 13 != 0})
 
 
 def epistasis_epsilon(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(effects.epsilon_windows(_pairs(spark, d), list(CELL), 5.0))
+    return _rounded(effects.epsilon_windows(_shuffles(spark, d), CELL))
 
 
 def epistasis_region(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(effects.epsilon_regions(_pairs(spark, d), ["gene_id"]), 9)
+    return _rounded(effects.epsilon_regions(_shuffles(spark, d), ["gene_id"]), 9)
 
 
 def epistasis_nulls(spark: SparkSession, d: str) -> DataFrame:
     """Even windows as hits, odd ones as their nulls."""
-    each = effects.epsilon_windows(_pairs(spark, d), list(CELL), 5.0).select("gene_id", "window_id", "epsilon_mean")
+    each = effects.epsilon_windows(_shuffles(spark, d), CELL).select("gene_id", "window_id", "epsilon_mean")
     hits, nulls = (each.where(F.col("window_id") % 2 == r).withColumn("target", F.floor(F.col("window_id") / 2).cast("long")) for r in (0, 1))
     return _rounded(effects.against_nulls(hits, nulls, ["gene_id", "target"]))
 
@@ -176,7 +179,10 @@ QUERIES = {
 }
 
 _HIST = "h AS (SELECT track, CAST(least(floor(greatest(CAST(value AS DOUBLE) / {div}, 0) / {w}), {nb}) AS BIGINT) AS bin, CAST(sum(end0 - start0) AS BIGINT) AS bp FROM tracks GROUP BY 1, 2)"
-_EPS = "p AS (SELECT gene_id, window_id, rep, delta AS r, masked AS m, masked - delta AS e FROM scores), a AS (SELECT *, CASE WHEN sign(e) = sign(avg(e) OVER (PARTITION BY gene_id, window_id)) THEN 1.0 ELSE 0.0 END AS agree FROM p), win AS (SELECT gene_id, window_id, count(DISTINCT rep) AS n_reps, avg(r) AS delta_ref, avg(m) AS delta_masked, avg(e) AS epsilon_mean, stddev_samp(e) AS epsilon_sd, avg(agree) AS sign_consistency FROM a GROUP BY 1, 2)"
+_EPS = """sh AS (SELECT gene_id, window_id, rep % 2 AS rep, avg(delta) AS r, avg(masked) AS m, avg(masked - delta) AS e, avg(abs(masked)) > 5.0003 AND avg(abs(delta)) <= 5.0003 AS up, avg(abs(masked)) <= 5.0003 AND avg(abs(delta)) > 5.0003 AS down
+  FROM scores WHERE window_id % 11 <> 0 AND (window_id * 7 + 1) % 13 <> 0 GROUP BY 1, 2, 3),
+a AS (SELECT *, CASE WHEN sign(e) = sign(avg(e) OVER (PARTITION BY gene_id, window_id)) THEN 1.0 ELSE 0.0 END AS agree FROM sh),
+win AS (SELECT gene_id, window_id, count(DISTINCT rep) AS n_reps, avg(r) AS delta_ref, avg(m) AS delta_masked, avg(e) AS epsilon_mean, stddev_samp(e) AS epsilon_sd, avg(agree) AS sign_consistency, avg(CASE WHEN up THEN 1.0 ELSE 0.0 END) AS frac_reps_up, avg(CASE WHEN down THEN 1.0 ELSE 0.0 END) AS frac_reps_down FROM a GROUP BY 1, 2)"""
 ORACLE = {
     "window_repeat_stats": oracle(
         """c AS (SELECT gene_id, window_id, CASE WHEN rep = 4 THEN 0 ELSE changed_bp END AS bp, delta FROM scores), x AS (SELECT *, CASE WHEN bp > 0 THEN delta END AS v FROM c)
@@ -201,12 +207,14 @@ SELECT track, round(min(CASE WHEN upto >= n * 0.97 THEN bin * width END), 6) AS
     ),
     "weighted_quantile": oracle("s AS (SELECT track, value, sum(end0 - start0) AS w FROM tracks GROUP BY 1, 2), c AS (SELECT track, value, sum(w) OVER (PARTITION BY track ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY track) AS n FROM s) SELECT track, min(CASE WHEN upto >= n * 0.9 THEN value END) AS quantile FROM c GROUP BY track", "tracks"),
     "epistasis_epsilon": oracle(
-        _EPS + " SELECT gene_id, window_id, n_reps, round(delta_ref, 6) AS delta_ref, round(delta_masked, 6) AS delta_masked, round(epsilon_mean, 6) AS epsilon_mean, round(epsilon_sd, 6) AS epsilon_sd, round(sign_consistency, 6) AS sign_consistency, abs(delta_masked) > 5 AND abs(delta_ref) <= 5 AS crosses_up, abs(delta_masked) <= 5 AND abs(delta_ref) > 5 AS crosses_down FROM win",
+        _EPS + " SELECT gene_id, window_id, n_reps, round(delta_ref, 6) AS delta_ref, round(delta_masked, 6) AS delta_masked, round(epsilon_mean, 6) AS epsilon_mean, round(epsilon_sd, 6) AS epsilon_sd, round(sign_consistency, 6) AS sign_consistency, round(frac_reps_up, 6) AS frac_reps_up, round(frac_reps_down, 6) AS frac_reps_down FROM win",
         "scores",
     ),
     "epistasis_region": oracle(
-        """p AS (SELECT gene_id, rep, avg(masked - delta) AS e, avg(delta) AS r, avg(masked) AS m, count(*) AS w FROM scores GROUP BY 1, 2), a AS (SELECT *, CASE WHEN sign(e) = sign(avg(e) OVER (PARTITION BY gene_id)) THEN 1.0 ELSE 0.0 END AS agree FROM p)
-SELECT gene_id, max(w) AS n_windows, count(*) AS n_reps, round(avg(r), 9) AS delta_ref, round(avg(m), 9) AS delta_masked, round(avg(e), 9) AS epsilon_mean, round(stddev_samp(e), 9) AS epsilon_sd_reps, round(avg(agree), 9) AS sign_consistency FROM a GROUP BY gene_id""",
+        _EPS
+        + """, n AS (SELECT gene_id, count(DISTINCT window_id) AS n_windows FROM sh GROUP BY 1), e1 AS (SELECT gene_id, rep, avg(e) AS e, avg(r) AS r, avg(m) AS m FROM sh GROUP BY 1, 2),
+e2 AS (SELECT *, CASE WHEN sign(e) = sign(avg(e) OVER (PARTITION BY gene_id)) THEN 1.0 ELSE 0.0 END AS agree FROM e1)
+SELECT gene_id, any_value(n_windows) AS n_windows, count(*) AS n_reps, round(avg(r), 9) AS delta_ref, round(avg(m), 9) AS delta_masked, round(avg(e), 9) AS epsilon_mean, round(stddev_samp(e), 9) AS epsilon_sd_reps, round(avg(agree), 9) AS sign_consistency FROM e2 JOIN n USING (gene_id) GROUP BY gene_id""",
         "scores",
     ),
     "epistasis_nulls": oracle(

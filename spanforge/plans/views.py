@@ -24,8 +24,8 @@ VIEWS = {
     "tracks": """SELECT l_returnflag AS track, concat(l_returnflag, '_', l_linestatus) AS file, concat('chr', CAST(l_suppkey % 5 + 1 AS {S})) AS chrom, CAST({DAY} AS BIGINT) * 1000 + l_linenumber * 100 AS start0,
   CAST({DAY} AS BIGINT) * 1000 + l_linenumber * 100 + 100 + CAST(floor(l_quantity) AS BIGINT) * 10 AS end0, CAST(floor(l_quantity) AS BIGINT) AS value FROM lineitem""",
     "tss": "SELECT gene_id, chrom, (CAST(substr(gene_id, 2) AS BIGINT) * 7919) % 2592000 AS tss0, CASE WHEN CAST(substr(gene_id, 2) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM extent",
-    "windows": """SELECT gene_id, chrom, b * 50000 AS start0, b * 50000 + 100000 AS end0, CASE WHEN n > 1 OR s % 3 > 0 THEN CAST(s AS DOUBLE) / n - 15000 END AS value FROM
-  (SELECT gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT) AS b, sum(effect) AS s, count(*) AS n FROM regions GROUP BY gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT)) AS t""",
+    "windows": """SELECT gene_id, chrom, b * 50000 AS start0, b * 50000 + 100000 AS end0, CASE WHEN n > 1 OR s % 3 > 0 THEN CAST(s AS DOUBLE) / n - 15000 END AS value, CASE WHEN n > 1 OR s % 3 > 0 THEN CAST(a AS DOUBLE) / n END AS size FROM
+  (SELECT gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT) AS b, sum(effect) AS s, sum(abs(effect - 15000)) AS a, count(*) AS n FROM regions GROUP BY gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT)) AS t""",
     "scores": """SELECT gene_id, CAST(floor(start0 / 100000) AS BIGINT) AS window_id, event_id % 5 AS rep, CAST(min(effect) - 9000 AS DOUBLE) / 1000 AS delta, CAST(max(effect) AS DOUBLE) / 1000 AS masked, min(length) AS changed_bp
   FROM regions GROUP BY gene_id, CAST(floor(start0 / 100000) AS BIGINT), event_id % 5""",
     "canon": "SELECT DISTINCT track, chrom, start0, end0 FROM tracks",
