@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator, Sequence
 
@@ -26,13 +27,14 @@ def seed_of(*keys) -> Column:
     return F.conv(F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, 10)
 
 
-def masked_sequences(df: DataFrame, sequence: str, start: str, intervals: str, seed: int, pairs: bool = True) -> DataFrame:
-    """``df`` with its sequence overwritten: its intervals (an array of structs start0, end0) are clipped to the sequence, which begins at ``start``, and merged; each is scrambled once by a seed of its coordinates.
+def masked_sequences(df: DataFrame, sequence: str, start: str, intervals: str, seed: int, pairs: bool = True, name: str | None = None, rep: str | None = None) -> DataFrame:
+    """``df`` with its sequence overwritten: its intervals (an array of structs start0, end0) are clipped to the sequence, which begins at ``start``, and merged; each is scrambled once by a seed of ``name`` (a gene),
+    its coordinates and ``rep``, so that a mask can be drawn again and again and no scramble of a window is like it.
 
-    N inside an interval, or an interval that scrambling leaves as it is, is an error. Adds ``masked`` and ``masked_bp``.
+    A letter other than A, C, G and T inside an interval, or an interval that scrambling leaves as it is, is an error. Adds ``masked`` and ``masked_bp``.
     """
 
-    def one(text: str, begin: int, spans) -> tuple[str, int]:
+    def one(text: str, begin: int, spans, gene: str, k: str) -> tuple[str, int]:
         merged: list[list[int]] = []
         for a, b in sorted((max(0, x["start0"] - begin), min(len(text), x["end0"] - begin)) for x in spans if x is not None):
             if b <= a:
@@ -43,9 +45,10 @@ def masked_sequences(df: DataFrame, sequence: str, start: str, intervals: str, s
                 merged.append([a, b])
         for a, b in merged:
             old = text[a:b]
-            if "N" in old.upper():
-                raise ValueError(f"N between {begin + a} and {begin + b}")
-            rng = np.random.default_rng([seed, begin + a, begin + b])
+            if set(old) - set("ACGT"):
+                raise ValueError(f"letters other than A, C, G and T between {begin + a} and {begin + b}")
+            key = hashlib.sha256(f"{seed}|{gene}|{begin + a}|{begin + b}|mask{k}".encode()).digest()
+            rng = np.random.default_rng(int.from_bytes(key[:8], "little"))
             new = _euler_shuffle(old, rng) if pairs else "".join(np.array(list(old))[rng.permutation(len(old))])
             if new == old:
                 raise ValueError(f"scrambling changes nothing between {begin + a} and {begin + b}")
@@ -54,7 +57,8 @@ def masked_sequences(df: DataFrame, sequence: str, start: str, intervals: str, s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(None, None) if t is None else one(t, int(a), x if x is not None else ()) for t, a, x in zip(batch[sequence], batch[start], batch[intervals], strict=True)]
+            genes, reps = (batch[c].astype(str) if c else [""] * len(batch) for c in (name, rep))
+            found = [(None, None) if t is None else one(t, int(a), x if x is not None else (), g, k) for t, a, x, g, k in zip(batch[sequence], batch[start], batch[intervals], genes, reps, strict=True)]
             yield batch.assign(masked=[x[0] for x in found], masked_bp=pd.array([x[1] for x in found], "Int64"))
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("masked", T.StringType()), T.StructField("masked_bp", T.LongType())]))

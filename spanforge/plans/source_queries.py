@@ -75,7 +75,8 @@ def gtf_genes(spark: SparkSession, d: str) -> DataFrame:
     attributes = F.concat(F.lit('gene_id "'), F.col("gene_id"), F.lit('"; gene_name "'), F.upper("gene_id"), F.lit('"; transcript_id "'), F.col("region_id"), F.lit('"'), F.when(F.col("event_id") % 11 == 0, '; tag "MANE_Select"').when(F.col("event_id") % 7 == 0, '; tag "Ensembl_canonical"').otherwise(""), F.lit(";"))
     row = lambda kind: F.concat_ws("\t", "chrom", F.lit("x"), F.lit(kind), (F.col("start0") + 1).cast("string"), F.col("end0").cast("string"), F.lit("."), F.when(F.substring("gene_id", -1, 1).isin("1", "3", "5"), "-").otherwise("+"), F.lit("."), attributes)
     regions = view(spark, d, "regions")
-    path = _text(regions.select(F.explode(F.array(row("transcript"), row("exon"))).alias("value")), "gtf")
+    # the files' lines in an order that SQL knows: of region_id
+    path = _text(regions.select("region_id", F.explode(F.array(row("transcript"), row("exon"))).alias("value")).repartitionByRange(4, "region_id").sortWithinPartitions("region_id").select("value"), "gtf")
     best = readers.canonical_transcripts(readers.gtf(spark, path, "transcript"))
     exons = readers.exon_unions(readers.gtf(spark, path, "exon")).groupBy("gene_id").agg(F.sum(F.col("end0") - F.col("start0")).alias("exon_bp"), F.count("*").alias("n_exons"))
     return best.select("gene_id", "transcript_id", "tss0").join(exons, "gene_id").join(readers.gene_symbols(spark, path), "gene_id")
@@ -149,7 +150,7 @@ ORACLE = {
     "keyed_folders": oracle("SELECT annotation AS cell_type, count(*) AS n FROM regions WHERE annotation IN ('click', 'view', 'purchase') AND effect / CAST(50000 AS DOUBLE) < 0.05 GROUP BY annotation", "regions"),
     "gtf_genes": oracle(
         _UNION.format(k="gene_id, chrom", t="regions")
-        + """, c AS (SELECT gene_id, region_id AS transcript_id, CASE WHEN right(gene_id, 1) IN ('1', '3', '5') THEN end0 - 1 ELSE start0 END AS tss0, row_number() OVER (PARTITION BY gene_id ORDER BY CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 7 = 0 THEN 1 ELSE 2 END, region_id) AS rn FROM regions),
+        + """, c AS (SELECT gene_id, region_id AS transcript_id, CASE WHEN right(gene_id, 1) IN ('1', '3', '5') THEN end0 - 1 ELSE start0 END AS tss0, row_number() OVER (PARTITION BY gene_id ORDER BY CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END, region_id) AS rn FROM regions WHERE event_id % 11 = 0 OR event_id % 7 = 0),
 e AS (SELECT gene_id, CAST(sum(end0 - start0) AS BIGINT) AS exon_bp, count(*) AS n_exons FROM u GROUP BY gene_id) SELECT c.gene_id, transcript_id, tss0, exon_bp, n_exons, upper(c.gene_id) AS gene_name FROM c JOIN e USING (gene_id) WHERE rn = 1""",
         "regions",
     ),

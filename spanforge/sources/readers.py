@@ -95,18 +95,27 @@ def match_anchors(targets: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Da
     return good, n.where("n <> 1").select("gene_id", F.when(F.col("n") == 0, "missing_tss").otherwise("ambiguous_tss").alias("reason"))
 
 
-def placed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A file's lines (value) with ``position``, a number that grows in the order of the file however it is split: the split's first byte and the line's place in it."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    return rows.withColumn("position", F.col("_block") + F.col("_id") - F.min("_id").over(W.partitionBy("_block"))).drop("_block", "_id")  # a line has one byte at least, so splits don't run into each other
+def placed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines (value) of one file or many, with ``file`` and ``position``, which grows in the order of the files and their lines however they are split: a split is read in order by one task."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path if isinstance(path, str) else list(path)).select("value", F.col("_metadata.file_path").alias("file"), where.alias("position"))
+
+
+def headed(rows: DataFrame) -> tuple[str | None, DataFrame]:
+    """The header of placed_lines(), and the lines without each file's own; files with different headers are an error."""
+    first = rows.groupBy("file").agg(F.min("position").alias("_first"), F.min_by("value", "position").alias("_head"))
+    heads = [r[0] for r in first.select("_head").distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError("files with different headers")
+    return (heads[0] if heads else None), rows.join(first.select("file", "_first"), "file").where(F.col("position") != F.col("_first")).drop("_first")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A white-space table with a header line, all strings, missing cells empty."""
     rows = placed_lines(spark, path).where(F.trim("value") != "")
-    head = rows.orderBy("position").limit(1).collect()[0]
+    head, rest = headed(rows)
     parts = F.split(F.trim("value"), r"\s+")
-    return rows.where(F.col("position") != head.position).select(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(head.value.split())])
+    return rest.select(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate((head or "").split())])
 
 
 def annotation_sets(tracks: DataFrame, skip_role: str = "mask") -> DataFrame:
@@ -117,18 +126,24 @@ def annotation_sets(tracks: DataFrame, skip_role: str = "mask") -> DataFrame:
 
 
 def gtf(spark: SparkSession, path: str, feature: str | None = None) -> DataFrame:
-    """GTF rows, half-open: feature, chrom, start0, end0, strand, gene_id, gene_name, transcript_id, tags."""
-    rows = fields(lines(spark, path), ["chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"]).drop("path")
+    """GTF rows, half-open: feature, chrom, start0, end0, strand, gene_id, gene_name, transcript_id, tags, and position, their place in the file."""
+    names = ["chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes"]
+    parts = F.split("value", "\t")
+    rows = placed_lines(spark, path).where(~F.col("value").rlike(r"^(#|\s*$)")).select("position", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
     value = lambda k: F.nullif(F.regexp_extract("attributes", rf'{k} "([^"]*)"', 1), F.lit(""))
-    out = rows.select("feature", "chrom", (_long("start") - 1).alias("start0"), _long("end").alias("end0"), "strand", *[value(k).alias(k) for k in ("gene_id", "gene_name", "transcript_id")], F.regexp_extract_all("attributes", F.lit(r'tag "([^"]*)"'), 1).alias("tags"))
+    out = rows.select("feature", "chrom", (_long("start") - 1).alias("start0"), _long("end").alias("end0"), "strand", *[value(k).alias(k) for k in ("gene_id", "gene_name", "transcript_id")], F.regexp_extract_all("attributes", F.lit(r'tag "([^"]*)"'), 1).alias("tags"), "position")
     return out.where(F.col("feature") == feature) if feature else out
 
 
 def canonical_transcripts(transcripts: DataFrame) -> DataFrame:
-    """One transcript for each gene, MANE_Select before Ensembl_canonical before the rest; genes on chrM or PAR_Y are left out. The anchor is the strand's first base."""
-    rank = F.when(F.array_contains("tags", "MANE_Select"), 0).when(F.array_contains("tags", "Ensembl_canonical"), 1).otherwise(2)
-    kept = transcripts.where(~F.col("chrom").isin("chrM", "MT") & ~F.col("gene_id").endswith("_PAR_Y"))
-    best = kept.groupBy("gene_id").agg(F.min_by(F.struct("chrom", "start0", "end0", "strand", "transcript_id"), F.struct(rank, "transcript_id")).alias("t")).select("gene_id", "t.*")
+    """One transcript for each gene (its id without version): the first in the file that is tagged MANE_Select, else the first tagged Ensembl_canonical.
+
+    Genes without either tag, on chrM or of PAR_Y are left out. The anchor is the strand's first base.
+    """
+    rank = F.when(F.array_contains("tags", "MANE_Select"), 0).when(F.array_contains("tags", "Ensembl_canonical"), 1)
+    kept = transcripts.where(rank.isNotNull() & ~F.col("chrom").isin("chrM", "MT") & ~F.col("gene_id").endswith("_PAR_Y"))
+    bare = F.regexp_extract("gene_id", r"^[^.]*", 0).alias("gene_id")
+    best = kept.groupBy(bare).agg(F.min_by(F.struct("chrom", "start0", "end0", "strand", "transcript_id"), F.struct(rank, "position")).alias("t")).select("gene_id", "t.*")
     return best.withColumn("tss0", F.when(F.col("strand") == "-", F.col("end0") - 1).otherwise(F.col("start0")))
 
 
@@ -221,12 +236,10 @@ def fetch(intervals: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataF
 def gene_list(spark: SparkSession, path: str, column: str = "gene_id", pattern: str | None = None) -> DataFrame:
     """Gene ids of a list with or without a header, first occurrences, in order (``position``); ids that don't match the pattern are an error."""
     rows = placed_lines(spark, path).where(~F.col("value").rlike(r"^\s*(#|$)"))
-    head = rows.orderBy("position").limit(1).collect()  # the header, if there is one
-    names = head[0].value.strip().split("\t") if head else []
+    head, rest = headed(rows)  # the header, if there is one
+    names = (head or "").strip().split("\t")
     at = names.index(column) if column in names else 0
-    ids = rows.select(F.trim(F.get(F.split("value", "\t"), F.lit(at))).alias("gene_id"), "position")
-    if column in names:
-        ids = ids.where(F.col("position") != head[0].position)
+    ids = (rest if column in names else rows).select(F.trim(F.get(F.split("value", "\t"), F.lit(at))).alias("gene_id"), "position")
     if pattern and not ids.where(~F.col("gene_id").rlike(pattern)).isEmpty():
         raise ValueError("an id doesn't match the pattern")
     return ids.groupBy("gene_id").agg(F.min("position").alias("position"))
@@ -247,10 +260,10 @@ def canonical_in(transcripts: DataFrame, chrom: str, start: int, end: int) -> Da
 def first_by_gene(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """The first row of each gene_id of a table with a header, in the order of the file."""
     rows = placed_lines(spark, path)
-    head = rows.orderBy("position").limit(1).collect()[0]
-    names = [x.strip() for x in head.value.split(sep)]
+    head, rest = headed(rows)
+    names = [x.strip() for x in (head or "").split(sep)]
     parts = F.split("value", sep)
-    each = rows.where(F.col("position") != head.position).select("position", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    each = rest.select("position", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
     return each.groupBy("gene_id").agg(F.min_by(F.struct(*[n for n in names if n != "gene_id"]), "position").alias("_r")).select("gene_id", "_r.*")
 
 
@@ -262,8 +275,8 @@ def keyed_files(spark: SparkSession, pattern: str, key: str, regex: str) -> Data
 def motif_results(spark: SparkSession, path: str) -> DataFrame:
     """Known-motif results: motif, consensus, log_p, q, percentages, and the totals that stand in the header."""
     placed = placed_lines(spark, path)
-    first = placed.orderBy("position").limit(1).collect()[0]  # the header
-    head = first.value.split("\t")
+    head, rows = headed(placed)
+    head = (head or "").split("\t")
 
     def find(prefix: str) -> int:
         return next(i for i, h in enumerate(head) if h.startswith(prefix))
@@ -273,7 +286,6 @@ def motif_results(spark: SparkSession, path: str) -> DataFrame:
     totals = {n: int(m[1]) if (m := re.search(r"of (\d+)", head[find(p)])) else None for n, p in (("n_target", "# of Target Sequences with"), ("n_background", "# of Background Sequences with"))}
     parts = F.split("value", "\t")
     number = lambda p: F.rtrim(F.get(parts, F.lit(find(p))), F.lit("%")).try_cast("double")
-    rows = placed.where(F.col("position") != first.position)
     return rows.select(F.get(parts, F.lit(find("Motif Name"))).alias("motif"), F.get(parts, F.lit(find("Consensus"))).alias("consensus"), number("Log P-value").alias("log_p"), number("q-value").alias("q"), number("% of Target").alias("pct_target"), number("% of Background").alias("pct_background"), *[F.lit(v).alias(n) for n, v in totals.items()])
 
 

@@ -64,8 +64,11 @@ def test_masks_scramble_their_intervals_only(spark):
     new = got[1].masked
     assert got[1].masked_bp == 30 + 60 and new[30:100] == text[30:100] and new[:30] != text[:30] and Counter(new[:30]) == Counter(text[:30])
     assert got[2].masked == text and got[2].masked_bp == 0 and got[3].masked is None
-    for bad in ("AAAAAAAA", "ACGNACGT"):
-        with pytest.raises(Exception, match="scrambling changes nothing|N between"):
+    reps = spark.createDataFrame([(i, text, 0, [(0, 60)], g, k) for i, (g, k) in enumerate([("a", 0), ("a", 1), ("b", 0), ("a", 0)])], kind + ", gene string, rep int")
+    drawn = {r.id: r.masked for r in sampling.masked_sequences(reps, "sequence", "start0", "spans", 5, name="gene", rep="rep").collect()}
+    assert drawn[0] == drawn[3] and len({drawn[0], drawn[1], drawn[2]}) == 3
+    for bad in ("AAAAAAAA", "ACGNACGT", "ACGRACGT"):
+        with pytest.raises(Exception, match="scrambling changes nothing|letters other than"):
             sampling.masked_sequences(spark.createDataFrame([(1, bad, 0, [(0, 8)])], kind), "sequence", "start0", "spans", 5).collect()
 
 

@@ -53,6 +53,10 @@ def test_gtf(spark, tmp_path):
     p = write(tmp_path / "g.gtf", '#x\nchr1\ts\ttranscript\t11\t20\t.\t-\t.\tgene_id "G1"; transcript_id "T1"; tag "basic";\nchr1\ts\ttranscript\t5\t30\t.\t-\t.\tgene_id "G1"; transcript_id "T2"; tag "basic"; tag "MANE_Select";\nchrM\ts\ttranscript\t5\t30\t.\t-\t.\tgene_id "G2"; transcript_id "T3";\nchr1\ts\texon\t10\t12\t.\t-\t.\tgene_id "G1";\nchr1\ts\texon\t13\t15\t.\t-\t.\tgene_id "G1";\nchr1\ts\texon\t20\t21\t.\t-\t.\tgene_id "G1";\n')
     best = readers.canonical_transcripts(readers.gtf(spark, p, "transcript")).collect()
     assert [(r.gene_id, r.transcript_id, r.tss0) for r in best] == [("G1", "T2", 29)]
+    p = write(tmp_path / "h.gtf", "".join(f'chr1\ts\ttranscript\t{s}\t90\t.\t+\t.\tgene_id "{g}"; transcript_id "{t}"; tag "{tag}";\n' for g, s, t, tag in [("G1.4", 30, "T9", "Ensembl_canonical"), ("G1.4", 20, "T1", "Ensembl_canonical"), ("G2.1", 5, "T2", "basic"), ("G3.1", 7, "T3", "Ensembl_canonical"), ("G3.1", 8, "T4", "MANE_Select"), ("G4_PAR_Y", 8, "T5", "MANE_Select")]))
+    best = readers.canonical_transcripts(readers.gtf(spark, p, "transcript")).collect()
+    assert sorted((r.gene_id, r.transcript_id, r.tss0) for r in best) == [("G1", "T9", 29), ("G3", "T4", 7)]  # the first in the file; no tag, no gene
+    p = str(tmp_path / "g.gtf")
     assert rows(readers.exon_unions(readers.gtf(spark, p, "exon")).select("start0", "end0")) == [(19, 21), (9, 15)]
 
 
@@ -127,3 +131,14 @@ def test_rolling_stream(spark, tmp_path):
     q = progress.rolling(stream, ["event_type"], "1 day").writeStream.format("memory").queryName("rolled").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("rolled").select("start", "event_type", "n")) == want
+
+
+def test_many_small_files_keep_their_order_and_lose_their_headers(spark, tmp_path):
+    for i in range(5):
+        write(tmp_path / f"part{i}.txt", "name path role\n" + "".join(f"n{i}_{j} p call\n" for j in range(4)))
+    got = readers.placed_lines(spark, f"{tmp_path}/part*.txt").orderBy("position").collect()
+    assert [r.value for r in got] == [v for i in range(5) for v in ("name path role", *(f"n{i}_{j} p call" for j in range(4)))]
+    assert {r.name for r in readers.manifest(spark, f"{tmp_path}/part*.txt").collect()} == {f"n{i}_{j}" for i in range(5) for j in range(4)}
+    write(tmp_path / "part9.txt", "other header\nx y\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.manifest(spark, f"{tmp_path}/part*.txt")
