@@ -1,15 +1,17 @@
 """The driver's tables seen as interval relations.
 
 Each view is one SELECT in a dialect that ``spark_sql`` and ``duck_sql`` spell for either engine: {S} is the string type, {SEC}
-seconds since the first event, {DAY} days since the first shipping date.
+seconds since the first event, {DAY} days since the first shipping date, {BASES} a supplier's items as a sequence.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SPARK = {"{S}": "STRING", "{SEC}": "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)", "{DAY}": "datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01')"}
-_DUCK = {"{S}": "VARCHAR", "{SEC}": "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts)", "{DAY}": "date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))"}
+_SPARK = {"{S}": "STRING", "{SEC}": "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)", "{DAY}": "datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01')",
+    "{BASES}": "array_join(transform(array_sort(collect_list(struct(l_orderkey, l_linenumber, substr('ACGT', CAST(l_partkey % 4 AS INT) + 1, 1) AS b))), x -> x.b), '')"}
+_DUCK = {"{S}": "VARCHAR", "{SEC}": "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts)", "{DAY}": "date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))",
+    "{BASES}": "string_agg(substr('ACGT', CAST(l_partkey % 4 AS INTEGER) + 1, 1), '' ORDER BY l_orderkey, l_linenumber, l_partkey % 4)"}
 
 VIEWS = {
     "all_regions": """SELECT concat('g', CAST(user_id AS {S})) AS gene_id, concat('chr', CAST(user_id % 5 + 1 AS {S})) AS chrom, CAST({SEC} AS BIGINT) AS start0,
@@ -28,10 +30,11 @@ VIEWS = {
   (SELECT gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT) AS b, sum(effect) AS s, sum(abs(effect - 15000)) AS a, count(*) AS n FROM regions GROUP BY gene_id, chrom, CAST(floor(start0 / 50000) AS BIGINT)) AS t""",
     "scores": """SELECT gene_id, CAST(floor(start0 / 100000) AS BIGINT) AS window_id, event_id % 5 AS rep, CAST(min(effect) - 9000 AS DOUBLE) / 1000 AS delta, CAST(max(effect) AS DOUBLE) / 1000 AS masked, min(length) AS changed_bp
   FROM regions GROUP BY gene_id, CAST(floor(start0 / 100000) AS BIGINT), event_id % 5""",
+    "genome": "SELECT concat('s', CAST(l_suppkey AS {S})) AS gene_id, concat('chr', CAST(l_suppkey % 5 + 1 AS {S})) AS chrom, CAST(l_suppkey AS BIGINT) * 1000 AS start0, {BASES} AS sequence FROM lineitem GROUP BY l_suppkey",
     "canon": "SELECT DISTINCT track, chrom, start0, end0 FROM tracks",
 }
 NEEDS = {"regions": ["all_regions"], "extent": ["regions"], "tested": ["extent"], "tss": ["extent"], "windows": ["regions"], "scores": ["regions"], "canon": ["tracks"]}
-TABLES = {"all_regions": "events", "tracks": "lineitem"}
+TABLES = {"all_regions": "events", "tracks": "lineitem", "genome": "lineitem"}
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:
