@@ -1,9 +1,10 @@
 """Phrase collocation mining by direct-address tiling.
 
 Words that occur ``LEAST`` times and more (no other can be in a candidate) are numbered by falling frequency, for each language. A pair of neighbours is a cell (i, j) of a matrix, cut into
-tiles of ``TILE`` x ``TILE`` cells: frequent words make few, dense tiles, the others many sparse ones. A task counts the pairs of its texts tile by tile, dense tiles by NumPy's bincount over
-all cells, sparse ones as sorted coordinates with counts, and only these sums are shuffled, by tile. There they are added as they stream past, again dense or as coordinates, so that a tile holds
-TILE * TILE counts at most, however many tasks send to it. Frequent pairs are then numbered by frequency themselves, and (pair, next word) is counted in the same way: phrases of three words, or by
+tiles: the first row and column of tiles are ``TILE`` numbers wide, each further one as wide as all before it, so that the number of tiles grows with the logarithm of the vocabulary and the frequent
+words' tile is dense. A task counts the pairs of its texts tile by tile, dense ones by NumPy's bincount over all cells, sparse ones as sorted coordinates with counts, and only these sums are
+shuffled, by tile. There they are added as they stream past, again dense or as coordinates, however many tasks send to a tile. Sparse tiles of a corpus of more than ``SPLIT`` words are split by a hash of
+the cell into so many parts that each fits a task. Frequent pairs are then numbered by frequency themselves, and (pair, next word) is counted in the same way: phrases of three words, or by
 further rounds of more.
 
 The words' and pairs' numbers are broadcast where a count shows that there are at most ``WORDS`` and ``PAIRS`` of them (and ``BYTES`` of words). Beyond that, words are numbered by a join of each document's words, and
@@ -26,7 +27,7 @@ from spanforge.llm.common import cut, table
 
 LEAST, TOP, WORDS, BYTES, PAIRS = 10, 2000, 1_500_000, 40_000_000, 6_000_000
 BITS = 10  # of a tile's side
-TILE, CELLS, HELD, PIECE = 1 << BITS, 1 << 2 * BITS, 3_000_000, 4 << 20
+TILE, CELLS, HELD, PIECE, SPLIT = 1 << BITS, 1 << 2 * BITS, 3_000_000, 4 << 20, 1 << 27
 _TO = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -120,24 +121,32 @@ def _joined(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return held.select("lang", F.transform("found", lambda x: x["id"]).alias("ids"))
 
 
-def counted(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row of tiles, column of tiles, cells, counts) of the pairs: dense tiles by bincount, the others as sorted coordinates."""
-    tile = (i >> BITS) << 32 | j >> BITS
-    cell = (i & (TILE - 1)) << BITS | j & (TILE - 1)
-    by = np.argsort(tile, kind="stable")
-    tile, cell = tile[by], cell[by].astype(np.int32)
-    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
-    for a, b in zip(first.tolist(), np.append(first[1:], len(tile)).tolist(), strict=True):
-        if b - a > CELLS // 16:
-            n = np.bincount(cell[a:b], minlength=CELLS)
-            cells = np.flatnonzero(n).astype(np.int32)
-            n = n[cells]
+def bands(i: np.ndarray) -> np.ndarray:
+    """The row (or column) of tiles of each number: 0 below TILE, then one more each time the number doubles."""
+    return np.frexp((i >> BITS).astype(np.float64))[1].astype(np.int64)
+
+
+def counted(i: np.ndarray, j: np.ndarray, parts: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile, part of it, rows, columns, counts) of the pairs: a dense tile by bincount, the others as sorted coordinates."""
+    if not len(i):
+        return
+    tile = bands(i) << 6 | bands(j)
+    part = ((i * 0x9E3779B1 ^ j * 0x85EBCA6B) >> 7) % parts * (tile > 0)
+    key = tile * parts + part
+    by = np.argsort(key, kind="stable")
+    key, cell = key[by], (i << 32 | j)[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    for a, b in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+        if key[a] < parts and b - a > CELLS // 16:
+            n = np.bincount(cell[a:b] >> (32 - BITS) | cell[a:b] & (TILE - 1), minlength=CELLS)
+            at = np.flatnonzero(n)
+            yield 0, 0, at >> BITS, at & (TILE - 1), n[at]
         else:
             cells, n = np.unique(cell[a:b], return_counts=True)
-        yield int(tile[a] >> 32), int(tile[a] & 0xFFFFFFFF), cells, n
+            yield int(key[a]) // parts, int(key[a]) % parts, cells >> 32, cells & 0xFFFFFFFF, n
 
 
-TILES = "lang string, ti int, tj int, cells array<int>, counts array<int>"
+TILES = "lang string, tile int, part int, i array<int>, j array<int>, counts array<int>"
 #: The cells (i, j) of one language's numbers, as they stand in texts parted by -1.
 Cells = Callable[[str, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -165,16 +174,17 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarra
         yield lang, np.concatenate(parts)
 
 
-def tile_counts(texts: DataFrame, cells: Cells, least: int) -> DataFrame:
-    """(lang, i, j, n) of all cells that occur ``least`` times and more."""
+def tile_counts(texts: DataFrame, cells: Cells, least: int, words: int = 0) -> DataFrame:
+    """(lang, i, j, n) of all cells that occur ``least`` times and more; words: about how many words the texts have."""
+    parts = max(1, -(-words // SPLIT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids in texts_of(batches):
             rows: list[tuple] = []
             size = 0
-            for found in counted(*cells(lang, ids)):
+            for found in counted(*cells(lang, ids), parts):
                 rows.append(found)
-                size += len(found[2])
+                size += len(found[4])
                 if size > 200_000:
                     yield _rows(lang, rows)
                     rows, size = [], 0
@@ -185,59 +195,61 @@ def tile_counts(texts: DataFrame, cells: Cells, least: int) -> DataFrame:
         now: tuple | None = None
         dense: np.ndarray | None = None
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size, limit = 0, CELLS // 8
 
-        def finished() -> pa.RecordBatch:
+        def finished() -> Iterator[pa.RecordBatch]:
             if dense is not None:
                 at = np.flatnonzero(dense >= least)
-                n = dense[at]
+                at, n = at >> BITS << 32 | at & (TILE - 1), dense[at]
             else:
                 at, n = _summed(held)
                 at, n = at[n >= least], n[n >= least]
-            lang, ti, tj = now
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array((ti << BITS) + (at >> BITS), pa.int32()), pa.array((tj << BITS) + (at & (TILE - 1)), pa.int32()), pa.array(n, pa.int64())], names=["lang", "i", "j", "n"])
+            for a in range(0, len(at), 100_000):
+                some = at[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(some), pa.string()), pa.array(some >> 32, pa.int32()), pa.array(some & 0xFFFFFFFF, pa.int32()), pa.array(n[a : a + 100_000], pa.int64())], names=["lang", "i", "j", "n"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("lang", "ti", "tj")), strict=True)
-            cells_, counts = batch.column("cells"), batch.column("counts")
-            ends = np.asarray(cells_.offsets) - cells_.offsets[0].as_py()
-            flat, n = cells_.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.int64)
+            keys = zip(*(batch.column(c).to_pylist() for c in ("lang", "tile", "part")), strict=True)
+            ends = np.asarray(batch.column("i").offsets) - batch.column("i").offsets[0].as_py()
+            flat = batch.column("i").flatten().to_numpy().astype(np.int64) << 32 | batch.column("j").flatten().to_numpy()
+            n = batch.column("counts").flatten().to_numpy().astype(np.int64)
             for k, key in enumerate(keys):
                 if key != now:
                     if now is not None:
-                        yield finished()
-                    now, dense, held, size = key, None, [], 0
+                        yield from finished()
+                    now, dense, held, size, limit = key, None, [], 0, CELLS // 8
                 a, b = ends[k], ends[k + 1]
                 if dense is not None:
-                    dense[flat[a:b]] += n[a:b]  # a row's cells are distinct
+                    dense[flat[a:b] >> (32 - BITS) | flat[a:b] & (TILE - 1)] += n[a:b]  # a row's cells are distinct
                     continue
                 held.append((flat[a:b], n[a:b]))
                 size += int(b - a)
-                if size > CELLS // 8:
+                if size > limit:
                     at, sums = _summed(held)
                     held, size = [(at, sums)], len(at)
-                    if size > CELLS // 16:
+                    limit = max(CELLS // 8, 2 * size)
+                    if key[1] == 0 and size > CELLS // 16:
                         dense = np.zeros(CELLS, np.int64)
-                        dense[at] = sums
+                        dense[at >> (32 - BITS) | at & (TILE - 1)] = sums
         if now is not None:
-            yield finished()
+            yield from finished()
 
     rows = texts.mapInArrow(count, TILES)
-    return rows.repartition("lang", "ti", "tj").sortWithinPartitions("lang", "ti", "tj").mapInArrow(add, "lang string, i int, j int, n bigint")
+    return rows.repartition("lang", "tile", "part").sortWithinPartitions("lang", "tile", "part").mapInArrow(add, "lang string, i int, j int, n bigint")
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     at, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-    return at.astype(np.int64), np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+    return at, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
 
 def _rows(lang: str, rows: list[tuple]) -> pa.RecordBatch:
-    ends = pa.array(np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32))
-    lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32))) for k in (2, 3))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), *(pa.array([r[k] for r in rows], pa.int32()) for k in (0, 1)), *lists], names=["lang", "ti", "tj", "cells", "counts"])
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32))) for k in (2, 3, 4))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), *(pa.array([r[k] for r in rows], pa.int32()) for k in (0, 1)), *lists], names=["lang", "tile", "part", "i", "j", "counts"])
 
 
-def triples(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+def triples(texts: DataFrame, pairs: DataFrame, least: int, words: int = 0) -> DataFrame:
     """(lang, i, j, k, n) of three words in a row; pairs: (lang, i, j, n, pid), the frequent ones by rank."""
     if pairs.count() > PAIRS:
         return _joined_triples(texts, pairs, least)
@@ -260,7 +272,7 @@ def triples(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
         both = (of[:-1] >= 0) & (of[1:] >= 0)
         return of[:-1][both], ids[2:][both]
 
-    again = tile_counts(texts, cells, least).select("lang", F.col("i").alias("pid"), F.col("j").alias("k"), F.col("n").alias("a"))
+    again = tile_counts(texts, cells, least, words).select("lang", F.col("i").alias("pid"), F.col("j").alias("k"), F.col("n").alias("a"))
     return again.join(pairs.select("lang", "pid", "i", "j"), ["lang", "pid"]).select("lang", "i", "j", "k", F.col("a").alias("n"))
 
 
@@ -294,11 +306,12 @@ def _score(a: str, left: str, right: str) -> Column:
 def phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """All candidates that no longer candidate holds at least half as often: lang, phrase, a, l, r, n, score."""
     counts = cut(word_counts(docs), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = cut(counts.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     vocabulary = cut(numbered(counts.where(F.col("n") >= least), ["word"], "id"), "vocabulary")
     texts = cut(encoded(docs, vocabulary), "numbers")
-    pairs = cut(numbered(cut(tile_counts(texts, neighbours, least), "pairs"), ["i", "j"], "pid"), "ranked-pairs")
-    threes = cut(triples(texts, pairs, least), "triples")
+    pairs = cut(numbered(cut(tile_counts(texts, neighbours, least, words), "pairs"), ["i", "j"], "pid"), "ranked-pairs")
+    threes = cut(triples(texts, pairs, least, words), "triples")
     word = lambda c, n=None: vocabulary.select("lang", F.col("id").alias(c), F.col("word").cast("string").alias(f"w{c}"), F.col("n").alias(n or f"n{c}"))
     two = pairs.select("lang", "i", "j", F.col("n").alias("a")).join(word("i"), ["lang", "i"]).join(word("j"), ["lang", "j"])
     longest = threes.select("lang", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("k").alias("j")))).alias("p"), "n").groupBy("lang", "p.i", "p.j").agg(F.max("n").alias("longer"))

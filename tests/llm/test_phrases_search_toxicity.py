@@ -65,17 +65,22 @@ def test_collocations_of_nothing(spark):
     assert collocations.top(collocations.phrases(empty(spark))).count() == 0
 
 
-def test_tiles_add_up(spark, monkeypatch):
+@pytest.mark.parametrize("split", [1 << 27, 100_000])
+def test_tiles_add_up(spark, monkeypatch, split):
+    """Dense and sparse tiles, whole or in parts, against a plain count."""
     rng = np.random.default_rng(2)
-    i, j = rng.integers(0, 3000, 40_000) ** 2 // 3000, rng.integers(0, 3000, 40_000) ** 2 // 3000
+    i, j = rng.integers(0, 3000, 300_000) ** 3 // 9_000_000, rng.integers(0, 3000, 300_000) ** 3 // 9_000_000
     want = Counter(zip(i.tolist(), j.tolist(), strict=True))
-    texts = spark.createDataFrame([("en", [int(a), int(b), -1]) for a, b in zip(i, j, strict=True)], "lang string, ids array<int>").repartition(4)
-    monkeypatch.setattr(collocations, "HELD", 9_000)
+    ids = np.stack([i, j, np.full(len(i), -1)], 1).reshape(-1, 3000)
+    texts = spark.createDataFrame([("en", x.tolist()) for x in ids], "lang string, ids array<int>").repartition(4)
+    monkeypatch.setattr(collocations, "HELD", 200_000)
+    monkeypatch.setattr(collocations, "SPLIT", split)
     for least in (3, 1):
-        got = {(r["i"], r["j"]): r["n"] for r in collocations.tile_counts(texts, collocations.neighbours, least).collect()}
-        assert got == {k: n for k, n in want.items() if n >= least}
+        got = [((r["i"], r["j"]), r["n"]) for r in collocations.tile_counts(texts, collocations.neighbours, least, 400_000).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == {k: n for k, n in want.items() if n >= least}
     dense = list(collocations.counted(np.repeat([1, 2, 3], 40_000), np.repeat([5, 5, 6], 40_000)))
-    assert [(t[:2], t[2].tolist(), t[3].tolist()) for t in dense] == [((0, 0), [1 << 10 | 5, 2 << 10 | 5, 3 << 10 | 6], [40_000] * 3)]
+    assert [(t[:2], *(x.tolist() for x in t[2:])) for t in dense] == [((0, 0), [1, 2, 3], [5, 5, 6], [40_000] * 3)]
+    assert collocations.bands(np.array([0, 1023, 1024, 2047, 2048, 4096, 1 << 30])).tolist() == [0, 0, 1, 1, 2, 3, 21]
 
 
 def test_scores_beyond_64_bits(spark):
