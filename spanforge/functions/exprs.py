@@ -91,3 +91,32 @@ def masked_unless(columns: list[str], status: str, value: str = "tested") -> lis
 def n_present(*columns: str) -> Column:
     """How many of the columns aren't null."""
     return sum((F.col(c).isNotNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNotNull().cast("int"))
+
+
+def path_key(path: str) -> Column:
+    """A file's path as a key that doesn't depend on its spelling: outer blanks, repeated and trailing slashes, ``.`` and ``name/..`` go."""
+    text = F.trim(path)
+    rooted = F.startswith(text, F.lit("/"))
+    parts = F.filter(F.split(text, "/"), lambda p: ~p.isin("", "."))
+    # from left to right, a name goes with the .. after it; nothing is above the root
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, p: F.when((p == "..") & (F.size(out) > 0) & ~F.coalesce(F.try_element_at(out, F.lit(-1)) == "..", F.lit(False)), F.slice(out, 1, F.greatest(F.lit(0), F.size(out) - 1))).when((p == "..") & rooted, out).otherwise(F.concat(out, F.array(p))),
+    )
+    joined = F.array_join(kept, "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).otherwise(F.when(joined == "", ".").otherwise(joined))
+
+
+def ruler_step(span: Column, target: int = 8) -> Column:
+    """The smallest of 1, 2, 5 times a power of ten that makes ``target`` intervals of a span at most."""
+    raw = span / F.lit(float(target))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return F.when(raw <= power, power).when(raw <= 2 * power, 2 * power).when(raw <= 5 * power, 5 * power).otherwise(10 * power).cast("long")
+
+
+def ruler_ticks(start: str, end: str, target: int = 8) -> Column:
+    """The multiples of the span's ruler_step() from start to end, both included; for spans of at least ``target`` bases."""
+    step = ruler_step(F.col(end) - F.col(start), target)
+    first = (F.ceil(F.col(start) / step) * step).cast("long")
+    return F.when(F.col(end) >= first, F.sequence(first, F.col(end), step)).otherwise(F.array().cast("array<bigint>"))

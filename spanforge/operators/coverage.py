@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 STEP = 1 << 11
 LEAST, MOST = -(1 << 62), 1 << 62
@@ -56,3 +56,40 @@ def covered(intervals: DataFrame, steps: DataFrame, by: str, keys: Sequence[str]
 def bounds(steps: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """(keys, lo, hi) of steps."""
     return steps.select(*keys, "lo", "hi").distinct()
+
+
+def areas(steps: DataFrame, by: str, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+    """coverage_steps() with ``area``: the sum of the coverage function over all positions below each piece's s."""
+    keys = list(keys)
+    span = F.when(F.col("past") == MOST, 0).otherwise(F.col("past") - F.col("s"))
+    rows = steps.withColumn("_inc", F.when(span > 0, _below(F.col("past"))).otherwise(F.lit(0)).cast("long"))
+    bins = rows.groupBy(*keys, by, "bin").agg(F.sum("_inc").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*keys, by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over one row for each bin
+    within = W.partitionBy(*keys, by, "bin").orderBy("s", "past").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(bins.select(*keys, by, "bin", before.alias("_before")), [*keys, by, "bin"])
+    return rows.withColumn("area", (F.col("_before") + F.coalesce(F.sum("_inc").over(within), F.lit(0))).cast("long")).drop("_inc", "_before")
+
+
+def _below(p: Column) -> Column:
+    """The sum of a piece's coverage over its positions from s to before ``p``; none below s."""
+    n = F.greatest(F.lit(0).cast("long"), p - F.col("s"))
+    ramp = F.least(n, F.col("e") - F.col("s") + 1)
+    return F.col("upto") * n + F.floor(ramp * (ramp - 1) / 2).cast("long") + (n - ramp) * (F.col("e") - F.col("s"))
+
+
+def expected(held: DataFrame, steps: DataFrame, by: str, id_: str = "region_id", keys: Sequence[str] = ("chrom",), step: int = STEP) -> DataFrame:
+    """(id, by, expected_bp): the mean covered bp of each interval over all starts at which it fits its blocks, exactly and without a draw.
+
+    held: rows of sampling.fitting_blocks(): id, keys, start0, end0, total, blocks. steps: areas(). The mean is a sum over starts of a difference of the coverage function, so four lookups of its
+    own running sum for each block give it, whatever the number of starts and of blocks in between. Intervals without any have no row.
+    """
+    keys = list(keys)
+    length = F.col("end0") - F.col("start0")
+    rows = held.join(bounds(steps, keys), keys).select(id_, *keys, "lo", "hi", "total", length.alias("_l"), F.explode("blocks").alias("_b"))
+    bs, cnt = F.col("_b.bs"), F.col("_b.cnt")
+    points = F.array(*[F.struct(F.lit(sign).alias("sign"), p.alias("p")) for sign, p in ((1, bs + cnt + F.col("_l")), (-1, bs + F.col("_l")), (-1, bs + cnt), (1, bs))])
+    spots = rows.select(id_, *keys, "lo", "hi", "total", F.explode(points).alias("_p")).select(id_, *keys, "total", "_p.*", F.greatest("lo", F.least("hi", F.floor(F.col("_p.p") / F.lit(step)).cast("long"))).alias("bin"))
+    met = spots.join(steps.drop("lo", "hi"), [*keys, "bin"]).where("first <= p AND p < past")
+    value = F.col("sign") * (F.col("area") + _below(F.col("p")))
+    found = met.groupBy(id_, by, "total").agg(F.sum(value.cast("decimal(38,0)")).alias("_s"))
+    return found.where("_s > 0").select(id_, by, (F.col("_s").cast("double") / F.col("total")).alias("expected_bp"))

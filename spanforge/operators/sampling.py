@@ -211,3 +211,22 @@ def matched_nulls(
     if out is None:
         out = hits.select(*keys, "region_id", F.lit(0).alias("rep"), "start0", "end0").limit(0)
     return out.select(*keys, F.col("region_id").alias("hit_id"), "rep", "start0", "end0")
+
+
+def available(tested: DataFrame, regions: DataFrame, keys: Sequence[str] = ("gene_id", "chrom"), exclude_perturbed: bool = False, width: int = BIN) -> DataFrame:
+    """The blocks in which placements may lie: merged tested space, less the keys' own regions where these are excluded."""
+    from spanforge.operators.intervals import subtract
+
+    blocks = merge(tested, keys, width)
+    return subtract(blocks, regions.select(*keys, "start0", "end0"), keys, width) if exclude_perturbed else blocks
+
+
+def context_sample(df: DataFrame, n: int, seed: int, order: Sequence[str]) -> DataFrame:
+    """``n`` rows of all (every row, where there are no more), those with the smallest hashes of ``order``: the same ones however the table is split. A top-n, which tasks cut before they send."""
+    return df.withColumn("_u", uniform(seed, *[F.col(c) for c in order])).orderBy("_u", *order).limit(n).drop("_u")
+
+
+def row_sample(df: DataFrame, most: int, seed: int, order: Sequence[str]) -> DataFrame:
+    """About ``most`` rows of a larger table, each kept by its own hash, and every row of a smaller one: nothing is sorted or gathered."""
+    rows = df.count()
+    return df if rows <= most else df.where(uniform(seed, *[F.col(c) for c in order]) < most / rows)
