@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from spanforge.operators import coverage, intervals as I, sampling, stats
+from spanforge.operators import coverage, intervals as I, permutation, sampling, stats
 from spanforge.plans.interval_queries import GENE, MERGED, WIDTH
 from spanforge.plans.views import oracle, view
 from spanforge.sources.shared import written
@@ -29,7 +29,11 @@ def _multiplied(held: DataFrame, first: int) -> DataFrame:
 
 
 def null_placements(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.placed(_multiplied(fitting(spark, d), 0), SEED).select("region_id", "perm", "start0", "end0")
+    return permutation.placement_rows(fitting(spark, d), PERMS, SEED)
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return written(I.merge(view(spark, d, "tracks"), ("track", "chrom"), WIDTH), "blocks")
 
 
 def _track_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +47,8 @@ def covered(held: DataFrame, steps: DataFrame, first: int = -1) -> DataFrame:
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
     """(stratum, track, perm) with n_regions, total_bp, n_overlap and cov_bp; combinations without hits are zeros. A table of results, written once."""
-    held, steps = fitting(spark, d), _track_steps(spark, d)
-    leaves = covered(held, steps).groupBy(*STRATA, "track", "perm").agg(F.count("*").alias("n"), F.sum("bp").alias("b"))
+    held = fitting(spark, d)
+    leaves = permutation.totals(held, _blocks(spark, d), "track", STRATA, PERMS, SEED)
     found = stats.with_strata(leaves, STRATA).groupBy("stratum", "track", "perm").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     totals = stats.with_strata(held, STRATA).groupBy("stratum").agg(F.count("*").alias("n_regions"), F.sum("length").alias("total_bp"))
     names = view(spark, d, "tracks").select("track").distinct()
@@ -118,10 +122,12 @@ def set_pairwise_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _joint(spark: SparkSession, d: str, exact: bool) -> DataFrame:
     held, steps = fitting(spark, d), _track_steps(spark, d)
-    rows = covered(held, steps).groupBy("region_id", "perm").agg(F.array_sort(F.collect_list("track")).alias("tracks"))  # a region's placements are in one task already
-    pair = lambda x, i: F.transform(F.slice("tracks", i + 2, F.size("tracks")), lambda y: F.struct(x.alias("set_a"), y.alias("set_b")))
-    pairs = rows.select("perm", F.explode(F.flatten(F.transform("tracks", pair))).alias("_p")).select("perm", "_p.*")
-    joint = pairs.groupBy("set_a", "set_b", "perm").agg(F.count("*").alias("n_both"))
+    joint = permutation.joint_totals(held, _blocks(spark, d), "track", PERMS, SEED)
+    if joint is None:
+        rows = covered(held, steps).groupBy("region_id", "perm").agg(F.array_sort(F.collect_list("track")).alias("tracks"))  # a region's placements are in one task already
+        pair = lambda x, i: F.transform(F.slice("tracks", i + 2, F.size("tracks")), lambda y: F.struct(x.alias("set_a"), y.alias("set_b")))
+        pairs = rows.select("perm", F.explode(F.flatten(F.transform("tracks", pair))).alias("_p")).select("perm", "_p.*")
+        joint = pairs.groupBy("set_a", "set_b", "perm").agg(F.count("*").alias("n_both"))
     names = view(spark, d, "tracks").select("track").distinct()
     grid = names.toDF("set_a").join(names.toDF("set_b"), F.expr("set_a < set_b")).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))  # the rows of the result
     joint = written(grid.join(joint, ["set_a", "set_b", "perm"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0))), "joint")
@@ -139,16 +145,13 @@ def _joint(spark: SparkSession, d: str, exact: bool) -> DataFrame:
 
 def region_concordance_q(spark: SparkSession, d: str) -> DataFrame:
     """Per region and track: covered bp, its mean under the null, empirical p, q over all regions of a track."""
-    held, steps = fitting(spark, d), _track_steps(spark, d)
-    observed = coverage.covered(held.join(coverage.bounds(steps), "chrom"), steps, "track").select("region_id", "track", F.col("bp").alias("cov_bp"))
+    held = fitting(spark, d)
+    scored = permutation.by_region(held, _blocks(spark, d), "track", PERMS, SEED)
     names = view(spark, d, "tracks").select("track").distinct()
-    each = written(held.select("region_id").crossJoin(names).join(observed, ["region_id", "track"], "left").withColumn("cov_bp", F.coalesce("cov_bp", F.lit(0))), "observed")  # the rows of the result
-    seen = each.groupBy("region_id").agg(F.map_from_entries(F.collect_list(F.struct("track", "cov_bp"))).alias("seen"))  # goes along with the region
-    null = covered(held.join(seen, "region_id"), steps, 0).withColumn("ge", F.col("bp") >= F.col("seen")[F.col("track")])
-    null = null.groupBy("region_id", "track").agg(F.sum("bp").alias("s"), F.count_if("ge").alias("ge"))
-    # permutations without coverage are zeros, and reach the observed value only where that is zero
-    found = each.join(null, ["region_id", "track"], "left").select(
-        "region_id", "track", "cov_bp", (F.coalesce("s", F.lit(0)) / F.lit(float(PERMS))).alias("exp_cov_bp"), F.when(F.col("cov_bp") == 0, F.lit(1.0)).otherwise((1 + F.coalesce("ge", F.lit(0))) / F.lit(1.0 + PERMS)).alias("p_cov")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    # a track that never covers a region is reached by every placement
+    found = held.select("region_id").crossJoin(names).join(scored, ["region_id", "track"], "left").select(  # the rows of the result
+        "region_id", "track", zero("cov_bp").alias("cov_bp"), (zero("null_bp") / F.lit(float(PERMS))).alias("exp_cov_bp"), ((1 + F.coalesce("n_ge", F.lit(PERMS))) / F.lit(1.0 + PERMS)).alias("p_cov")
     )
     return _rounded(bh_by_counts(written(found, "concordance"), "p_cov", "q_cov", ["track"]))
 
@@ -176,8 +179,8 @@ def _whole():
 
 def _gene_counts(spark: SparkSession, d: str) -> DataFrame:
     """(gene_id, track, cov_bp, null_bp): covered bp observed, and the null's sum over permutations; a row for each gene and track, written once."""
-    bp = covered(fitting(spark, d), _track_steps(spark, d))
-    return written(bp.groupBy("gene_id", "track").agg(F.sum(F.when(F.col("perm") < 0, F.col("bp")).otherwise(0)).alias("cov_bp"), F.sum(F.when(F.col("perm") >= 0, F.col("bp")).otherwise(0)).alias("null_bp")), "genes")
+    each = permutation.by_region(fitting(spark, d), _blocks(spark, d), "track", PERMS, SEED, ["gene_id"])
+    return written(each.groupBy("gene_id", "track").agg(F.sum("cov_bp").alias("cov_bp"), F.sum("null_bp").alias("null_bp")), "genes")
 
 
 def gene_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanforge.operators import anchors, effects, intervals as I, knockouts, reports, sampling, stats
+from spanforge.operators import anchors, effects, intervals as I, knockouts, permutation, reports, sampling, stats
 from spanforge.plans import enrichment_queries as E
 from spanforge.plans.interval_queries import GENE, MERGED, WIDTH
 from spanforge.plans.views import oracle, view
@@ -152,8 +152,7 @@ def edge_classes(spark: SparkSession, d: str) -> DataFrame:
 def _gene_shares(spark: SparkSession, d: str) -> DataFrame:
     """(gene_id, track, num, den): regions' covered shares, observed and the mean of the null, summed by gene."""
     held = E.fitting(spark, d)
-    bp = E.covered(held, E._track_steps(spark, d)).withColumn("share", F.col("bp") / F.col("length"))
-    each = bp.groupBy("gene_id", "track", "region_id").agg(F.sum(F.when(F.col("perm") < 0, F.col("bp")).otherwise(0)).alias("o"), F.sum(F.when(F.col("perm") >= 0, F.col("bp")).otherwise(0)).alias("n"), F.first("length").alias("length"))
+    each = permutation.by_region(held, E._blocks(spark, d), "track", E.PERMS, E.SEED, ["gene_id", "length"]).withColumnsRenamed({"cov_bp": "o", "null_bp": "n"})
     return written(each.groupBy("gene_id", "track").agg(F.sum(F.round(F.col("o") / F.col("length"), 9).cast("decimal(38,9)")).cast("double").alias("num"), F.sum(F.round(F.col("n") / F.col("length") / E.PERMS, 9).cast("decimal(38,9)")).cast("double").alias("den")), "shares")
 
 
