@@ -4,8 +4,8 @@ Bytes are embedded, learned filters of ``2 * STRIDE`` bytes slide over the text,
 that overlap by half and cover the whole document. The pooled chunks are combined by their mean and their maximum into one
 probability.
 
-The network learns from ``TRAIN_ROWS`` labelled documents at most (half of each class, those with the smallest hashes of
-doc_id, of longer texts a stretch of ``TRAIN_CHARS`` characters), never from rows whose crc32(doc_id as text) mod 3 is 1. The classes' true proportions are restored in the
+The network learns from ``TRAIN_ROWS`` labelled ids at most (half of each class, those with the smallest hashes of
+doc_id; twice as many texts at most, where ids repeat), whole texts, never from rows whose crc32(doc_id as text) mod 3 is 1. The classes' true proportions are restored in the
 bias. Only the text enters a score. Null texts count as empty; an empty text is one chunk of padding. Repeated rows each get their score; an empty table gives an empty result. Other
 input columns pass through; one named _score is replaced. Without labels of both classes every score is the share of label 1 (0.5 without any).
 """
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spanforge.llm.common import flat, sampled, slices, table
 
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 3000, 20_000, 8
+TRAIN_ROWS, EPOCHS = 3000, 8
 DIM, STRIDE, FILTERS, HALF = 8, 4, 32, 256
 PAD, POSITIONS = 256, HALF // STRIDE
+STEP = 2048  # half chunks whose responses are held at a time
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,32 +59,30 @@ class Network:
         np.maximum(found, 0, out=found)
         return found.reshape(-1, POSITIONS, FILTERS)
 
-    def pool(self, found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maxima of half chunks, with those at a row's end masked, and of chunks: each half with the next of its row."""
-        found[first[1:] - 1, -1] = 0  # its filter would reach into the next row
-        halves = found.max(1)
+    def _part(self, numbers: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The responses of half chunks a to b; those at a row's end that would reach into the next row are 0."""
+        found = self.responses(numbers[a * HALF : b * HALF]) if b == len(ends) else self._ahead(numbers, a, b)
+        found[ends[a:b], -1] = 0
+        return found
+
+    def _chunks(self, halves: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Maxima of chunks: each half with the next of its row."""
         chunks = halves.copy()
         np.maximum(chunks[:-1], halves[1:], out=chunks[:-1])
-        chunks[first[1:] - 1] = halves[first[1:] - 1]
-        return halves, chunks
+        chunks[ends] = halves[ends]
+        return chunks
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
         numbers, first = padded(data, offsets)
         rows = np.diff(first)
-        step = 2048  # half chunks at a time
         halves = np.empty((int(first[-1]), FILTERS), np.float32)
         ends = np.zeros(int(first[-1]), bool)
         ends[first[1:] - 1] = True
-        for a in range(0, len(halves), step):
-            b = min(a + step, len(halves))
-            found = self.responses(numbers[a * HALF : b * HALF]) if b == len(halves) else self._ahead(numbers, a, b)
-            found[ends[a:b], -1] = 0
-            halves[a:b] = found.max(1)
-        chunks = halves.copy()
-        np.maximum(chunks[:-1], halves[1:], out=chunks[:-1])
-        chunks[ends] = halves[ends]
+        for a in range(0, len(halves), STEP):
+            halves[a : a + STEP] = self._part(numbers, ends, a, min(a + STEP, len(halves))).max(1)
+        chunks = self._chunks(halves, ends)
         means = np.add.reduceat(chunks, first[:-1], axis=0) / rows[:, None]
         peaks = np.maximum.reduceat(chunks, first[:-1], axis=0)
         return np.concatenate([means, peaks], 1).astype(np.float64) @ self.w["out"] + self.w["shift"][0] + self.prior
@@ -99,13 +98,15 @@ class Network:
     def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         numbers, first = padded(np.concatenate(texts) if texts else np.zeros(0, np.uint8), offsets)
-        found = self.responses(numbers)
-        halves, chunks = self.pool(found, first)
-        where = found.argmax(1)  # position of each half's maximum
-        n, rows = len(halves), np.diff(first)
-        row = np.repeat(np.arange(len(texts)), rows)
+        n, rows = int(first[-1]), np.diff(first)
         ends = np.zeros(n, bool)
         ends[first[1:] - 1] = True
+        halves, where = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64)
+        for a in range(0, n, STEP):  # responses of a part at a time; of each half chunk the maximum and its position stay
+            found = self._part(numbers, ends, a, min(a + STEP, n))
+            halves[a : a + STEP], where[a : a + STEP] = found.max(1), found.argmax(1)
+        chunks = self._chunks(halves, ends)
+        row = np.repeat(np.arange(len(texts)), rows)
         later = np.zeros_like(halves, bool)  # the chunk's maximum is in the next half
         later[:-1] = (halves[1:] > halves[:-1]) & ~ends[:-1, None]
         means = np.add.reduceat(chunks, first[:-1], axis=0) / rows[:, None]
@@ -123,16 +124,15 @@ class Network:
         d_half[1:] += np.where(later, d_chunk, 0)[:-1]
         d_half[halves <= 0] = 0
         g["bias"] = d_half.sum(0)
-        blocks = self.w["embed"][numbers].reshape(-1, STRIDE * DIM)
         g["filters"], g["embed"] = np.zeros_like(self.w["filters"]), np.zeros_like(self.w["embed"])
         at = np.arange(n)[:, None] * POSITIONS + where
         letters = numbers.reshape(-1, STRIDE)
         for side in (0, 1):
-            inside = np.minimum(at + side, len(blocks) - 1)
+            inside = np.minimum(at + side, len(letters) - 1)
             for f in range(FILTERS):
                 d = d_half[:, f]
                 live = np.flatnonzero(d)
-                x = blocks[inside[live, f]]
+                x = self.w["embed"][letters[inside[live, f]]].reshape(-1, STRIDE * DIM)
                 g["filters"][side, :, f] = x.T @ d[live]
                 back = d[live, None] * self.w["filters"][side, :, f][None]
                 np.add.at(g["embed"], letters[inside[live, f]].ravel(), back.reshape(-1, DIM))
@@ -162,7 +162,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
     """The network learned from ``rows`` labelled documents at most."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("_label"))
     share = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -176,10 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     some = [sampled(known.where(F.col("_label") == k), "doc_id", rows // 2, 3).orderBy("_h", "doc_id").limit(rows // 2).drop("_h") for k in (0, 1)]
     sample = some[0].unionByName(some[1])  # ``rows`` rows at most, so it may be broadcast
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    # of a longer text a stretch of that many characters, from a place that its hash tells
-    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
-    excerpt = F.when(F.length("text") > chars, F.substring("text", begin, F.lit(chars))).otherwise(F.col("text"))
-    held = held.select("doc_id", excerpt.alias("text"), "_label").distinct()
+    held = held.select("doc_id", "text", "_label").distinct()
     found = held.withColumn("_h", F.xxhash64("doc_id", "text")).orderBy("_h", "doc_id", "text").limit(2 * rows).drop("_h").collect()  # repeated ids: 2 * ``rows`` at most, the same each time
     found.sort(key=lambda r: (r.doc_id, r.text))
     texts = [np.frombuffer(r.text.encode(), np.uint8) for r in found]

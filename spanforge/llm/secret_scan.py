@@ -10,7 +10,7 @@ Decoding is exact and cheap: where a token's score as outside leads by more than
 is outside in the best path, whatever its neighbours are. Such tokens part the chain into short runs, and Viterbi runs
 over those, many at a time.
 
-The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of doc_id, of long texts a stretch of ``TRAIN_CHARS`` characters, half of them with
+The weights are learned from ``TRAIN_ROWS`` documents at most (those with the smallest hashes of doc_id, whole texts, of their runs of tokens ``TRAIN_RUNS`` at most, half of them with
 secret-like names), labelled by the base patterns, and from lines of public secret formats that are generated here. Every document is
 scanned whole. Null texts are empty; an empty text has no spans; an empty table gives an empty result; repeated rows each give a row. Other input columns pass through; one named
 _found or _masked is replaced.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from spanforge.llm.common import flat, sampled, slices, table
 from spanforge.llm.kernels import word_spans
 
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 800, 20_000, 60
+TRAIN_ROWS, TRAIN_RUNS, EPOCHS = 800, 20_000, 60
 SLICE = 1 << 19  # bytes of text whose features a task holds at a time; a longer text is taken alone
 
 # The base patterns in the order in which kinds are listed.
@@ -229,20 +230,25 @@ def _runs(texts: list[str], spans: list[list[tuple[int, int]]], around: int = 12
         if not len(starts):
             continue
         tag = np.full(len(starts), 2)
-        heads = []
+        heads, at = [], byte_offsets(data)
         for a, b in marked:
-            a, b = len(text[:a].encode()), len(text[:b].encode())
-            inside = np.flatnonzero((starts < b) & (ends > a))
-            tag[inside] = 1
-            tag[inside[:1]] = 0
-            heads += inside[:1].tolist()
+            i, j = np.searchsorted(ends, at[a], side="right"), np.searchsorted(starts, at[b])  # the tokens that the span touches
+            if i < j:
+                tag[i:j] = 1
+                tag[i] = 0
+                heads.append(int(i))
         marks = [max(0, h - around) for h in heads] + [(len(text) * 7919) % max(1, len(starts) - 2 * around)]
         digits = np.flatnonzero((feats[:, 1] % 10 >= 4) & (tag == 2))[:2]
         for a in [*marks, *(max(0, int(d) - around) for d in digits)]:
-            out.append((feats[a : a + 2 * around], tag[a : a + 2 * around]))
+            out.append((feats[a : a + 2 * around].copy(), tag[a : a + 2 * around].copy()))
     return out
 
 
+def byte_offsets(data: np.ndarray) -> np.ndarray:
+    """Where each code point of UTF-8 bytes begins, and their end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
 def formats(n: int = 300, seed: int = 5) -> tuple[list[str], list[list[tuple[int, int]]]]:
     """Lines with secrets in public formats, and lines with numbers, addresses and ids that are none."""
     rng = random.Random(seed)
@@ -265,11 +271,9 @@ def formats(n: int = 300, seed: int = 5) -> tuple[list[str], list[list[tuple[int
     return texts, spans
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
-    """The field learned from a bounded sample of ``docs`` (``rows`` texts, of long ones ``chars`` characters)."""
-    # of a longer text a stretch of that many characters, from a place that its hash tells
-    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
-    some = docs.select("doc_id", F.when(F.length("text") > chars, F.substring("text", begin, F.lit(chars))).otherwise(F.col("text")).alias("text")).where("text IS NOT NULL")
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_RUNS) -> Field:
+    """The field learned from a bounded sample of ``docs``: ``rows`` whole texts, and of the runs of tokens in them ``most`` at most, spread evenly over all."""
+    some = docs.select("doc_id", "text").where("text IS NOT NULL")
     named = F.col("text").rlike("(?i)passw|secret|token|api_?key|AKIA[A-Z0-9]{14}")
     halves = [sampled(some, "doc_id", rows // 2, spare).where(kind).orderBy("_h", "text").limit(rows // 2) for kind, spare in ((named, 100), (F.lit(True), 2))]
     sample = halves[0].unionByName(halves[1]).collect()  # ``rows`` texts at most
@@ -285,7 +289,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
                 found.append((a, b))
         spans.append(found)
     more, marked = formats()
-    return learn(_runs(texts + more, spans + marked))
+    found = _runs(texts, spans)
+    found = [found[i] for i in np.unique(np.linspace(0, len(found) - 1, min(most, len(found))).astype(int))] if found else found
+    return learn(found + _runs(more, marked))
 
 
 # --- the scan -------------------------------------------------------------------------------------------------------
@@ -309,11 +315,11 @@ def scan_texts(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
         text = texts[r].as_py() or ""
         spans = base_spans(text, raw)
         if r in added:
-            base = sorted((x, y) for x, y, _ in spans)
-            for a, b in added[r]:
-                a = len(raw[:a].decode())
-                b = len(raw[:b].decode())
-                if _beyond(text, a, b, base):
+            base = _union(spans)
+            ends_ = [y for _, y in base]
+            at = byte_offsets(data[offsets[r] : offsets[r + 1]])  # one table and two sorted lists: linear in the text and its spans
+            for a, b in zip(*(np.searchsorted(at, [x[i] for x in added[r]]).tolist() for i in (0, 1)), strict=True):
+                if _beyond(text, a, b, base, bisect_right(ends_, a)):
                     spans.append((a, b, 3))
         out.append(sorted(spans, key=lambda s: (s[0], s[2], s[1])))
     return out
@@ -322,9 +328,20 @@ def scan_texts(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]
 _PART = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 
 
-def _beyond(text: str, a: int, b: int, base: list[tuple[int, int]]) -> bool:
-    """Whether letters or digits of text[a:b] lie outside of the (sorted) base spans."""
-    for x, y in base:
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _beyond(text: str, a: int, b: int, base: list[tuple[int, int]], first: int = 0) -> bool:
+    """Whether letters or digits of text[a:b] lie outside of the base spans, which are sorted and disjoint; those before ``first`` end before it."""
+    for i in range(first, len(base)):
+        x, y = base[i]
         if x >= b:
             break
         if x > a and _PART.search(text, a, x):

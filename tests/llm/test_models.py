@@ -124,10 +124,10 @@ def test_a_long_text_is_learned_from_and_scored(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, words(rng, 4000 if i % 2 else 50)) for i in range(40)] + [(41, "good text " * 400_000)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
-    net = quality_cnn.train(docs, labels, chars=3000)
+    net = quality_cnn.train(docs, labels)
     found = {r.doc_id: r._score for r in quality_cnn.score(docs, net).collect()}
     assert len(found) == 41 and all(0 <= x <= 1 for x in found.values())
-    again = quality_cnn.train(docs.repartition(7), labels, chars=3000)
+    again = quality_cnn.train(docs.repartition(7), labels)
     assert all(np.array_equal(net.w[k], again.w[k]) for k in net.w)
 
 

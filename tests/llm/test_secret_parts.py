@@ -36,3 +36,23 @@ def test_whole_secrets_are_masked(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string").coalesce(1)
     got = {r.doc_id: r._masked for r in secret_scan.scan(docs, Marked(), "[S]").collect()}
     assert [got[i] for i in range(6)] == ["use [S] here", "id [S] here", 'password="[S]"', "use [S] here", "only [S]. here", 'password="[S]"']
+
+
+def test_many_spans_of_one_text_take_linear_time(spark):
+    """Spans by one table of offsets: twice the text takes about twice the time, and the spans are those of its parts."""
+    import time
+
+    import pyarrow as pa
+
+    from spanforge.llm import secret_scan
+
+    field = secret_scan.train(spark.createDataFrame([(1, "plain words, é and 😀 only")], "doc_id bigint, text string"))
+    line = "é the key ghp_A8dk2KslQ9zmXW3pTr7YbNc5VuE1oIhGfJ4t and deadbeefdeadbeefdead in it 😀\n"
+    one = secret_scan.scan_texts(pa.array([line]), field)[0]
+    took = []
+    for n in (2_000, 4_000):
+        began = time.time()
+        found = secret_scan.scan_texts(pa.array([line * n]), field)[0]
+        took.append(time.time() - began)
+        assert found == [(a + i * len(line), b + i * len(line), k) for i in range(n) for a, b, k in one]
+    assert len(one) >= 2 and took[1] < 3.5 * took[0] + 1
