@@ -22,7 +22,7 @@ def toggled_chrom(chrom: str) -> Column:
 
 def primary_contig(chrom: str) -> Column:
     """1 to 22, X, Y or MT for a primary contig in any spelling, else null."""
-    bare = F.upper(F.regexp_replace(chrom, "(?i)^chr", ""))
+    bare = F.regexp_replace(F.upper(F.regexp_replace(chrom, "(?i)^chr", "")), r"^0+(?=[0-9]+$)", "")
     return F.when(bare.rlike(r"^([1-9]|1[0-9]|2[0-2]|X|Y)$"), bare).when(bare.isin("M", "MT"), "MT")
 
 

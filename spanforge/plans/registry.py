@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.plans import chain, dose_queries, enrichment_queries, epistasis_queries, interval_queries, report_queries, signal_queries, source_queries
+from spanforge.plans import chain, dose_queries, enrichment_queries, epistasis_queries, interval_queries, match_queries, report_queries, signal_queries, source_queries
 
-MODULES = (interval_queries, enrichment_queries, dose_queries, signal_queries, epistasis_queries, report_queries, source_queries, chain)
+MODULES = (interval_queries, enrichment_queries, dose_queries, signal_queries, epistasis_queries, match_queries, report_queries, source_queries, chain)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
