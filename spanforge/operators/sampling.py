@@ -167,36 +167,82 @@ def json_seed(*keys) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[F.substring(x, F.lit(2), F.length(x) - 2) for x in one]), F.lit("]")), 256)
 
 
+def base_index(chunks: DataFrame, on: Sequence[str] = ("chrom",)) -> DataFrame:
+    """(on, chunk, sequence) with gc_before and bad_before: how many G and C, and letters other than A, C, G and T, lie before each chunk.
+
+    Counts are summed over runs of 1024 chunks first, so no window runs over a whole chromosome.
+    """
+    on = list(on)
+    n = lambda keep: F.length(F.regexp_replace(F.upper("sequence"), keep, ""))
+    rows = chunks.withColumns({"_gc": n("[^GC]"), "_bad": n("[ACGT]"), "_run": F.floor(F.col("chunk") / 1024)})
+    runs = rows.groupBy(*on, "_run").agg(F.sum("_gc").alias("_g"), F.sum("_bad").alias("_b"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    outer, inner = W.partitionBy(*on).orderBy("_run"), W.partitionBy(*on, "_run").orderBy("chunk")
+    runs = runs.select(*on, "_run", upto("_g", outer).alias("_g"), upto("_b", outer).alias("_b"))
+    found = rows.withColumns({"_gi": upto("_gc", inner), "_bi": upto("_bad", inner)}).join(runs, [*on, "_run"])
+    return found.select(*on, "chunk", "sequence", (F.col("_g") + F.col("_gi")).alias("gc_before"), (F.col("_b") + F.col("_bi")).alias("bad_before"))
+
+
+def base_share(df: DataFrame, index: DataFrame, by: Sequence[str], on: Sequence[str] = ("chrom",), size: int = 1 << 16) -> DataFrame:
+    """(by, gc, clear): the share of G and C of each span (by, on, start0, end0), and whether it holds A, C, G and T only; two lookups in base_index(), at its last base and before its first. A span beyond the sequence isn't clear."""
+    by, on = list(by), list(on)
+    ends = df.select(*by, *on, F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("start0").alias("p")), F.struct(F.lit(1).alias("sign"), F.col("end0").alias("p")))).alias("e"), (F.col("end0") - F.col("start0")).alias("_l")).select(*by, *on, "_l", "e.*")
+    # position p counts the bases before it: those of the chunk that holds base p - 1
+    ends = ends.withColumn("chunk", F.greatest(F.lit(0).cast("long"), F.floor((F.col("p") - 1) / size).cast("long")))
+    met = ends.join(index, [*on, "chunk"], "left")
+    inside = F.greatest(F.lit(0), F.col("p") - F.col("chunk") * size).cast("int")
+    part = F.upper(F.substring("sequence", F.lit(1), inside))
+    n = lambda keep, c: (F.col(c) + F.length(F.regexp_replace(part, keep, ""))) * F.col("sign")
+    whole = F.col("sequence").isNotNull() & (F.length("sequence") >= inside) & (F.col("p") >= 0)
+    found = met.groupBy(*by, "_l").agg(F.sum(n("[^GC]", "gc_before")).alias("_gc"), F.sum(n("[ACGT]", "bad_before")).alias("_bad"), F.bool_and(whole).alias("_whole"))
+    return found.select(*by, F.try_divide("_gc", "_l").alias("gc"), (F.col("_whole") & (F.col("_bad") == 0)).alias("clear"))
+
+
+def unmatched(hits: DataFrame, nulls: DataFrame, per_hit: int) -> DataFrame:
+    """(region_id, wanted, found) of the hits that have fewer nulls than asked for."""
+    n = nulls.groupBy(F.col("hit_id").alias("region_id")).agg(F.count("*").alias("found"))
+    rows = hits.select("region_id").distinct().join(n, "region_id", "left").select("region_id", F.lit(per_hit).alias("wanted"), F.coalesce("found", F.lit(0)).alias("found"))
+    return rows.where("found < wanted")
+
+
 def matched_nulls(
-    hits: DataFrame, space: DataFrame, composition: DataFrame, keys: Sequence[str] = ("gene_id", "chrom"), on: Sequence[str] = ("chrom",), per_hit: int = 1, seed: int = 1, tolerance: float = 0.05, tries: int = 5_000, width: int = BIN
+    hits: DataFrame, space: DataFrame, composition: DataFrame, keys: Sequence[str] = ("gene_id", "chrom"), on: Sequence[str] = ("chrom",), per_hit: int = 1, seed: int = 1, tolerance: float = 0.05, tries: int = 5_000, width: int = BIN, forbidden: DataFrame | None = None, size: int | None = None
 ) -> DataFrame:
     """(keys, hit_id, rep, start0, end0): spans as long as each hit, inside ``space`` blocks, of like composition, that touch no hit and none another; fewer where ``tries`` draws don't suffice.
 
     composition: (on, start0, end0), disjoint, is what counts as G or C; a null's share of it is within ``tolerance`` of its hit's. Draws are hashes of (seed, hit, rep, try). In a round every
     null that is still wanted makes some draws and takes the first that fits and touches no hit and no null of an earlier round; of two that touch in one round, the later by hash goes on
     with its next draw. Rounds are joins, so a gene may hold any number of hits; they double their draws, and each is written.
+
+    size: composition is base_index() of sequences in chunks of that many bases instead; then a null also holds no letter but A, C, G and T, and the share is of G and C. forbidden: more spans
+    (keys, start0, end0) that no null may touch. unmatched() tells which nulls weren't found.
     """
     from spanforge.operators.coverage import bounds, coverage_steps
     from spanforge.operators.coverage import covered as covered_bp
 
     keys, on, id_ = list(keys), list(on), ["region_id", "rep"]
-    steps = written(coverage_steps(composition.select(*on, F.lit(1).alias("_by"), "start0", "end0"), "_by", on), "composition")
+    steps = None if size else written(coverage_steps(composition.select(*on, F.lit(1).alias("_by"), "start0", "end0"), "_by", on), "composition")
 
     def share(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        if size:
+            found = base_share(df.select(*by, *on, "start0", "end0"), composition, list(by), on, size).select(*by, F.col("gc").alias(name), "clear")
+            return df.join(found, list(by), "left")
         found = covered_bp(df.join(bounds(steps, on), on), steps, "_by", on).select(*by, "bp")
         return df.join(found, list(by), "left").withColumn(name, F.coalesce("bp", F.lit(0)) / (F.col("end0") - F.col("start0"))).drop("bp")
 
-    taken = written(merge(hits, keys, width), "forbidden")
+    spans = hits.select(*keys, "start0", "end0")
+    taken = written(merge(spans if forbidden is None else spans.unionByName(forbidden.select(*keys, "start0", "end0")), keys, width), "forbidden")
     fit = fitting_blocks(hits.select("region_id", *keys, "start0", "end0"), space, keys)
     wanted = share(fit, ["region_id"], "_share").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_hit - 1))))
     wanted = written(wanted.select(*id_, *keys, (F.col("end0") - F.col("start0")).alias("_length"), "_share", "total", "blocks", F.lit(0).alias("_next")), "wanted")
-    out, size = None, 16
+    out, more = None, 16
     while not wanted.isEmpty():
-        drawn = wanted.withColumn("_try", F.explode(F.sequence("_next", F.least(F.col("_next") + size, F.lit(tries)) - 1)))
+        drawn = wanted.withColumn("_try", F.explode(F.sequence("_next", F.least(F.col("_next") + more, F.lit(tries)) - 1)))
         drawn = drawn.withColumn("_u", F.floor(uniform(seed, F.col("region_id"), F.col("rep"), F.col("_try")) * F.col("total")).cast("long"))
         block = F.filter("blocks", lambda b: (b["before"] <= F.col("_u")) & (F.col("_u") < b["before"] + b["cnt"]))[0]
         drawn = drawn.withColumn("start0", block["bs"] + F.col("_u") - block["before"]).withColumn("end0", F.col("start0") + F.col("_length"))
         alike = share(drawn.select(*id_, "_try", *keys, "start0", "end0", "_share"), [*id_, "_try"], "_mine").where(F.abs(F.col("_mine") - F.col("_share")) <= tolerance)
+        alike = alike.where("clear") if size else alike
         hit = range_join(alike.select(*id_, "_try", *keys, "start0", "end0"), taken, keys, width).select(*id_, "_try").distinct()
         free = alike.join(hit, [*id_, "_try"], "left_anti").groupBy(*id_, *keys).agg(F.min_by(F.struct("start0", "end0", "_try"), "_try").alias("b")).select(*id_, *keys, "b.*")
         free = written(free.withColumn("_order", F.xxhash64("region_id", "rep")), "free")
@@ -206,8 +252,8 @@ def matched_nulls(
         taken = written(taken.unionByName(fresh.select(*keys, "start0", "end0")), "taken")
         again = wanted.join(fresh.select(*id_), id_, "left_anti").drop("_next").join(free.select(*id_, F.col("_try").alias("_lost")), id_, "left")
         before = wanted.select(*id_, F.col("_next").alias("_was"))
-        wanted = written(again.join(before, id_).withColumn("_next", F.coalesce(F.col("_lost") + 1, F.col("_was") + size)).drop("_lost", "_was").where(F.col("_next") < tries), "wanted")
-        size *= 2
+        wanted = written(again.join(before, id_).withColumn("_next", F.coalesce(F.col("_lost") + 1, F.col("_was") + more)).drop("_lost", "_was").where(F.col("_next") < tries), "wanted")
+        more *= 2
     if out is None:
         out = hits.select(*keys, "region_id", F.lit(0).alias("rep"), "start0", "end0").limit(0)
     return out.select(*keys, F.col("region_id").alias("hit_id"), "rep", "start0", "end0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanforge.operators import epistasis
+from spanforge.operators import epistasis, sampling
 from spanforge.plans.signal_queries import _rounded
 from spanforge.plans.views import oracle, view
 from spanforge.sources.shared import shared_dir, written
@@ -15,6 +15,7 @@ from spanforge.streaming import progress
 HITS = (("R01", 100, 40), ("R02", 300, 30))
 NULLS = (("R01", 1, 200, 40), ("R02", 1, 420, 30))
 WIDTH, STRIDE, FLANK, CONTROLS = 40, 20, 40, 2
+CHUNK, TOLERANCE, TRIES = 64, 0.05, 600
 RESHUFFLES, REPEATS, THRESHOLD, SEED, MASK_SEED, BIN = 2, 2, 20.5, 5, 6, 1 << 12
 
 
@@ -69,7 +70,24 @@ def conditions_left(spark: SparkSession, d: str) -> DataFrame:
     return planned.join(first, "gene_id", "left").join(done, "gene_id").join(second, "gene_id", "left").select("gene_id", "n_planned", "n_left_first", "n_done", F.coalesce("_n", F.lit(0)).cast("long").alias("n_left_second"), "masked_bp")
 
 
-QUERIES = {f.__name__: f for f in (epistasis_flow, epistasis_windows, conditions_left)}
+def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    genes = view(spark, d, "genome").where("length(sequence) >= 480").select("gene_id", F.length("sequence").cast("long").alias("n"), "sequence")
+    chunks = genes.select("gene_id", "sequence", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk")).select("gene_id", "chunk", F.substring("sequence", (F.col("chunk") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("sequence"))
+    name, o, n = HITS[0]
+    hits = genes.select("gene_id", F.concat("gene_id", F.lit(f"_{name}")).alias("region_id"), F.lit(o).cast("long").alias("start0"), F.lit(o + n).cast("long").alias("end0"))
+    other = genes.select("gene_id", F.lit(HITS[1][1]).cast("long").alias("start0"), F.lit(HITS[1][1] + HITS[1][2]).cast("long").alias("end0"))
+    space = genes.select("gene_id", F.lit(0).cast("long").alias("start0"), F.col("n").alias("end0"))
+    index = written(sampling.base_index(chunks, ["gene_id"]), "bases")
+    return index, sampling.matched_nulls(hits, space, index, ["gene_id"], ["gene_id"], 1, SEED, TOLERANCE, width=BIN, forbidden=other, size=CHUNK)
+
+
+def matched_null_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """A null span for each gene's first region: as long, of like share of G and C, touching neither region; with its share, from two lookups in an index of counted bases."""
+    index, nulls = _matched(spark, d)
+    return _rounded(nulls.join(sampling.base_share(nulls, index, ["hit_id"], ["gene_id"], CHUNK), "hit_id"))
+
+
+QUERIES = {f.__name__: f for f in (epistasis_flow, epistasis_windows, conditions_left, matched_null_sequences)}
 
 _G = "power(CAST(coalesce(list_sum(list_transform(range(1, length({0}) + 1, 3), lambda i: CASE WHEN substr({0}, i, 1) = 'G' THEN 1 ELSE 0 END)), 0) AS DOUBLE), 2)"
 _SPANS = " UNION ALL ".join([f"SELECT gene_id, '{n}' AS mask_id, 'hit' AS kind, '{n}' AS hit, start0 + {o} AS s, start0 + {o + w} AS e FROM g" for n, o, w in HITS] + [f"SELECT gene_id, '{n}_null{j}', 'null', '{n}', start0 + {o}, start0 + {o + w} FROM g" for n, j, o, w in NULLS])
@@ -110,6 +128,15 @@ round(km, 6) AS mask_effect_mean, round(ks, 6) AS mask_effect_sd_reps, n_null_ma
 FROM rg JOIN n USING (gene_id, mask_id, kind, hit, target_id) JOIN ko ON ko.gene_id = rg.gene_id AND ko.mask_id = rg.mask_id LEFT JOIN nl ON nl.gene_id = rg.gene_id AND nl.mask_id = rg.mask_id AND nl.target_id = rg.target_id""",
         "genome",
     ),
+    "matched_null_sequences": oracle(
+        f"""g AS (SELECT gene_id, gene_id || '_{HITS[0][0]}' AS hit_id, sequence, length(sequence) AS n, substr(sequence, {HITS[0][1] + 1}, {HITS[0][2]}) AS h FROM genome WHERE length(sequence) >= 480),
+t AS (SELECT *, unnest(range(0, {TRIES})) AS t FROM g),
+u AS (SELECT *, CAST(floor(CAST(CAST('0x' || substr(sha256(concat_ws('|', '{SEED}', hit_id, 0, t)), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE) * (n - {HITS[0][2]} + 1)) AS BIGINT) AS s FROM t),
+w AS (SELECT *, substr(sequence, s + 1, {HITS[0][2]}) AS x FROM u), c AS (SELECT *, length(regexp_replace(x, '[^GC]', '', 'g')) / CAST({HITS[0][2]} AS DOUBLE) AS gc, length(regexp_replace(h, '[^GC]', '', 'g')) / CAST({HITS[0][2]} AS DOUBLE) AS hg FROM w)
+SELECT gene_id, hit_id, 0 AS rep, s AS start0, s + {HITS[0][2]} AS end0, round(gc, 6) AS gc, true AS clear FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY t) AS rn FROM c
+  WHERE abs(gc - hg) <= {TOLERANCE} AND regexp_full_match(x, '[ACGT]*') AND NOT (s < {HITS[0][1] + HITS[0][2]} AND {HITS[0][1]} < s + {HITS[0][2]}) AND NOT (s < {HITS[1][1] + HITS[1][2]} AND {HITS[1][1]} < s + {HITS[0][2]})) k WHERE rn = 1""",
+        "genome",
+    ),
     "conditions_left": oracle(
         f"{_PLAN} SELECT gene_id, count(*) * {RESHUFFLES} AS n_planned, count(*) FILTER (kind = 'null') * {RESHUFFLES} AS n_left_first, count(*) * {RESHUFFLES} AS n_done, CAST(0 AS BIGINT) AS n_left_second, CAST(sum(e - s) * {RESHUFFLES} AS BIGINT) AS masked_bp FROM spans GROUP BY gene_id",
         "genome",

@@ -167,3 +167,49 @@ def test_what_a_crash_leaves_is_not_read(spark, tables, tmp_path):
     conds.select("gene_id", "cond_id", F.lit(-1).alias("value"), F.lit("lost").alias("run")).write.parquet(f"{path}/results")
     got = progress.resume_conditions(conds, path, ["gene_id", "cond_id"], lambda left: left.select("gene_id", "cond_id", F.lit(1).alias("value")))
     assert [r["value"] for r in got.collect()] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("size", [16, 7, 1000])
+def test_bases_are_counted_by_two_lookups(spark, size):
+    import random
+
+    from spanforge.operators import sampling
+
+    rng = random.Random(4)
+    seqs = {c: "".join(rng.choice("ACGTacgtN" if rng.random() < 0.05 else "ACGTacgt") for _ in range(n)) for c, n in (("c1", 500), ("c2", 64), ("c3", 1))}
+    chunks = spark.createDataFrame([(c, a // size, s[a : a + size]) for c, s in seqs.items() for a in range(0, len(s), size)], "chrom string, chunk bigint, sequence string").repartition(3)
+    index = sampling.base_index(chunks)
+    spans = [(c, a, b) for c, s in seqs.items() for _ in range(60) for a, b in [sorted((rng.randrange(-3, len(s) + 3), rng.randrange(-3, len(s) + 3)))] if a < b]
+    rows = spark.createDataFrame(list(enumerate(spans)), "i long, s struct<chrom:string,start0:bigint,end0:bigint>").select("i", "s.*")
+    for r in sampling.base_share(rows, index, ["i"], size=size).collect():
+        c, a, b = spans[r.i]
+        part = seqs[c][a:b].upper() if a >= 0 and b <= len(seqs[c]) else None
+        assert r.clear == (part is not None and set(part) <= set("ACGT"))
+        if r.clear:
+            assert r.gc == pytest.approx(sum(x in "GC" for x in part) / (b - a))
+
+
+def test_nulls_on_sequences_keep_their_promises(spark):
+    import random
+
+    from spanforge.operators import sampling
+
+    rng = random.Random(7)
+    seqs = {g: "".join(rng.choice("ACGT") for _ in range(3000)) for g in ("g1", "g2")}
+    seqs["g1"] = seqs["g1"][:500] + "N" * 300 + seqs["g1"][800:]
+    hits = [(f"{g}r{i}", g, 900 + 400 * i, 960 + 410 * i) for g in seqs for i in range(4)] + [("g2wide", "g2", 100, 2990)]
+    chunks = spark.createDataFrame([(g, a // 128, s[a : a + 128]) for g, s in seqs.items() for a in range(0, 3000, 128)], "gene_id string, chunk bigint, sequence string")
+    df = spark.createDataFrame(hits, "region_id string, gene_id string, start0 bigint, end0 bigint")
+    space = spark.createDataFrame([(g, 0, 3000) for g in seqs], "gene_id string, start0 bigint, end0 bigint")
+    tss = spark.createDataFrame([("g1", 0, 200)], "gene_id string, start0 bigint, end0 bigint")
+    nulls = sampling.matched_nulls(df, space, sampling.base_index(chunks, ["gene_id"]), ["gene_id"], ["gene_id"], 3, 5, 0.05, tries=400, forbidden=tss, size=128)
+    rows, of = nulls.collect(), {h[0]: h for h in hits}
+    gc = lambda s: sum(x in "GC" for x in s) / len(s)
+    for r in rows:
+        _, g, a, b = of[r.hit_id]
+        text = seqs[g][r.start0 : r.end0]
+        assert r.end0 - r.start0 == b - a and set(text) <= set("ACGT") and abs(gc(text) - gc(seqs[g][a:b])) <= 0.05 + 1e-9
+        assert not any(r.start0 < h[3] and h[2] < r.end0 for h in hits if h[1] == g) and not (g == "g1" and r.start0 < 200)
+        assert not any(o is not r and o.gene_id == r.gene_id and r.start0 < o.end0 and o.start0 < r.end0 for o in rows)
+    assert {r.region_id: (r.wanted, r.found) for r in sampling.unmatched(df, nulls, 3).collect()}["g2wide"] == (3, 0)
+    assert len([r for r in rows if r.gene_id == "g1"]) >= 8
