@@ -49,10 +49,14 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
     """(stratum, track, perm) with n_regions, total_bp, n_overlap and cov_bp; combinations without hits are zeros. A table of results, written once."""
     held = fitting(spark, d)
     leaves = permutation.totals(held, _blocks(spark, d), "track", STRATA, PERMS, SEED)
-    found = stats.with_strata(leaves, STRATA).groupBy("stratum", "track", "perm").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    totals = stats.with_strata(held, STRATA).groupBy("stratum").agg(F.count("*").alias("n_regions"), F.sum("length").alias("total_bp"))
-    names = view(spark, d, "tracks").select("track").distinct()
-    grid = totals.crossJoin(names).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(PERMS - 1))))  # strata x tracks x permutations, the rows of the result
+    return counted(held, leaves, view(spark, d, "tracks").select("track").distinct(), STRATA, PERMS)
+
+
+def counted(held: DataFrame, leaves: DataFrame, names: DataFrame, strata: tuple[str, ...], perms: int) -> DataFrame:
+    """counts() from the sums by combination of levels."""
+    found = stats.with_strata(leaves, strata).groupBy("stratum", "track", "perm").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    totals = stats.with_strata(held, strata).groupBy("stratum").agg(F.count("*").alias("n_regions"), F.sum("length").alias("total_bp"))
+    grid = totals.crossJoin(names).withColumn("perm", F.explode(F.sequence(F.lit(-1), F.lit(perms - 1))))  # strata x tracks x permutations, the rows of the result
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return written(grid.join(found, ["stratum", "track", "perm"], "left").select("stratum", "track", "perm", "n_regions", "total_bp", zero("n").alias("n_overlap"), zero("b").alias("cov_bp")), "counts")
 
