@@ -46,6 +46,13 @@ def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes that go to a Python worker at a time, for the session: 10,000 rows, Spark's bound, may be pairs of long texts. A bound that the session has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own
+        spark.conf.set(name, f"{size}b")
+
+
 def sampled(df: DataFrame, key: str, rows: int, spare: int = 8) -> DataFrame:
     """About ``spare * rows`` rows of ``df``, those with the smallest hashes of ``key`` (all of a small table), with the hash as _h.
 

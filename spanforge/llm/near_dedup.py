@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spanforge.llm.common import cut, flat, slices, table
+from spanforge.llm.common import cut, flat, slices, small_batches, table
 from spanforge.llm.components import components
 from spanforge.llm.kernels import BASE, SPACE, U, gram_hash, lower_ascii, mix, span_hash, word_spans
 
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in (p for a in range(0, len(batch), 256) for p in slices(batch.slice(a, 256), "text", 1 << 20)):  # few rows at a time: a row's bitmaps are spread out to 16 kB
                 shingles, offsets = shingle_sets(part.column("text"), size)
                 sizes = np.diff(offsets)
                 some = np.flatnonzero(sizes)
@@ -158,6 +158,7 @@ def _limit(percent: int) -> int:
 
 def link(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key for each row of ``docs``; linked with 100 * intersection >= percent * union of their sets of shingles of ``size`` words."""
+    small_batches(docs.sparkSession)
     signed = cut(signatures(docs, size), "signatures")
     reps = cut(
         signed.where("n_shingles > 0")
@@ -244,7 +245,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int,
 def _by_prefix(docs: DataFrame, reps: DataFrame, hot: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) of the classes of ``hot`` (class, label) with different labels that share one of their rarest shingles: all those of the similarity are among them.
 
-    Labels of a shingle are paired first, their classes then: classes of one component are not paired with each other, however many share a shingle.
+    Labels of a shingle are paired first, their classes then: classes of one component are not paired with each other, however many share a shingle. Two sets that share a shingle so late in their
+    orders that too few are left for the similarity are no pair.
     """
     sets = cut(full_sets(_texts(docs, reps, hot.select("class")), size), "sets")
     held = sets.select("class", F.explode("shingles").alias("token"))
@@ -254,13 +256,16 @@ def _by_prefix(docs: DataFrame, reps: DataFrame, hot: DataFrame, percent: int, s
     m = F.size("shingles")
     least = m - F.ceil(m * (percent / 100) - 1e-9) + 1  # as many of its rarest shingles as hold a common one with any set of the similarity
     prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - m + least).cast("int"))
-    rare = sets.join(known, "class").select("class", m.alias("m"), F.explode(prefix).alias("t")).join(hot, "class").select("class", "label", "m", F.col("t.token").alias("token"))
-    rare = cut(rare, "rare")
-    groups = rare.select("token", "label").distinct()
-    groups = groups.join(groups.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token", "left_semi")
-    met = groups.toDF("token", "la").join(groups.toDF("token", "lb"), "token").where("la < lb")
-    x, y = rare.select(F.col("class").alias("a"), F.col("label").alias("la"), F.col("m").alias("xm"), "token"), rare.select(F.col("class").alias("b"), F.col("label").alias("lb"), F.col("m").alias("ym"), "token")
-    pairs = met.join(x, ["token", "la"]).join(y, ["token", "lb"]).where(f"100 * xm >= {percent} * ym AND 100 * ym >= {percent} * xm")
+    rare = sets.join(known, "class").select("class", m.alias("m"), F.size("tokens").alias("shared"), F.posexplode(prefix).alias("i", "t")).join(hot, "class")
+    rare = cut(rare.select("class", "label", "m", (F.col("m") - F.col("shared") + F.col("i")).alias("at"), F.col("t.token").alias("token")), "rare")
+    groups = rare.groupBy("token", "label").agg(F.count("*").alias("n"))
+    groups = cut(groups.join(groups.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1"), "token").drop("labels"), "groups")
+    # the smaller group of two is spelled out first, so only the last join makes pairs
+    met = groups.toDF("token", "few", "n").join(groups.toDF("token", "many", "k"), "token").where("few <> many AND struct(n, few) < struct(k, many)").select("token", "few", "many")
+    x, y = (rare.select(F.col("class").alias(c), F.col("label").alias(side), F.col("m").alias(f"{c}m"), F.col("at").alias(f"{c}at"), "token") for c, side in (("a", "few"), ("b", "many")))
+    # from their places on, both have as many shingles left as a pair of the similarity shares: so it is at the first that they share
+    left = f"least(am - aat, bm - bat) >= ceil({percent} * (am + bm) / {100 + percent}.0 - 1e-9)"
+    pairs = met.join(x, ["token", "few"]).join(y, ["token", "many"]).where(f"100 * am >= {percent} * bm AND 100 * bm >= {percent} * am AND {left}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

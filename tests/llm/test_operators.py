@@ -297,7 +297,8 @@ def test_settle_across_batches(spark):
     """Groups that are longer than a batch keep their first context and lose no repeat."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = [(1, 1, i, 0, 1) for i in range(9)] + [(2, c, 10 * c + i, 0, 1) for c in range(3) for i in range(4)] + [(3, 5, 1, 0, 1), (4, 1, 1, 0, 1), (4, 2, 1, 0, 2)]
-    found = spark.createDataFrame([(*r, False) for r in rows] + [(9, 9, 9, 9, 9, True)], repeats.ANCHOR)
+    # contexts that share half of their digest are told apart by the other half
+    found = spark.createDataFrame([(h, c // 2, c, *rest, False) for h, c, *rest in rows] + [(9, 9, 9, 9, 9, 9, True)], repeats.ANCHOR)
     want = {e: bag(repeats.settle(found, e).collect()) for e in (True, False)}
     assert sum(n for r, n in want[False].items() if r[0] == 1) == 8 + 9 + 1 and sum(n for r, n in want[True].items() if r[0] == 1) == 9 + 12 + 1
     assert sum(n for r, n in want[True].items() if r[0] == 0) == 3 + 2
