@@ -8,7 +8,8 @@ confirmed on their full sets, shingle by shingle as text. At a similarity of 0.8
 Texts of equal words are one class, told by the SHA-256 of their words and aggregated before the shuffle. The classes of a band are not paired with each other: each meets the band's centre, the
 class that shares most bands with others; confirmed links join classes into components; then only classes that share a band but are still in different components meet. In bands of up to ``FEW`` such
 classes all of them do. The classes of larger bands meet by prefixes instead, in which no link can be lost: shingles are ordered by rarity among these classes, and of two sets of a similarity of 0.8 one
-of the rarest fifth (and one more) of each is the same. So what a third of all rows have in common, however many bands it fills, brings nobody together.
+of the rarest fifth (and one more) of each is the same. How far from the start it may stand depends on both sizes (a ninth for sets of one size), so shingles are met by size too. So what a third of all
+rows have in common, however many bands it fills, brings nobody together.
 
 Words: A-Z lower-cased, runs without ASCII white space. With fewer words than a shingle has, the set holds them all as one; without words or text the set is empty, and the document is linked
 with nothing. A repeated doc_id is one document for each distinct set. A null doc_id takes part, but names a component only as null; it is kept only where no id is in the component. Very long texts are
@@ -18,6 +19,7 @@ worked on alone. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ BANDS, ROWS, BITS, SLACK, WHOLE_BITS = 32, 5, 512, 0.16, 2048
 SMALL = 50_000
 #: Classes of one band, still in different components, that are paired with each other.
 FEW = 16
+#: The ratio of the sizes in a bucket of sizes.
+NARROW = 1.04
 SAMPLES = BANDS * ROWS
 _KEYS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U) * U(0xA24BAED4963EE407))
 _XOR, _MUL = (_KEYS[:SAMPLES] >> U(32)).astype(np.uint32), (_KEYS[SAMPLES:] >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -246,7 +250,7 @@ def _by_prefix(docs: DataFrame, reps: DataFrame, hot: DataFrame, percent: int, s
     """Pairs (a, b) of the classes of ``hot`` (class, label) with different labels that share one of their rarest shingles: all those of the similarity are among them.
 
     Labels of a shingle are paired first, their classes then: classes of one component are not paired with each other, however many share a shingle. Two sets that share a shingle so late in their
-    orders that too few are left for the similarity are no pair.
+    orders that too few are left for the similarity are no pair, and don't meet where that follows from the buckets of their sizes.
     """
     sets = cut(full_sets(_texts(docs, reps, hot.select("class")), size), "sets")
     held = sets.select("class", F.explode("shingles").alias("token"))
@@ -257,18 +261,38 @@ def _by_prefix(docs: DataFrame, reps: DataFrame, hot: DataFrame, percent: int, s
     least = m - F.ceil(m * (percent / 100) - 1e-9) + 1  # as many of its rarest shingles as hold a common one with any set of the similarity
     prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - m + least).cast("int"))
     rare = sets.join(known, "class").select("class", m.alias("m"), F.size("tokens").alias("shared"), F.posexplode(prefix).alias("i", "t")).join(hot, "class")
-    rare = cut(rare.select("class", "label", "m", (F.col("m") - F.col("shared") + F.col("i")).alias("at"), F.col("t.token").alias("token")), "rare")
-    groups = rare.groupBy("token", "label").agg(F.count("*").alias("n"))
-    groups = cut(groups.join(groups.groupBy("token").agg(F.count("*").alias("labels")).where("labels > 1"), "token").drop("labels"), "groups")
-    # the smaller group of two is spelled out first, so only the last join makes pairs
-    met = groups.toDF("token", "few", "n").join(groups.toDF("token", "many", "k"), "token").where("few <> many AND struct(n, few) < struct(k, many)").select("token", "few", "many")
-    x, y = (rare.select(F.col("class").alias(c), F.col("label").alias(side), F.col("m").alias(f"{c}m"), F.col("at").alias(f"{c}at"), "token") for c, side in (("a", "few"), ("b", "many")))
+    rare = rare.select("class", "label", "m", (F.col("m") - F.col("shared") + F.col("i")).alias("at"), F.col("t.token").alias("token"))
+    rare = cut(_by_sizes(rare, percent), "rare")
+    key = ["token", "lo", "hi", "side"]
+    groups = cut(rare.groupBy(*key, "label").agg(F.count("*").alias("n")), "groups")
+    # the smaller group of two is spelled out first, so only the last join makes pairs; the larger one goes by the side of the smaller
+    facing = F.when(F.col("lo") == F.col("hi"), F.col("side")).otherwise(1 - F.col("side")).alias("side")
+    few, many = groups.toDF(*key, "few", "n"), groups.select("token", "lo", "hi", facing, F.col("label").alias("many"), F.col("n").alias("k"))
+    met = few.join(many, key).where("few <> many AND struct(n, few) < struct(k, many)").select(*key, "few", "many")
+    x, y = (rare.select("token", "lo", "hi", side, F.col("label").alias(group), F.col("class").alias(c), F.col("m").alias(f"{c}m"), F.col("at").alias(f"{c}at")) for c, group, side in (("a", "few", F.col("side")), ("b", "many", facing)))
     # from their places on, both have as many shingles left as a pair of the similarity shares: so it is at the first that they share
     left = f"least(am - aat, bm - bat) >= ceil({percent} * (am + bm) / {100 + percent}.0 - 1e-9)"
-    pairs = met.join(x, ["token", "few"]).join(y, ["token", "many"]).where(f"100 * am >= {percent} * bm AND 100 * bm >= {percent} * am AND {left}")
+    pairs = met.join(x, [*key, "few"]).join(y, [*key, "many"]).where(f"100 * am >= {percent} * bm AND 100 * bm >= {percent} * am AND {left}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _by_sizes(rare: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``rare`` (with m, the set's size, and at, the shingle's place), once for each bucket of sizes of which a set of the similarity may be that has this shingle as the first in common.
+
+    ``lo`` and ``hi`` are the two sets' buckets; ``side`` is 1 where the row's own set is the one of hi, and 0 where it is that of lo or both are the same.
+    """
+
+    def bucket(size):
+        return F.floor(F.log(size) / math.log(NARROW)).cast("int")
+
+    m, other = F.col("m"), F.col("other")
+    least = F.ceil(m * percent / 100 - 1e-9)  # the sizes that go with this one
+    rare = rare.withColumn("own", bucket(m)).withColumn("other", F.explode(F.sequence(bucket(least), bucket(F.floor(m * 100 / percent + 1e-9)))))
+    smallest = F.greatest(least, F.ceil(F.pow(F.lit(NARROW), other) * (1 - 1e-9)))  # of the other set
+    fits = m - F.col("at") >= F.ceil((m + smallest) * percent / (100 + percent) - 1e-9)
+    return rare.where(fits).select("class", "label", "m", "at", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > other).cast("int").alias("side"))
+
+
 def _join_on(pairs: DataFrame, edges: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
     """More links, from those of ``pairs`` whose classes are in different components; and the components then."""
     a, b = labels.toDF("a", "_a"), labels.toDF("b", "_b")
