@@ -26,14 +26,15 @@ def rows_of_joins(spark, run) -> int:
     return most
 
 
-def test_a_common_passage_makes_no_pairs(spark):
+@pytest.mark.parametrize(("size", "own", "common"), [(2, range(87, 97, 2), range(2, 20, 4)), (5, (90, 96), (2, 10))], ids=["op7", "pipeline"])
+def test_a_common_passage_makes_no_pairs(spark, size, own, common):
     passage = [f"p{i}" for i in range(86)]
     texts = [passage + [f"o{i}x{j}" for j in range(15)] for i in range(300)]
     for i in range(0, 300, 10):  # chains of two links: the ends are no pair
-        middle = [f"{w}y" if j % 2 and 86 < j < 97 else w for j, w in enumerate(texts[i])]
-        texts += [middle, [f"{w}z{i}" if j % 4 == 2 and j < 20 else w for j, w in enumerate(middle)]]
+        middle = [f"{w}y" if j in own else w for j, w in enumerate(texts[i])]
+        texts += [middle, [f"{w}z{i}" if j in common else w for j, w in enumerate(middle)]]
     random.Random(8).shuffle(texts)
-    sets = [near_dedup.shingles(" ".join(t).encode(), 2) for t in texts]
+    sets = [near_dedup.shingles(" ".join(t).encode(), size) for t in texts]
     want = list(range(len(texts)))
     for i, x in enumerate(sets):
         for j, y in enumerate(sets[:i]):
@@ -43,11 +44,11 @@ def test_a_common_passage_makes_no_pairs(spark):
     got = {}
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans that found no row would be listed without their joins
     try:
-        most = rows_of_joins(spark, lambda: got.update({r.doc_id: r.component_id for r in near_dedup.link(docs).collect()}))
+        most = rows_of_joins(spark, lambda: got.update({r.doc_id: r.component_id for r in near_dedup.link(docs, size=size).collect()}))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 300
-    assert 0 < most < 100_000  # 64,620 pairs of texts, which have six shingles of their rarest fifth in common; 100 shingles of each text are rows too
+    assert 0 < most < 100_000  # 64,620 pairs of texts, which have five or six shingles of their rarest fifth in common; 100 shingles of each text are rows too
 
 
 @pytest.mark.parametrize("percent", [50, 80, 100])
