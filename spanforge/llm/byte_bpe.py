@@ -2,8 +2,8 @@
 
 A text is split by the pattern; each match is a pre-token, encoded by itself. First tier: a minimal perfect hash over the vocabulary (hash and displace: a bucket's
 displacement sends its keys to slots of their own, as many slots as keys) and a comparison with the slot's key tell whether the whole pre-token is in the
-vocabulary. Second tier: the bytes are linked, a heap holds the ranks of neighbouring pairs, and the lowest rank, leftmost first, is merged until no pair is in the vocabulary. Results of
-recent pre-tokens are kept in two generations of bounded size. Decoding looks the ids up again.
+vocabulary. Second tier: the bytes are linked, a heap holds the ranks of neighbouring pairs, and the lowest rank, leftmost first, is merged until no pair is in the vocabulary. The ids of
+recent pre-tokens are kept, four bytes each, in two generations of so many bytes at most; no result depends on what is kept. Decoding looks the ids up again.
 
 The vocabulary is a file of fixed size, a parameter; the driver reads it and builds the hash. Null texts are empty; an empty text has no ids; every text is
 encoded whole; repeated rows each give a row; an empty table gives an empty result. Other input columns pass through tokenize(); one named _ids or _decoded is
@@ -14,18 +14,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from sys import getsizeof
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, types as T
 
 from spanforge.llm.common import slices, table
 
 SLICE = 1 << 19  # bytes of text whose ids a task holds at a time; a longer text is taken alone
-KEEP = 300_000  # pre-tokens in each generation of recent results
+KEEP = 48 << 20  # bytes of each generation of recent pre-tokens and their ids, in a worker
+ENTRY = 100  # bytes of a dictionary's entry, besides key and value
 _ODD, _WIDE = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -66,41 +71,42 @@ class PerfectHash:
         return self.index[slot] if self.keys[slot] == key else -1
 
 
-def merge(piece: bytes, get, pairs: list[int]) -> list[int]:
-    """The ids of a pre-token that isn't in the vocabulary: a heap of pairs over linked bytes. get(bytes, -1): a rank; pairs: the ranks of two bytes."""
+def merge(piece: bytes, get, pairs: list[int], single: list[int]) -> list[int]:
+    """The ids of a pre-token that isn't in the vocabulary: a heap of pairs over linked bytes. get(bytes): a rank or None; pairs and single: the ranks of two bytes and of one."""
     n = len(piece)
     after = list(range(1, n + 2))  # where the part after the one that begins here begins
     before = list(range(-1, n))
+    part = [single[a] for a in piece]  # the rank of the part that begins here
     now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # the rank of the part here with the next
     now.append(-1)
     heap = [r * n + i for i, r in enumerate(now) if r >= 0]
     heapify(heap)
     while heap:
-        top = heappop(heap)
-        i = top % n
-        if now[i] != top // n:
+        rank, i = divmod(heappop(heap), n)
+        if now[i] != rank:
             continue
         j = after[i]
-        k = after[j]
-        after[i] = k
-        now[j] = -1
+        after[i] = k = after[j]
+        part[i] = rank
+        now[i] = now[j] = -1
         if k < n:
             before[k] = i
-            now[i] = r = get(piece[i : after[k]], -1)
-            if r >= 0:
+            r = get(piece[i : after[k]])
+            if r is not None:
+                now[i] = r
                 heappush(heap, r * n + i)
-        else:
-            now[i] = -1
         if i:
             p = before[i]
-            now[p] = r = get(piece[p:k], -1)
-            if r >= 0:
+            r = get(piece[p:k])
+            if r is None:
+                now[p] = -1
+            else:
+                now[p] = r
                 heappush(heap, r * n + p)
     out, i = [], 0
     while i < n:
-        j = after[i]
-        out.append(get(piece[i:j]))
-        i = j
+        out.append(part[i])
+        i = after[i]
     return out
 
 
@@ -111,12 +117,15 @@ class Codec:
         self.hash = PerfectHash(self.keys)
         self.numbers = [ranks[k] for k in self.keys]
         self.bytes_of = {i: k for k, i in ranks.items()}
+        self.texts = {i: str(i) for i in self.bytes_of}
         self.pairs = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.single = [ranks.get(bytes((a,)), -1) for a in range(256)]
+        self.name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
         self._start()
 
     def _start(self) -> None:
         self.findall = regex.compile(self.pattern).findall
-        self.recent: _Recent = _Recent(self.piece, self.decode)
+        self.recent: _Recent = _Recent(self.piece)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("findall", "recent")}
@@ -133,43 +142,41 @@ class Codec:
     def piece(self, token: str) -> list[int]:
         raw = token.encode()
         i = self.hash.find(raw)
-        return [self.numbers[i]] if i >= 0 else merge(raw, self.ranks.get, self.pairs)
+        return [self.numbers[i]] if i >= 0 else merge(raw, self.ranks.get, self.pairs, self.single)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for t in self.findall(text) for i in self.recent[t][0].split(",")]
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.recent.__getitem__, self.findall(text))), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """n_tokens, sha256 of the ids, sha256 of the decoded bytes."""
-        found = list(map(self.recent.__getitem__, self.findall(text)))
-        self.recent.turn()
-        ids = ",".join([f[0] for f in found])
-        decoded = b"".join([f[1] for f in found])
-        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        ids = self.encode(text).tolist()
+        said = ",".join(map(self.texts.__getitem__, ids))
+        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 class _Recent(dict):
-    """(ids as text, the bytes they decode to) by pre-token; when there are ``KEEP``, the generation before is let go."""
+    """Ids, packed, by pre-token. When they come to ``KEEP`` bytes, within a text too, the generation before is let go; a pre-token that is larger than a hundredth of that isn't kept."""
 
-    def __init__(self, piece, decode):
+    def __init__(self, piece):
         super().__init__()
-        self._piece, self._decode, self._old = piece, decode, {}
+        self._piece, self._old, self._held = piece, {}, 0
 
-    def __missing__(self, token: str) -> tuple[str, bytes]:
+    def __missing__(self, token: str) -> bytes:
         found = self._old.get(token)
         if found is None:
-            ids = self._piece(token)
-            found = ",".join(map(str, ids)), self._decode(ids)
-        self[token] = found
+            found = array("i", self._piece(token)).tobytes()
+        size = getsizeof(token) + getsizeof(found) + ENTRY
+        if 100 * size <= KEEP:
+            if self._held + size > KEEP:
+                self._old, self._held = dict(self), 0
+                self.clear()
+            self[token] = found
+            self._held += size
         return found
 
-    def turn(self) -> None:
-        if len(self) > KEEP:
-            self._old = dict(self)
-            self.clear()
-
 
 _CODECS: dict[tuple, Codec] = {}
 
@@ -184,37 +191,41 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[key]
 
 
-_HERE: dict[tuple, Codec] = {}
+_HERE: dict[str, Codec] = {}
 
 
-def _mine(shared) -> Codec:
-    """The worker process's own codec, so that recent results last from task to task."""
-    key = (shared.pattern, len(shared.keys), shared.keys[0] if shared.keys else b"", shared.keys[-1] if shared.keys else b"")
-    return _HERE.setdefault(key, shared)
+def _mine(name: str, sent: Broadcast) -> Codec:
+    """The worker process's own codec, so that recent results last from task to task; what was sent is loaded only where there is none of that name yet."""
+    if name not in _HERE:
+        _HERE[name] = sent.value
+    return _HERE[name]
 
 
 def tokenize(docs: DataFrame, own: Codec | None = None) -> DataFrame:
     """Every input column, ``_ids`` (array of int) and ``_decoded`` (binary)."""
     docs = docs.drop("_ids", "_decoded")
-    sent = docs.sparkSession.sparkContext.broadcast(own or codec())  # the vocabulary's size is fixed
+    own = own or codec()
+    name, sent = own.name, docs.sparkSession.sparkContext.broadcast(own)  # the vocabulary's size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _mine(sent.value)
+        mine = _mine(name, sent)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 ids = [mine.encode(t.as_py() or "") for t in part.column("text")]
-                mine.recent.turn()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(mine.decode, ids), pa.binary())], names=[*part.schema.names, "_ids", "_decoded"])
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                decoded = pa.array((mine.decode(i.tolist()) for i in ids), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, np.concatenate(ids)), decoded], names=[*part.schema.names, "_ids", "_decoded"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_decoded", T.BinaryType())]))
 
 
 def digest(docs: DataFrame, own: Codec | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(own or codec())
+    own = own or codec()
+    name, sent = own.name, docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = _mine(sent.value)
+        mine = _mine(name, sent)
         for batch in batches:
             n, ids, decoded = zip(*(mine.digest(t.as_py() or "") for t in batch.column("text")), strict=True) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
