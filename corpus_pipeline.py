@@ -20,6 +20,8 @@ from spanforge.sources.shared import clear, mark, written
 REJECT = 0.5
 #: Words of a shingle of the near-dedup (op7 alone is bound to 2).
 SHINGLE = 5
+#: Contaminated documents (two numbers each) that are broadcast; more meet the texts by a shuffle.
+FEW = 500_000
 #: What stands for a secret.
 MASK = "[SECRET]"
 
@@ -61,9 +63,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @any_columns
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    hit = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_dc_key").distinct().alias("h")
+    hit = written(decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_dc_key").distinct(), "contaminated")
+    if hit.count() <= FEW:  # then no text is shuffled
+        hit = F.broadcast(hit)
     keyed = docs.withColumn("_key", F.xxhash64("text")).alias("d")
-    return keyed.join(hit, F.expr("d.doc_id <=> h.doc_id AND d._key = h._dc_key"), "left_anti").select(*docs.columns)
+    return keyed.join(hit.alias("h"), F.expr("d.doc_id <=> h.doc_id AND d._key = h._dc_key"), "left_anti").select(*docs.columns)
 
 
 @any_columns

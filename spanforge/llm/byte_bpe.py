@@ -26,7 +26,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, types as T
 
-from spanforge.llm.common import slices, table
+from spanforge.llm.common import slices, table, turn
 
 SLICE = 1 << 19  # bytes of text whose ids a task holds at a time; a longer text is taken alone
 KEEP = 48 << 20  # bytes of each generation of recent pre-tokens and their ids, in a worker
@@ -191,14 +191,12 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[key]
 
 
-_HERE: dict[str, Codec] = {}
-
-
 def _mine(name: str, sent: Broadcast) -> Codec:
     """The worker process's own codec, so that recent results last from task to task; what was sent is loaded only where there is none of that name yet."""
-    if name not in _HERE:
-        _HERE[name] = sent.value
-    return _HERE[name]
+    here = turn("byte_bpe")
+    if name not in here:
+        here[name] = sent.value
+    return here[name]
 
 
 def tokenize(docs: DataFrame, own: Codec | None = None) -> DataFrame:

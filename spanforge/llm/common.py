@@ -35,6 +35,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+_kept: dict[str, dict] = {}
+
+
+def turn(own: str = "") -> dict:
+    """What this worker process keeps for ``own`` from task to task. What it keeps for others is let go: Spark hands a worker on to any operator, and memory that the last one kept would stand beside the next one's."""
+    for name in [n for n in _kept if n != own]:
+        del _kept[name]
+    return _kept.setdefault(own, {}) if own else {}
+
+
 def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and each row's offsets (n + 1) in them; null rows are empty."""
     if isinstance(text, pa.ChunkedArray):

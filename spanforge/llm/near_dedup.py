@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from spanforge.llm.common import cut, flat, slices, small_batches, table
+from spanforge.llm.common import cut, flat, slices, small_batches, table, turn
 from spanforge.llm.components import components
 from spanforge.llm.kernels import BASE, SPACE, U, gram_hash, lower_ascii, mix, span_hash, word_spans
 
@@ -99,6 +99,7 @@ def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         for batch in batches:
             for part in (p for a in range(0, len(batch), 256) for p in slices(batch.slice(a, 256), "text", 1 << 20)):  # few rows at a time: a row's bitmaps are spread out to 16 kB
                 shingles, offsets = shingle_sets(part.column("text"), size)
@@ -125,6 +126,7 @@ def full_sets(docs: DataFrame, size: int = 2) -> DataFrame:
     """(class, shingles) of each row of (class, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         for batch in batches:
             for part in slices(batch, "text"):
                 shingles, offsets = shingle_sets(part.column("text"), size)
@@ -230,6 +232,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int,
     texts = _texts(docs, reps, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         last: tuple[int, set] | None = None  # of a class that meets several others in a row
         for batch in batches:
             for part in slices(batch, "x"):

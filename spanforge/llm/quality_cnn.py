@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from spanforge.llm.common import flat, sampled, slices, table
+from spanforge.llm.common import flat, sampled, slices, table, turn
 
 TRAIN_ROWS, EPOCHS = 3000, 8
 DIM, STRIDE, FILTERS, HALF = 8, 4, 32, 256
@@ -194,6 +194,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     docs = docs.drop("_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         for batch in batches:
             for part in slices(batch, "text"):
                 p = 1 / (1 + np.exp(-np.clip(net.logits(*flat(part.column("text"))), -30, 30)))

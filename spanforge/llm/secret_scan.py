@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from spanforge.llm.common import flat, sampled, slices, table
+from spanforge.llm.common import flat, sampled, slices, table, turn
 from spanforge.llm.kernels import word_spans
 
 TRAIN_ROWS, TRAIN_RUNS, EPOCHS = 800, 20_000, 60
@@ -360,6 +360,7 @@ def scan(docs: DataFrame, field: Field | None = None, mask: str | None = None) -
     field = field or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for part in slices(batch, "text", SLICE):
