@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanforge.operators import cumulated
 from spanforge.operators.intervals import BIN, merge, overlap_bp, range_join
 
 CONTROL = "CONTROL"
@@ -68,7 +69,11 @@ def exon_coverage(signal: DataFrame, exons: DataFrame, gene: Sequence[str], on:
     keys = list(dict.fromkeys([*gene, *on]))
     union = merge(exons, keys, width)
     total = union.groupBy(*gene).agg(F.sum(F.col("end0") - F.col("start0")).alias("exon_bp"))
-    mass = range_join(union, signal.select(*on, "start0", "end0", "value"), on, width).groupBy(*gene).agg(F.sum(F.col("r_value") * overlap_bp()).alias("_mass"))
+    signal = signal.select(*on, "start0", "end0", "value")
+    if signal.schema["value"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        mass = cumulated.overlap_mass(union, signal, "value", on).groupBy(*gene).agg(F.sum("mass").alias("_mass"))
+    else:  # running sums of fractions aren't exact
+        mass = range_join(union, signal, on, width).groupBy(*gene).agg(F.sum(F.col("r_value") * overlap_bp()).alias("_mass"))
     return total.join(mass, gene, "left").withColumn("mean_coverage", F.coalesce("_mass", F.lit(0)) / F.col("exon_bp")).drop("_mass")
 
 
